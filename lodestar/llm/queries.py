@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm.budget_mix import mix_sources
 from lodestar.llm.compression_bands import compression_bands
+from lodestar.llm.line_dedup import dedup_lines, dedup_sql
 from lodestar.llm.simhash_popcount import near_duplicates
 
 
@@ -19,6 +20,10 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+
+
 def op4_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -29,8 +34,11 @@ def op7_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
+    "op3_line_dedup": op3_line_dedup,
     "op4_budget_mix": op4_budget_mix,
     "op7_simhash_popcount": op7_simhash_popcount,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": f"WITH {dedup_sql('documents')} SELECT id AS doc_id, txt AS text, n_lines, n_chunks, n_removed_chunks, n_removed_lines FROM deduped",
+}
