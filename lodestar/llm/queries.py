@@ -10,6 +10,7 @@ from lodestar.llm.budget_mix import mix_sources
 from lodestar.llm.compression_bands import compression_bands
 from lodestar.llm.line_dedup import dedup_lines, dedup_sql
 from lodestar.llm.simhash_popcount import near_duplicates
+from lodestar.llm.toxicity_gbt import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op4_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -36,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op3_line_dedup": op3_line_dedup,
     "op4_budget_mix": op4_budget_mix,
+    "op5_toxicity_gbt": op5_toxicity_gbt,
     "op7_simhash_popcount": op7_simhash_popcount,
 }
 
