@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestar.llm.best_fit_packing import pack_documents
 from lodestar.llm.budget_mix import mix_sources
 from lodestar.llm.compression_bands import compression_bands
 from lodestar.llm.line_dedup import dedup_lines, dedup_sql
+from lodestar.llm.repair_grammar import grammar_round_trip
 from lodestar.llm.simhash_popcount import near_duplicates
 from lodestar.llm.toxicity_gbt import score_toxicity
 
@@ -21,6 +25,11 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 
@@ -37,14 +46,22 @@ def op7_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = grammar_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_budget_mix": op4_budget_mix,
     "op5_toxicity_gbt": op5_toxicity_gbt,
     "op7_simhash_popcount": op7_simhash_popcount,
+    "op10_repair_grammar": op10_repair_grammar,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": f"WITH {dedup_sql('documents')} SELECT id AS doc_id, txt AS text, n_lines, n_chunks, n_removed_chunks, n_removed_lines FROM deduped",
 }
