@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.llm.additive_quantisation import nearest
 from lodestar.llm.best_fit_packing import pack_documents
 from lodestar.llm.budget_mix import mix_sources
 from lodestar.llm.compression_bands import compression_bands
@@ -46,6 +47,10 @@ def op7_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = grammar_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return read.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_budget_mix": op4_budget_mix,
     "op5_toxicity_gbt": op5_toxicity_gbt,
     "op7_simhash_popcount": op7_simhash_popcount,
+    "op8_additive_quantisation": op8_additive_quantisation,
     "op10_repair_grammar": op10_repair_grammar,
 }
 
