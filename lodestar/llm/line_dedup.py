@@ -69,7 +69,7 @@ def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc
 
     Scale: hashes of chunks are counted first, so that only chunks whose hash repeats are compared as text; both
     counts combine before their shuffles, so a passage in a third of all texts is no hot group. The texts are shuffled
-    twice, by row, never by passage.
+    twice, by row, never by passage; the joins merge at every size, so that a small run costs its share of a large one.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")]
     rows = docs.select(
@@ -86,15 +86,15 @@ def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc
     found = chunked(plain, rule).select(*ROW, F.explode_outer(F.expr(f"filter(transform(_chunks, (c, k) -> named_struct('k', k, 'd', c.digest, 'ok', {eligible})), c -> c.ok)")).alias("_c"))
     found = cut(found.where("_c IS NOT NULL").select(*ROW, "_c.k", F.col("_c.d").alias("digest")), "line-chunks")
     repeated = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    candidates = cut(found.join(repeated, "digest").groupBy(*ROW).agg(F.collect_set("k").alias("_ks")), "line-candidates")
+    candidates = cut(found.join(repeated.hint("merge"), "digest").groupBy(*ROW).agg(F.collect_set("k").alias("_ks")), "line-candidates")
 
     pieces = F.expr(f"transform(array({LINES}), ls -> transform(_ks, k -> named_struct('k', k, 'passage', {_passage('ls', 'get(_chunks, k)')})))[0]")
-    texts = chunked(plain.join(candidates, ROW), rule).select(*ROW, "_id", F.explode_outer(pieces).alias("_p"))
+    texts = chunked(plain.join(candidates.hint("merge"), ROW), rule).select(*ROW, "_id", F.explode_outer(pieces).alias("_p"))
     texts = cut(texts.select("_p.passage", F.struct("_id", *ROW, "_p.k").alias("at")).distinct(), "line-passages")
     first = texts.groupBy("passage").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = texts.join(first, "passage").where("at <> first").groupBy(F.col("at._k1").alias("_k1"), F.col("at._k2").alias("_k2")).agg(F.collect_set("at.k").alias("_gone"))
+    gone = texts.join(first.hint("merge"), "passage").where("at <> first").groupBy(F.col("at._k1").alias("_k1"), F.col("at._k2").alias("_k2")).agg(F.collect_set("at.k").alias("_gone"))
 
-    out = chunked(rows.join(cut(gone, "line-removals"), ROW, "left"), rule).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
+    out = chunked(rows.join(cut(gone, "line-removals").hint("merge"), ROW, "left"), rule).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
     out = out.withColumn("_out", F.expr("filter(_chunks, (c, k) -> array_contains(_gone, k))"))
     kept = F.expr(f"array_join(transform(array({LINES}), ls -> transform(filter(_chunks, (c, k) -> NOT array_contains(_gone, k)), c -> {_passage('ls', 'c')}))[0], '\\n')")
     given = F.col(f"_keep_{text_col}")
