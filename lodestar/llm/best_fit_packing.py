@@ -20,6 +20,8 @@ from lodestar.llm.encoding import Encoder
 
 CAPACITY = 2048
 OPEN_BINS = 4096
+#: Texts that are encoded, and pieces that are handed on, at a time.
+SLICE = 500
 #: Tasks whose last open bins are packed together.
 GROUP = 64
 
@@ -102,25 +104,26 @@ def _packed(path: str, end_id: int, capacity: int, open_bins: int):
         for batch in batches:
             encoder = encoder or Encoder(path, spaced=True)
             arrived = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist()), strict=True):
-                arrived += [(doc_id, k, start, len(part) // 4, part) for k, (start, part) in enumerate(pieces_of(ids + end, capacity))]
+            for first in range(0, batch.num_rows, SLICE):
+                some = batch.slice(first, SLICE)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder(some.column(1).to_pylist()), strict=True):
+                    arrived += [(doc_id, k, start, len(part) // 4, part) for k, (start, part) in enumerate(pieces_of(ids + end, capacity))]
             # Within a batch the longest pieces come first: later ones fill what these leave.
-            arrived.sort(key=lambda x: -x[3])
-            size = 0
-            for piece in arrived:
+            arrived.sort(key=lambda x: x[3])
+            while arrived:
+                piece = arrived.pop()
                 at, offset, closed = packer.place(piece[3])
                 held.setdefault(at, []).append((*piece, at, offset))
                 for done in closed:
                     ready += held.pop(done)
-                size += piece[3]
-                if len(ready) >= 4_000:
+                if len(ready) >= SLICE:
                     yield batch_of(ready, False)
                     ready = []
         if ready:
             yield batch_of(ready, False)
         left = [x for rows in held.values() for x in rows]
-        for at in range(0, len(left), 4_000):
-            yield batch_of(left[at : at + 4_000], True)
+        for at in range(0, len(left), SLICE):
+            yield batch_of(left[at : at + SLICE], True)
 
     return run
 
@@ -150,5 +153,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
     moved = last.groupBy(F.floor(F.col("task") / group).alias("_group")).applyInPandas(again, "task long, bin long, sequence_id long, shift long")
     columns = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
     done = packed.where("NOT open").withColumn("sequence_id", F.shiftleft("task", 32) + F.col("bin")).select(columns)
-    rest = packed.where("open").join(moved, ["task", "bin"]).withColumn("offset", F.col("offset") + F.col("shift")).select(columns)
+    rest = packed.where("open").join(moved.hint("merge"), ["task", "bin"]).withColumn("offset", F.col("offset") + F.col("shift")).select(columns)
     return done.unionByName(rest)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,3 +90,34 @@ def map_rows(df: DataFrame, schema: T.StructType | str, make: Callable[[], Calla
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def _system(url: str):
+    """``(file system or None for this machine's, path)`` of a shared folder's URL."""
+    parts = urlparse(url)
+    if parts.scheme in ("", "file"):
+        return None, unquote(parts.path) if parts.scheme else url
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(url)
+
+
+def write_shared(url: str, data: bytes) -> None:
+    system, path = _system(url)
+    if system is None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(f"{path}.tmp", "wb") as out:
+            out.write(data)
+        os.replace(f"{path}.tmp", path)
+    else:
+        with system.open_output_stream(path) as out:
+            out.write(data)
+
+
+def read_shared(url: str) -> bytes:
+    system, path = _system(url)
+    if system is None:
+        with open(path, "rb") as source:
+            return source.read()
+    with system.open_input_stream(path) as source:
+        return source.read()

@@ -1,71 +1,93 @@
-"""Token ids of whole texts by the tokenizers library, each distinct run between spaces encoded once."""
+"""Token ids of whole texts by the tokenizers library, each distinct word encoded once."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 from tokenizers import Tokenizer
 
-#: Distinct runs a process remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Distinct words that a process remembers; then it starts anew.
+REMEMBERED = 250_000
+#: Words that are encoded in one call.
+TOGETHER = 2_000
 
 
 class Encoder:
     """Texts → their ids as little-endian unsigned 32-bit integers in bytes; no special tokens are added or read.
 
-    Both kinds of vocabulary used here split a text before they merge, and never across the start of a single space:
-    ``spaced`` vocabularies (byte level) keep the space with the word that follows, the others drop white space. So the
-    ids of a text are those of its runs, one after another. Where a space is followed by further white space the
-    byte-level rule looks across runs; such texts are encoded whole.
+    Both kinds of vocabulary used here split a text into words before they merge. ``spaced`` vocabularies (byte level)
+    keep a single space with the word that follows and a single line feed for itself; the others drop white space. So
+    the ids of a text are those of its words in turn, and a word's ids are worked out once: new words are encoded many
+    at a time, with a separator between them whose id stands for itself. Texts for which that rule does not hold
+    (white space next to white space, other white space) are encoded whole.
     """
 
-    ODD = re.compile(r" \s")
+    ODD = re.compile(r"\s\s|[^\S \n]")
 
     def __init__(self, path: str, spaced: bool) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = spaced
+        self.mark, self.between = ("\n", "\n") if spaced else ("9", " 9 ")
+        ids = self._whole([self.mark])[0]
+        if len(ids) != 4:
+            raise ValueError(f"{path}: the separator is no single token")
+        self.mark_id, self.line = int.from_bytes(ids, "little"), ids if spaced else b""
         self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = self.first if not spaced else {}
+        self.rest: dict[str, bytes] = {} if spaced else self.first
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in batch(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], runs: set[str], lead: str) -> None:
-        new = list(runs - known.keys())
+    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+        new = words - known.keys()
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list(runs)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, self._encode([lead + x for x in part]), strict=True))
+            new = words
+        alone = [x for x in new if not x or self.mark in x]
+        known.update(zip(alone, self._whole([lead + x if x or self.spaced else x for x in alone]), strict=True))
+        together = [x for x in new if x and self.mark not in x]
+        groups = [together[at : at + TOGETHER] for at in range(0, len(together), TOGETHER)]
+        for group, encoded in zip(groups, self.batch([self.between.join([lead + x for x in group]) for group in groups], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            if len(ends) != len(group):  # a word that holds the separator in another spelling
+                known.update(zip(group, self._whole([lead + x for x in group]), strict=True))
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(group, ends, strict=True):
+                known[word] = raw[4 * start : 4 * end]
+                start = end + 1
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 1_000):
-            out += self._some(texts[at : at + 1_000])
+        for at in range(0, len(texts), 500):
+            out += self._some(texts[at : at + 500])
         return out
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
         odd: list[int] = []
+        split: list[tuple[int, list[list[str]]]] = []
         for i, text in enumerate(texts):
             if not text:
                 out[i] = b""
-            elif self.spaced and self.ODD.search(text):
+            elif not self.spaced:
+                split.append((i, [text.replace("\n", " ").split(" ")]))
+            elif self.ODD.search(text):
                 odd.append(i)
             else:
-                split.append((i, (text if self.spaced else text.replace("\n", " ")).split(" ")))
+                split.append((i, [line.split(" ") for line in text.split("\n")]))
         if self.spaced:
-            self._learn(self.first, {runs[0] for _, runs in split}, "")
-            self._learn(self.rest, set().union(*(runs[1:] for _, runs in split)), " ")
+            self._learn(self.first, {words[0] for _, lines in split for words in lines}, "")
+            self._learn(self.rest, set().union(*(words[1:] for _, lines in split for words in lines)), " ")
         else:
-            self._learn(self.first, set().union(*(runs for _, runs in split)), "")
+            self._learn(self.first, set().union(*(words for _, lines in split for words in lines)), "")
         first, rest = self.first, self.rest
-        for i, runs in split:
-            out[i] = first[runs[0]] + b"".join([rest[x] for x in runs[1:]])
-        for i, ids in zip(odd, self._encode([texts[i] for i in odd]), strict=True):
+        for i, lines in split:
+            out[i] = self.line.join([first[words[0]] + b"".join([rest[x] for x in words[1:]]) for words in lines])
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out

@@ -12,6 +12,7 @@ from lodestar.llm.additive_quantisation import nearest
 from lodestar.llm.best_fit_packing import pack_documents
 from lodestar.llm.budget_mix import mix_sources
 from lodestar.llm.compression_bands import compression_bands
+from lodestar.llm.host_rank import filter_sql, filter_urls
 from lodestar.llm.line_dedup import dedup_lines, dedup_sql
 from lodestar.llm.repair_grammar import grammar_round_trip
 from lodestar.llm.simhash_popcount import near_duplicates
@@ -43,6 +44,10 @@ def op5_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_host_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_budget_mix": op4_budget_mix,
     "op5_toxicity_gbt": op5_toxicity_gbt,
+    "op6_host_rank": op6_host_rank,
     "op7_simhash_popcount": op7_simhash_popcount,
     "op8_additive_quantisation": op8_additive_quantisation,
     "op10_repair_grammar": op10_repair_grammar,
@@ -69,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_host_rank": filter_sql(),
     "op3_line_dedup": f"WITH {dedup_sql('documents')} SELECT id AS doc_id, txt AS text, n_lines, n_chunks, n_removed_chunks, n_removed_lines FROM deduped",
 }

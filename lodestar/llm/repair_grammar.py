@@ -13,13 +13,10 @@ each document's end), ``symbols``. Symbols below ``base`` are ids; ``base + r``
 from __future__ import annotations
 
 import json
-import os
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, fresh_path
+from lodestar.llm.common import cut, fresh_path, read_shared, write_shared
 from lodestar.llm.encoding import Encoder
 
 MAGIC, VERSION = b"LRPG", 1
@@ -192,37 +189,6 @@ class Shard:
             k = stop
 
 
-def _system(url: str):
-    """``(file system or None for this machine's, path)`` of a shared folder's URL."""
-    parts = urlparse(url)
-    if parts.scheme in ("", "file"):
-        return None, unquote(parts.path) if parts.scheme else url
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(url)
-
-
-def write_shared(url: str, data: bytes) -> None:
-    system, path = _system(url)
-    if system is None:
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(f"{path}.tmp", "wb") as out:
-            out.write(data)
-        os.replace(f"{path}.tmp", path)
-    else:
-        with system.open_output_stream(path) as out:
-            out.write(data)
-
-
-def read_shared(url: str) -> bytes:
-    system, path = _system(url)
-    if system is None:
-        with open(path, "rb") as source:
-            return source.read()
-    with system.open_input_stream(path) as source:
-        return source.read()
-
-
 MANIFEST = "task long, shard long, path string, n_docs long, n_ids long, n_symbols long, n_rules long, n_bytes long"
 
 
