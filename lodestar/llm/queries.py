@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from lodestar.llm.line_dedup import dedup_lines, dedup_sql
 from lodestar.llm.repair_grammar import grammar_round_trip
 from lodestar.llm.simhash_popcount import near_duplicates
 from lodestar.llm.toxicity_gbt import score_toxicity
+from lodestar.llm.warc_derivatives import derive, responses_of_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,16 @@ def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = derive(responses_of_pages(table(spark, sf_dir, "pages")))
+    return records.withColumn("block", F.col("block").cast("string")).withColumnRenamed("source_id", "page_id")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed sequences that the corpus pipeline ends in; the ids stay in the written table of its last stage."""
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+
+
 def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = grammar_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return read.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -70,7 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_host_rank": op6_host_rank,
     "op7_simhash_popcount": op7_simhash_popcount,
     "op8_additive_quantisation": op8_additive_quantisation,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_repair_grammar": op10_repair_grammar,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
