@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import cut
-from lodestar.llm.encoding import Encoder
+from lodestar.llm.encoding import encoder
 
 CAPACITY = 2048
 OPEN_BINS = 4096
 #: Texts that are encoded, and pieces that are handed on, at a time.
 SLICE = 500
+#: Documents that arrive together.
+ARRIVE = 4_000
 #: Tasks whose last open bins are packed together.
 GROUP = 64
 
@@ -92,7 +94,7 @@ def _packed(path: str, end_id: int, capacity: int, open_bins: int):
 
     def run(batches):
         task = TaskContext.get().partitionId()
-        encoder, packer = None, BestFit(capacity, open_bins)
+        packer = BestFit(capacity, open_bins)
         held: dict[int, list[tuple]] = {}  # the pieces of open bins: at most open_bins * capacity ids
         ready: list[tuple] = []
 
@@ -102,23 +104,24 @@ def _packed(path: str, end_id: int, capacity: int, open_bins: int):
             return pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns[:5], SCHEMA, strict=False)), pa.array([task] * n, pa.int64()), pa.array(columns[5], pa.int64()), pa.array(columns[6], pa.int64()), pa.array([still_open] * n)], schema=SCHEMA)
 
         for batch in batches:
-            encoder = encoder or Encoder(path, spaced=True)
-            arrived = []
-            for first in range(0, batch.num_rows, SLICE):
-                some = batch.slice(first, SLICE)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder(some.column(1).to_pylist()), strict=True):
-                    arrived += [(doc_id, k, start, len(part) // 4, part) for k, (start, part) in enumerate(pieces_of(ids + end, capacity))]
-            # Within a batch the longest pieces come first: later ones fill what these leave.
-            arrived.sort(key=lambda x: x[3])
-            while arrived:
-                piece = arrived.pop()
-                at, offset, closed = packer.place(piece[3])
-                held.setdefault(at, []).append((*piece, at, offset))
-                for done in closed:
-                    ready += held.pop(done)
-                if len(ready) >= SLICE:
-                    yield batch_of(ready, False)
-                    ready = []
+            encode = encoder(path, spaced=True)
+            for group in range(0, batch.num_rows, ARRIVE):
+                arrived = []
+                for first in range(group, min(group + ARRIVE, batch.num_rows), SLICE):
+                    some = batch.slice(first, min(SLICE, group + ARRIVE - first))
+                    for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+                        arrived += [(doc_id, k, start, len(part) // 4, part) for k, (start, part) in enumerate(pieces_of(ids + end, capacity))]
+                # Of those that arrive together the longest pieces come first: later ones fill what these leave.
+                arrived.sort(key=lambda x: x[3])
+                while arrived:
+                    piece = arrived.pop()
+                    at, offset, closed = packer.place(piece[3])
+                    held.setdefault(at, []).append((*piece, at, offset))
+                    for done in closed:
+                        ready += held.pop(done)
+                    if len(ready) >= SLICE:
+                        yield batch_of(ready, False)
+                        ready = []
         if ready:
             yield batch_of(ready, False)
         left = [x for rows in held.values() for x in rows]

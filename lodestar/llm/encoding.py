@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-import re
+import gc
+from unicodedata import is_normalized
 
 import numpy as np
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-#: Distinct words that a process remembers; then it starts anew.
-REMEMBERED = 250_000
+#: Distinct words that a process has at hand; as many that were at hand before are remembered.
+REMEMBERED = 200_000
 #: Words that are encoded in one call.
-TOGETHER = 2_000
+TOGETHER = 200
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """Byte → the character that byte-level vocabularies write for it: itself if printable, else one from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+ALPHABET = _byte_alphabet()
+#: Where one of these stands in a text, its white space is not single spaces and line feeds alone.
+OTHER_WHITE = ("  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
 
 class Encoder:
@@ -20,11 +33,10 @@ class Encoder:
     keep a single space with the word that follows and a single line feed for itself; the others drop white space. So
     the ids of a text are those of its words in turn, and a word's ids are worked out once: new words are encoded many
     at a time, with a separator between them whose id stands for itself. Texts for which that rule does not hold
-    (white space next to white space, other white space) are encoded whole.
+    (white space next to white space, other white space) are encoded whole. Use :func:`encoder`, which keeps what a
+    process has learnt from task to task.
     """
 
-    ODD = re.compile(r"\s\s|[^\S \n]")
-
     def __init__(self, path: str, spaced: bool) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -33,33 +45,72 @@ class Encoder:
         ids = self._whole([self.mark])[0]
         if len(ids) != 4:
             raise ValueError(f"{path}: the separator is no single token")
-        self.mark_id, self.line = int.from_bytes(ids, "little"), ids if spaced else b""
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {} if spaced else self.first
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.mark_id, self.line = int.from_bytes(ids, "little"), ids
+        self.stops = dict(zip(".,", self._whole([".", ","]), strict=True))
+        #: Word → ids; of a ``spaced`` vocabulary with the space before it, or with the line feed that it starts with.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        # Words of letters alone need neither normalizer nor pre-tokenizer: they are spelled out and merged only.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.encode_special_tokens = True
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Split(ALPHABET[10], "isolated")
+        self.letter_mark = self.letters.encode(ALPHABET[10], add_special_tokens=False).ids[0]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = words - known.keys()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = words
-        alone = [x for x in new if not x or self.mark in x]
-        known.update(zip(alone, self._whole([lead + x if x or self.spaced else x for x in alone]), strict=True))
-        together = [x for x in new if x and self.mark not in x]
-        groups = [together[at : at + TOGETHER] for at in range(0, len(together), TOGETHER)]
-        for group, encoded in zip(groups, self.batch([self.between.join([lead + x for x in group]) for group in groups], add_special_tokens=False), strict=True):
+    def _learn(self, new: set[str]) -> None:
+        again = new & self.before.keys()
+        self.known.update((x, self.before[x]) for x in again)
+        new = new - again
+        if not self.spaced:
+            self.known.update(self._ids_of(new, "", self.known))
+            return
+        heads = {x for x in new if x[:1] == "\n"}
+        self.known.update(self._ids_of(new - heads, " ", self.known))
+        self.known.update(("\n" + x, self.line + ids) for x, ids in self._ids_of({x[1:] for x in heads}, "", {}).items())
+
+    def _ids_of(self, words: set[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
+        """The ids of words, and of some of their parts, each with ``lead`` before it."""
+        # A full stop or comma after letters is a word of its own to both vocabularies.
+        ended = [x for x in words if x[-1:] in self.stops and x[:-1].isalpha()]
+        letters = {x for x in words if x.isalpha()}
+        letters.update(stem for x in ended if (stem := x[:-1]) not in known)
+        if not self.spaced:
+            letters = {x for x in letters if x.isascii() or (is_normalized("NFC", x) and "\u03a3" not in x and x.lower().isalpha())}
+        out = self._together(list(letters), lead, self.letters, self.letter_mark)
+        for x in ended:
+            ids = out.get(x[:-1]) or known.get(x[:-1])
+            if ids:
+                out[x] = ids + self.stops[x[-1]]
+        others = [x for x in words if x not in out]
+        alone = [x for x in others if not x or self.mark in x]
+        out.update(zip(alone, self._whole([lead + x for x in alone]), strict=True))
+        out.update(self._together([x for x in others if x and self.mark not in x], lead, self.tokenizer, self.mark_id))
+        return out
+
+    def _together(self, words: list[str], lead: str, tokenizer: Tokenizer, mark_id: int) -> dict[str, bytes]:
+        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
+        if tokenizer is self.letters:
+            # Spelled in the alphabet of bytes that the merges are made of; a line feed is spelled as the separator.
+            texts = [lead + f"\n{lead}".join(group) for group in groups]
+            texts = [(x if self.spaced else x.lower()).encode().decode("latin-1").translate(ALPHABET) for x in texts]
+        else:
+            texts = [lead + f"{self.between}{lead}".join(group) for group in groups]
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        out: dict[str, bytes] = {}
+        for group, encoded in zip(groups, encode(texts, add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            ends = [*np.flatnonzero(ids == mark_id).tolist(), len(ids)]
             if len(ends) != len(group):  # a word that holds the separator in another spelling
-                known.update(zip(group, self._whole([lead + x for x in group]), strict=True))
+                out.update(zip(group, self._whole([lead + x for x in group]), strict=True))
                 continue
             raw, start = ids.tobytes(), 0
             for word, end in zip(group, ends, strict=True):
-                known[word] = raw[4 * start : 4 * end]
+                out[word] = raw[4 * start : 4 * end]
                 start = end + 1
+        return out
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
@@ -68,26 +119,47 @@ class Encoder:
         return out
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known  # words still in use come back from there
         out: list[bytes | None] = [None] * len(texts)
         odd: list[int] = []
-        split: list[tuple[int, list[list[str]]]] = []
+        looked: list[tuple[int, list[tuple[int, str]], list[bytes | None]]] = []
+        new: set[str] = set()
+        get = self.known.get
         for i, text in enumerate(texts):
             if not text:
                 out[i] = b""
-            elif not self.spaced:
-                split.append((i, [text.replace("\n", " ").split(" ")]))
-            elif self.ODD.search(text):
-                odd.append(i)
-            else:
-                split.append((i, [line.split(" ") for line in text.split("\n")]))
-        if self.spaced:
-            self._learn(self.first, {words[0] for _, lines in split for words in lines}, "")
-            self._learn(self.rest, set().union(*(words[1:] for _, lines in split for words in lines)), " ")
-        else:
-            self._learn(self.first, set().union(*(words for _, lines in split for words in lines)), "")
-        first, rest = self.first, self.rest
-        for i, lines in split:
-            out[i] = self.line.join([first[words[0]] + b"".join([rest[x] for x in words[1:]]) for words in lines])
+                continue
+            if self.spaced:
+                if any(x in text for x in OTHER_WHITE):
+                    odd.append(i)
+                    continue
+                text = "\n" + text.replace("\n", " \n")  # noqa: PLW2901
+            elif text.isascii() or (is_normalized("NFC", text) and not any(x in text for x in "\u03a3\u0130")):
+                text = text.lower()  # noqa: PLW2901  the vocabulary does so too, but for letters whose case hangs on context
+            words = text.split(" ") if self.spaced else text.replace("\n", " ").split(" ")
+            found = list(map(get, words))
+            missing = [(k, words[k]) for k, ids in enumerate(found) if ids is None]
+            new.update([w for _, w in missing])
+            looked.append((i, missing, found))
+        self._learn(new)
+        known = self.known
+        skip = len(self.line) if self.spaced else 0
+        for i, missing, found in looked:
+            for k, word in missing:
+                found[k] = known[word]
+            out[i] = b"".join(found)[skip:]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         return out
+
+
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, spaced: bool) -> Encoder:
+    """The process's encoder of a vocabulary; Python workers outlive tasks, and so do the words they have learnt."""
+    if (path, spaced) not in _ENCODERS:
+        gc.disable()  # lists of many words make the collector walk them again and again, and no cycles are made here
+        _ENCODERS[path, spaced] = Encoder(path, spaced)
+    return _ENCODERS[path, spaced]

@@ -25,16 +25,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import cut, fresh_path, read_shared, write_shared
-from lodestar.llm.encoding import Encoder
+from lodestar.llm.encoding import encoder
 
 MAGIC, VERSION = b"LRPG", 1
 ARRAYS = ("rules", "spans", "doc_ids", "doc_null", "ends", "id_ends", "symbols")
 #: Ids of a shard, so that a task holds no more than a shard; the longest document may be over it.
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 21
 ROUNDS = 8
 #: Rules of a round at most, and occurrences that a rule needs.
 ROUND_RULES, LEAST = 2000, 24
 SLOTS = 1 << 16
+#: In an empty slot: symbols end below it, so it is no pair.
+NO_PAIR = (1 << 32) - 1
 
 
 @dataclass
@@ -46,6 +48,13 @@ class Grammar:
     ends: np.ndarray
 
 
+def slots(keys: np.ndarray) -> np.ndarray:
+    """The place of each pair in a table of ``SLOTS``, by multiplication."""
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, least: int = LEAST) -> Grammar:
     """Re-Pair in rounds: the most frequent pairs of a round are replaced together, left to right.
 
@@ -75,15 +84,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
             often = often[np.argpartition(-counts[often], round_rules)[:round_rules]]
         often = often[np.argsort(-counts[often], kind="stable")][: top - count]
         pairs = ordered[starts[often]]
-        slot = lambda k: ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
         # One pair for each slot of a table, the most frequent; the others have their turn in a later round.
-        _, first = np.unique(slot(pairs), return_index=True)
+        _, first = np.unique(slots(pairs), return_index=True)
         pairs = pairs[np.sort(first)]
-        table = np.full(SLOTS, -1, np.int64)
-        table[slot(pairs)] = np.arange(len(pairs))
-        at = table[slot(keys)]
-        hit = np.flatnonzero((at >= 0) & inside)
-        hit = hit[pairs[at[hit]] == keys[hit]]
+        table, rule_of = np.full(SLOTS, NO_PAIR, keys.dtype), np.zeros(SLOTS, np.int64)
+        table[slots(pairs)], rule_of[slots(pairs)] = pairs, np.arange(len(pairs))
+        place = slots(keys)
+        hit = np.flatnonzero((table[place] == keys) & inside)
         # Of matches that overlap, every second counts, from the left.
         head = np.r_[True, hit[1:] != hit[:-1] + 1]
         run = np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
@@ -94,7 +101,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
         left, right = (pairs >> (16 if narrow else 32)).astype(np.int64), (pairs & ((1 << 16) - 1 if narrow else (1 << 32) - 1)).astype(np.int64)
         rules.append(np.stack([left, right], axis=1))
         spans = np.r_[spans, spans[left] + spans[right]]
-        symbols[hit] = (count + at[hit]).astype(np.uint32)
+        symbols[hit] = (count + rule_of[place[hit]]).astype(np.uint32)
         last[hit] |= last[hit + 1]
         stay = np.ones(len(symbols), bool)
         stay[hit + 1] = False
@@ -109,32 +116,27 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
     return Grammar(base, all_rules.astype(width), spans[base:].astype(np.uint32), symbols.astype(width), symbol_ends.astype(np.int64))
 
 
-def expansions(base: int, rules: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of every rule one after another, and where each rule's begin."""
-    starts = np.concatenate([[0], np.cumsum(spans, dtype=np.int64)])
-    flat = np.zeros(int(starts[-1]), np.uint32)
-    for r, (a, b) in enumerate(rules.astype(np.int64).tolist()):
-        at = int(starts[r])
-        for x in (a, b):
-            n = 1 if x < base else int(spans[x - base])
-            flat[at : at + n] = x if x < base else flat[starts[x - base] : starts[x - base] + n]
+def expansions(base: int, rules: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(flat, starts, sizes)`` over all symbols: the ids of a symbol are ``sizes`` entries of ``flat`` from ``starts``."""
+    sizes = np.concatenate([np.ones(base, np.int64), spans.astype(np.int64)])
+    starts = np.cumsum(sizes) - sizes
+    flat = np.zeros(int(sizes.sum()), np.uint32)
+    flat[:base] = np.arange(base)
+    for r, pair in enumerate(rules.tolist()):
+        at = int(starts[base + r])
+        for x in pair:
+            n, first = int(sizes[x]), int(starts[x])
+            flat[at : at + n] = flat[first : first + n]
             at += n
-    return flat, starts
+    return flat, starts, sizes
 
 
-def expand(symbols: np.ndarray, base: int, spans: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    symbols = symbols.astype(np.int64)
-    inner = symbols >= base
-    rule = np.where(inner, symbols - base, 0)
-    if not len(spans):
-        return symbols.astype(np.uint32)
-    sizes = np.where(inner, spans[rule].astype(np.int64), 1)
-    begins = np.cumsum(sizes) - sizes
-    place = np.repeat(np.where(inner, starts[rule], 0) - begins, sizes) + np.arange(int(sizes.sum()))
-    out = np.repeat(np.where(inner, 0, symbols), sizes).astype(np.uint32)
-    fill = np.repeat(inner, sizes)
-    out[fill] = flat[place[fill]]
-    return out
+def expand(symbols: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    own = sizes[symbols]
+    ends = np.cumsum(own)
+    if not len(ends):
+        return np.zeros(0, np.uint32)
+    return flat[np.repeat(starts[symbols] - (ends - own), own) + np.arange(int(ends[-1]))]
 
 
 def to_bytes(grammar: Grammar, doc_ids: list[int | None], id_ends: np.ndarray) -> bytes:
@@ -163,7 +165,7 @@ class Shard:
             setattr(self, name, np.frombuffer(data, dtype, count, at).reshape(shape))
             at += count * np.dtype(dtype).itemsize
         self.null = np.unpackbits(self.doc_null)[: self.n].astype(bool)
-        self.flat, self.starts = expansions(self.base, self.rules, self.spans)
+        self.table = expansions(self.base, self.rules, self.spans)
 
     def __len__(self) -> int:
         return self.n
@@ -173,7 +175,7 @@ class Shard:
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of the ``k``-th document; nothing else is expanded."""
-        return expand(self.symbols[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])], self.base, self.spans, self.flat, self.starts)
+        return expand(self.symbols[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])], *self.table)
 
     def documents(self, block: int = 1 << 18) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """``(doc_id, ids before it in the shard, ids)``, some documents expanded at a time."""
@@ -182,7 +184,7 @@ class Shard:
             first = int(self.ends[k - 1]) if k else 0
             stop = max(k + 1, int(np.searchsorted(self.ends, first + block, side="right")))
             base_id = int(self.id_ends[k - 1]) if k else 0
-            ids = expand(self.symbols[first : int(self.ends[stop - 1])], self.base, self.spans, self.flat, self.starts)
+            ids = expand(self.symbols[first : int(self.ends[stop - 1])], *self.table)
             for j in range(k, stop):
                 a = int(self.id_ends[j - 1]) if j else 0
                 yield self.doc_id(j), a, ids[a - base_id : int(self.id_ends[j]) - base_id]
@@ -203,7 +205,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
 
     def run(batches):
         task = TaskContext.get().partitionId()
-        encoder, number = None, 0
+        number = 0
         ids_of: list[int | None] = []
         parts: list[bytes] = []
         size = 0
@@ -220,10 +222,10 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer, spaced=False)
-            for at in range(0, batch.num_rows, 1_000):
-                some = batch.slice(at, 1_000)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder(some.column(1).to_pylist()), strict=True):
+            encode = encoder(tokenizer, spaced=False)
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
                     ids_of.append(doc_id)
                     parts.append(ids + end)
                     size += len(parts[-1]) // 4

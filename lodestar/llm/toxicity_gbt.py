@@ -60,7 +60,7 @@ def terms(text: str) -> set[str]:
 class Scales(dict):
     """Word → row of a small table of word classes, worked out once for each word and process."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         super().__init__()
