@@ -24,7 +24,7 @@ def estimates(t):
     return _claims(t).select("o_orderkey", F.col("cents").alias("estimate_cents"))
 
 
-@query(f"""WITH c AS (SELECT o_orderkey, {STATUS} AS status, {BASIS} AS basis, (SELECT 1) AS one, o_totalprice, CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice / 10, 2) END AS sublimit, o_custkey,
+@query(f"""WITH c AS (SELECT o_orderkey, {STATUS} AS status, {BASIS} AS basis, (SELECT 1) AS one, o_totalprice, CASE WHEN o_orderkey % 4 <> 0 THEN round(o_totalprice) / 10 END AS sublimit, o_custkey,
   (SELECT sum(round(l_extendedprice * 100)::BIGINT) FROM lineitem WHERE l_orderkey = o_orderkey) / 100.0 AS amount FROM orders),
 d AS (SELECT *, CASE basis WHEN 'all_peril' THEN 1000.0 WHEN 'hurricane' THEN round(round(o_totalprice) / 50, 2) ELSE 0.0 END AS ded,
   CASE WHEN o_custkey % 50 = 0 THEN 'unknown claim' WHEN status = 'covered_subject_to_sublimit' AND sublimit IS NULL THEN 'sublimit required' WHEN status <> 'excluded' AND basis = 'other' THEN 'unknown basis' END AS error FROM c)
@@ -34,7 +34,7 @@ def payouts(t):
     status = F.when(F.col("o_orderstatus") == "F", "covered").when(F.col("o_orderstatus") == "O", "covered_subject_to_sublimit").when(F.col("o_orderstatus") == "P", "excluded")
     pri = F.col("o_orderpriority")
     basis = F.when(pri.isin("1-URGENT", "5-LOW"), "all_peril").when(pri == "2-HIGH", "hurricane").when(pri == "3-MEDIUM", "none_scheduled_article").otherwise("other")
-    sublimit = F.when(F.col("o_orderkey") % 4 != 0, F.round(F.col("o_totalprice") / 10, 2))
+    sublimit = F.when(F.col("o_orderkey") % 4 != 0, F.round("o_totalprice") / 10)
     out = R.payout(F.col("o_custkey") % 50 != 0, status, F.col("cents") / 100.0, basis, F.lit(1000.0), F.round("o_totalprice"), sublimit)
     return _claims(t).select("o_orderkey", out.alias("_p")).select("o_orderkey", "_p.payable", "_p.deductible", "_p.error")
 
@@ -72,7 +72,7 @@ def summary_assertions(t):
     excess = 1000 + c % 10
     summary = F.concat(
         F.lit("Claim "), F.when(k % 3 == 0, "withheld").otherwise(claim), F.lit(", loss on "), shown, F.lit(". "),
-        F.when(c % 4 == 0, "No excess is known. ").otherwise(F.when(c % 4 == 1, F.concat(F.lit("Deductible of $"), F.format_number(excess.cast("double"), 0), F.lit(" applies. "))).otherwise(F.concat(F.lit("$"), excess.cast("string"), F.lit(" all-peril deductible. ")))),
+        F.when(c % 4 == 0, "No excess is known. ").otherwise(F.when(c % 4 == 1, F.concat(F.lit("Deductible of $"), F.format_number(excess.cast("double"), 0), F.lit(" applies. "))).otherwise(F.concat(F.lit("$"), F.format_number(excess.cast("double"), 0), F.lit(" all-peril deductible. ")))),
         F.when(F.col("o_orderstatus") == "P", F.when(c % 3 == 0, "The claim is denied.").otherwise("The claim is denied under E-17.")).otherwise("Paid in full."),
     )
     failed = R.assertions(summary, claim, day, excess, F.array(F.lit("E-17")))
