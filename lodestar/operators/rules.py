@@ -25,7 +25,7 @@ EXCESS_BEFORE = rf"(?i){AMOUNT}\s*(?:[\w‐-―-]+\s+){{0,2}}(?:deductible|exces
 
 def estimate(lines: Column, amount: str = "amount") -> Column:
     """The sum of a claim's lines; null, not 0, where there are none."""
-    return F.when(F.size(F.coalesce(lines, F.array().cast("array<struct<amount:double>>"))) > 0, F.aggregate(lines, F.lit(0.0), lambda s, x: s + x[amount].cast("double")))
+    return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, F.aggregate(lines, F.lit(0.0), lambda s, x: s + x[amount].cast("double")))
 
 
 def payout(known: Column, status: Column, amount: Column, basis: Column, all_peril: Column, coverage_a: Column, sublimit: Column) -> Column:
