@@ -9,7 +9,7 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Distinct words that a process has at hand; as many that were at hand before are remembered.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Words that are encoded in one call.
 TOGETHER = 200
 
@@ -114,8 +114,14 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
-        for at in range(0, len(texts), 500):
-            out += self._some(texts[at : at + 500])
+        collects = gc.isenabled()
+        gc.disable()  # lists of many words make the collector walk them again and again, and no cycles are made here
+        try:
+            for at in range(0, len(texts), 500):
+                out += self._some(texts[at : at + 500])
+        finally:
+            if collects:
+                gc.enable()
         return out
 
     def _some(self, texts: list[str | None]) -> list[bytes]:
@@ -160,6 +166,5 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 def encoder(path: str, spaced: bool) -> Encoder:
     """The process's encoder of a vocabulary; Python workers outlive tasks, and so do the words they have learnt."""
     if (path, spaced) not in _ENCODERS:
-        gc.disable()  # lists of many words make the collector walk them again and again, and no cycles are made here
         _ENCODERS[path, spaced] = Encoder(path, spaced)
     return _ENCODERS[path, spaced]

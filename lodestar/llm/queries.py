@@ -88,7 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "op2_best_fit_packing": op2_best_fit_packing,
     "op6_host_rank": filter_sql(),
     "op3_line_dedup": f"WITH {dedup_sql('documents')} SELECT id AS doc_id, txt AS text, n_lines, n_chunks, n_removed_chunks, n_removed_lines FROM deduped",
 }
