@@ -21,7 +21,7 @@ from lodestar.llm.encoding import encoder
 CAPACITY = 2048
 OPEN_BINS = 4096
 #: Texts that are encoded, and pieces that are handed on, at a time.
-SLICE = 500
+SLICE = 1_000
 #: Documents that arrive together.
 ARRIVE = 4_000
 #: Tasks whose last open bins are packed together.
@@ -109,7 +109,7 @@ def _packed(path: str, end_id: int, capacity: int, open_bins: int):
                 arrived = []
                 for first in range(group, min(group + ARRIVE, batch.num_rows), SLICE):
                     some = batch.slice(first, min(SLICE, group + ARRIVE - first))
-                    for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+                    for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
                         arrived += [(doc_id, k, start, len(part) // 4, part) for k, (start, part) in enumerate(pieces_of(ids + end, capacity))]
                 # Of those that arrive together the longest pieces come first: later ones fill what these leave.
                 arrived.sort(key=lambda x: x[3])

@@ -6,6 +6,8 @@ import gc
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
 #: Distinct words that a process has at hand; as many that were at hand before are remembered.
@@ -22,8 +24,10 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 ALPHABET = _byte_alphabet()
-#: Where one of these stands in a text, its white space is not single spaces and line feeds alone.
-OTHER_WHITE = ("  ", " \n", "\n ", "\n\n", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+#: Where this is found in a text, its white space is not single spaces and line feeds alone.
+OTHER_WHITE = "  | \\n|\\n |\\n\\n|[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: Texts that are handled at a time.
+SLICE = 1_000
 
 
 class Encoder:
@@ -62,35 +66,35 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         again = new & self.before.keys()
-        self.known.update((x, self.before[x]) for x in again)
+        self.known.update({x: self.before[x] for x in again})
         new = new - again
         if not self.spaced:
-            self.known.update(self._ids_of(new, "", self.known))
+            self._add(self.known, new, "")
             return
         heads = {x for x in new if x[:1] == "\n"}
-        self.known.update(self._ids_of(new - heads, " ", self.known))
-        self.known.update(("\n" + x, self.line + ids) for x, ids in self._ids_of({x[1:] for x in heads}, "", {}).items())
+        self._add(self.known, new - heads, " ")
+        bare: dict[str, bytes] = {}
+        self._add(bare, {x[1:] for x in heads}, "")
+        self.known.update({"\n" + x: self.line + ids for x, ids in bare.items()})
 
-    def _ids_of(self, words: set[str], lead: str, known: dict[str, bytes]) -> dict[str, bytes]:
-        """The ids of words, and of some of their parts, each with ``lead`` before it."""
-        # A full stop or comma after letters is a word of its own to both vocabularies.
-        ended = [x for x in words if x[-1:] in self.stops and x[:-1].isalpha()]
+    def _add(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
+        """Put the ids of words, and of the stems of some, each with ``lead`` before it, into ``known``."""
         letters = {x for x in words if x.isalpha()}
-        letters.update(stem for x in ended if (stem := x[:-1]) not in known)
+        # A full stop or comma after letters is a word of its own to both vocabularies.
+        ended = [(x, x[:-1], x[-1]) for x in words.difference(letters) if x[-1:] in self.stops and x[:-1].isalpha()]
+        letters.update([stem for _, stem, _ in ended if stem not in known])
         if not self.spaced:
             letters = {x for x in letters if x.isascii() or (is_normalized("NFC", x) and "\u03a3" not in x and x.lower().isalpha())}
-        out = self._together(list(letters), lead, self.letters, self.letter_mark)
-        for x in ended:
-            ids = out.get(x[:-1]) or known.get(x[:-1])
-            if ids:
-                out[x] = ids + self.stops[x[-1]]
-        others = [x for x in words if x not in out]
+        self._together(known, list(letters), lead, self.letters, self.letter_mark)
+        for x, stem, stop in ended:
+            if (ids := known.get(stem)) is not None:
+                known[x] = ids + self.stops[stop]
+        others = [x for x in words.difference(letters) if x not in known]
         alone = [x for x in others if not x or self.mark in x]
-        out.update(zip(alone, self._whole([lead + x for x in alone]), strict=True))
-        out.update(self._together([x for x in others if x and self.mark not in x], lead, self.tokenizer, self.mark_id))
-        return out
+        known.update(zip(alone, self._whole([lead + x for x in alone]), strict=True))
+        self._together(known, [x for x in others if x and self.mark not in x], lead, self.tokenizer, self.mark_id)
 
-    def _together(self, words: list[str], lead: str, tokenizer: Tokenizer, mark_id: int) -> dict[str, bytes]:
+    def _together(self, known: dict[str, bytes], words: list[str], lead: str, tokenizer: Tokenizer, mark_id: int) -> None:
         groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
         if tokenizer is self.letters:
             # Spelled in the alphabet of bytes that the merges are made of; a line feed is spelled as the separator.
@@ -99,65 +103,64 @@ class Encoder:
         else:
             texts = [lead + f"{self.between}{lead}".join(group) for group in groups]
         encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        out: dict[str, bytes] = {}
         for group, encoded in zip(groups, encode(texts, add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, "<u4")
-            ends = [*np.flatnonzero(ids == mark_id).tolist(), len(ids)]
-            if len(ends) != len(group):  # a word that holds the separator in another spelling
-                out.update(zip(group, self._whole([lead + x for x in group]), strict=True))
+            marks = np.flatnonzero(ids == mark_id) * 4
+            if len(marks) + 1 != len(group):  # a word that holds the separator in another spelling
+                known.update(zip(group, self._whole([lead + x for x in group]), strict=True))
                 continue
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(group, ends, strict=True):
-                out[word] = raw[4 * start : 4 * end]
-                start = end + 1
-        return out
+            raw = ids.tobytes()
+            known.update(zip(group, [raw[a:b] for a, b in zip([0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)], strict=True)], strict=True))
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        array = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         out: list[bytes] = []
         collects = gc.isenabled()
         gc.disable()  # lists of many words make the collector walk them again and again, and no cycles are made here
         try:
-            for at in range(0, len(texts), 500):
-                out += self._some(texts[at : at + 500])
+            for at in range(0, len(array), SLICE):
+                out += self._some(array.slice(at, SLICE))
         finally:
             if collects:
                 gc.enable()
         return out
 
-    def _some(self, texts: list[str | None]) -> list[bytes]:
+    def _some(self, texts: pa.Array) -> list[bytes]:
+        """Split and number the words outside Python; only a slice's distinct words become Python strings."""
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, OTHER_WHITE).to_numpy(zero_copy_only=False)) if self.spaced else np.zeros(0, np.int64)
+        whole = dict(zip(odd.tolist(), self._whole(texts.take(pa.array(odd)).to_pylist()), strict=True)) if len(odd) else {}
+        # A word at a line's start keeps the line feed before it; so does, for now, a text's first word.
+        plain = pc.replace_substring(texts, "\n", " \n" if self.spaced else " ")
+        lists = pc.split_pattern(pc.binary_join_element_wise("\n", plain, "") if self.spaced else plain, " ")
+        numbers = lists.flatten().dictionary_encode()
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known  # words still in use come back from there
-        out: list[bytes | None] = [None] * len(texts)
-        odd: list[int] = []
-        looked: list[tuple[int, list[tuple[int, str]], list[bytes | None]]] = []
-        new: set[str] = set()
-        get = self.known.get
-        for i, text in enumerate(texts):
-            if not text:
-                out[i] = b""
-                continue
-            if self.spaced:
-                if any(x in text for x in OTHER_WHITE):
-                    odd.append(i)
-                    continue
-                text = "\n" + text.replace("\n", " \n")  # noqa: PLW2901
-            elif text.isascii() or (is_normalized("NFC", text) and not any(x in text for x in "\u03a3\u0130")):
-                text = text.lower()  # noqa: PLW2901  the vocabulary does so too, but for letters whose case hangs on context
-            words = text.split(" ") if self.spaced else text.replace("\n", " ").split(" ")
-            found = list(map(get, words))
-            missing = [(k, words[k]) for k, ids in enumerate(found) if ids is None]
-            new.update([w for _, w in missing])
-            looked.append((i, missing, found))
-        self._learn(new)
-        known = self.known
+        words = self._keys(numbers.dictionary.to_numpy(zero_copy_only=False).tolist())
+        found = list(map(self.known.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            self._learn({words[k] for k in missing})
+            for k in missing:
+                found[k] = self.known[words[k]]
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        order = numbers.indices.to_numpy()
+        each = sizes[order]
+        ends = np.cumsum(each)
+        place = np.repeat(starts[order] - (ends - each), each)
+        place += np.arange(len(place))
+        raw = flat[place].tobytes()
+        bounds = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
         skip = len(self.line) if self.spaced else 0
-        for i, missing, found in looked:
-            for k, word in missing:
-                found[k] = known[word]
-            out[i] = b"".join(found)[skip:]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        return [whole[i] if i in whole else raw[a + skip : b] for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
+
+    def _keys(self, words: list[str]) -> list[str]:
+        """What words are remembered by: lower case where the vocabulary lowers them whatever stands around."""
+        if self.spaced:
+            return words
+        return [x.lower() if x.isascii() or (is_normalized("NFC", x) and "\u03a3" not in x and "\u0130" not in x) else x for x in words]
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

@@ -223,9 +223,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
 
         for batch in batches:
             encode = encoder(tokenizer, spaced=False)
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist()), strict=True):
+            for at in range(0, batch.num_rows, 1_000):
+                some = batch.slice(at, 1_000)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
                     ids_of.append(doc_id)
                     parts.append(ids + end)
                     size += len(parts[-1]) // 4
