@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut
+from lodestar.llm.common import arrow_rows, cut, release_memory
 from lodestar.llm.encoding import encoder
 
 CAPACITY = 2048
@@ -127,6 +126,8 @@ def _packed(path: str, end_id: int, capacity: int, open_bins: int):
         left = [x for rows in held.values() for x in rows]
         for at in range(0, len(left), SLICE):
             yield batch_of(left[at : at + SLICE], True)
+        held.clear()
+        release_memory()
 
     return run
 
@@ -143,17 +144,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
     those bins and one Arrow batch. The packed table is written once, so the second step repeats no encoding.
     """
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    packed = cut(source.mapInArrow(_packed(tokenizer, end_id, capacity, open_bins), DDL), "packed")
+    with arrow_rows(docs.sparkSession, ARRIVE):
+        packed = cut(source.mapInArrow(_packed(tokenizer, end_id, capacity, open_bins), DDL), "packed")
     last = packed.where("open").groupBy("task", "bin").agg(F.sum("length").alias("fill"))
 
-    def again(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["fill", "task", "bin"], ascending=[False, True, True])
+    def again(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("fill", "descending"), ("task", "ascending"), ("bin", "ascending")])
         packer = BestFit(capacity, len(rows) + 1)
-        placed = [packer.place(int(x))[:2] for x in rows.fill]
-        base = (1 << 62) + (int(rows.task.iloc[0]) // group << 32)
-        return pd.DataFrame({"task": rows.task.to_numpy(), "bin": rows.bin.to_numpy(), "sequence_id": [base + b for b, _ in placed], "shift": [o for _, o in placed]})
+        placed = [packer.place(x)[:2] for x in rows["fill"].to_pylist()]
+        base = (1 << 62) + (rows["task"][0].as_py() // group << 32)
+        return pa.table({"task": rows["task"], "bin": rows["bin"], "sequence_id": pa.array([base + b for b, _ in placed], pa.int64()), "shift": pa.array([o for _, o in placed], pa.int64())})
 
-    moved = last.groupBy(F.floor(F.col("task") / group).alias("_group")).applyInPandas(again, "task long, bin long, sequence_id long, shift long")
+    moved = last.groupBy(F.floor(F.col("task") / group).alias("_group")).applyInArrow(again, "task long, bin long, sequence_id long, shift long")
     columns = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
     done = packed.where("NOT open").withColumn("sequence_id", F.shiftleft("task", 32) + F.col("bin")).select(columns)
     rest = packed.where("open").join(moved.hint("merge"), ["task", "bin"]).withColumn("offset", F.col("offset") + F.col("shift")).select(columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,12 +119,14 @@ def mix_sources(
     sources = sources.select("_source", "source_size", "target", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("rounds"))
     sources = cut(sources, "mix-targets")
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("size").reset_index(drop=True)
-        budget = round(rows.target.iloc[0] - rows.rounds.iloc[0] * rows.source_size.iloc[0])
-        return rows.assign(extra=fit_lengths(rows["size"].to_numpy(), rows.n.to_numpy(), int(budget)))[["_source", "size", "extra"]]
+    def fit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("size")
+        first = rows.slice(0, 1).to_pylist()[0]
+        budget = round(first["target"] - first["rounds"] * first["source_size"])
+        extra = fit_lengths(rows["size"].to_numpy(), rows["n"].to_numpy(), int(budget))
+        return pa.table({"_source": rows["_source"], "size": rows["size"], "extra": pa.array(extra, pa.int64())})
 
-    extra = lengths.join(sources, "_source").groupBy("_source").applyInPandas(fit, "_source string, size long, extra long")
+    extra = lengths.join(sources, "_source").groupBy("_source").applyInArrow(fit, "_source string, size long, extra long")
     earlier = Window.partitionBy("_source", "size").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = counted.join(extra, ["_source", "size"]).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     plan = plan.withColumn("here", F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before")))).join(sources, "_source")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -71,10 +74,46 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
-def map_rows(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+_OWNER: list = [None, None]
+
+
+def release_memory() -> None:
+    """Give freed memory of a Python worker back to the machine; idle workers stand beside the JVM's own growth."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def take_process(name: str, drop: Callable[[], None] | None = None) -> None:
+    """Say that this Python worker now works for ``name``; what another operator remembered in it is dropped.
+
+    Workers outlive tasks, so words and tables learnt in one are of use in the next, but only to the same operator.
+    """
+    if _OWNER[0] != name:
+        if _OWNER[1]:
+            _OWNER[1]()
+            release_memory()
+        _OWNER[:] = [name, drop]
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Send at most so many rows at a time to Python while a job runs: long texts make large batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def map_rows(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], dict]], rows: int = 2_000) -> DataFrame:
     """``mapInArrow`` for functions from a batch to a dict of columns.
 
-    ``make`` runs once in each task, so that tokenizers, compressors and caches are set up once for all its batches.
+    ``make`` runs once in each task, so that tokenizers, compressors and caches are set up once for all its batches,
+    which it gets ``rows`` rows at a time.
     """
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -83,11 +122,13 @@ def map_rows(df: DataFrame, schema: T.StructType | str, make: Callable[[], Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
+        take_process(f"{make.__module__}.{make.__qualname__}")
         for batch in batches:
             step = step or make()
-            if batch.num_rows:
-                out = step(batch)
+            for at in range(0, batch.num_rows, rows):
+                out = step(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for f, x in ((f, out[f.name]) for f in arrow)], schema=arrow)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 

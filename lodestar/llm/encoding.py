@@ -10,8 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer, pre_tokenizers
 
+from lodestar.llm.common import release_memory, take_process
+
 #: Distinct words that a process has at hand; as many that were at hand before are remembered.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Words that are encoded in one call.
 TOGETHER = 200
 
@@ -55,9 +57,7 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         # Words of letters alone need neither normalizer nor pre-tokenizer: they are spelled out and merged only.
-        self.letters = Tokenizer.from_file(path)
-        self.letters.encode_special_tokens = True
-        self.letters.normalizer = None
+        self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Split(ALPHABET[10], "isolated")
         self.letter_mark = self.letters.encode(ALPHABET[10], add_special_tokens=False).ids[0]
 
@@ -168,6 +168,8 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 def encoder(path: str, spaced: bool) -> Encoder:
     """The process's encoder of a vocabulary; Python workers outlive tasks, and so do the words they have learnt."""
+    take_process("encoder", _ENCODERS.clear)
     if (path, spaced) not in _ENCODERS:
         _ENCODERS[path, spaced] = Encoder(path, spaced)
+        release_memory()  # reading a vocabulary takes several times its size
     return _ENCODERS[path, spaced]

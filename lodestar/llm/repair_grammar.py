@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, fresh_path, read_shared, write_shared
+from lodestar.llm.common import arrow_rows, cut, fresh_path, read_shared, release_memory, write_shared
 from lodestar.llm.encoding import encoder
 
 MAGIC, VERSION = b"LRPG", 1
@@ -233,10 +233,12 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
                         yield flush()
         if parts:
             yield flush()
+        release_memory()
 
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     ordered = source.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return cut(ordered.mapInArrow(run, MANIFEST), "shard-manifest")
+    with arrow_rows(docs.sparkSession, 4_000):
+        return cut(ordered.mapInArrow(run, MANIFEST), "shard-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -192,31 +191,38 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexic
     return ToxicityModel(lexicon, trees, calibration, float(y.mean()))
 
 
-def toxicity_score(model: ToxicityModel):
-    """A vectorised function from a text column to scores between 0 and 1."""
-    held: list[Scales] = []
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if not held:
-            held.append(Scales(model.lexicon))
-        return pd.Series(model.scores([x if isinstance(x, str) else None for x in texts], held[0]))
-
-    return score
-
-
 def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of each row of ``docs``: the score comes from the text alone.
 
     Null and empty texts are scored like a text of zeros; repeated rows get one score; a null id is kept; an empty
     table gives an empty result; other columns are not read.
     """
-    score = toxicity_score(fit_toxicity(docs, labels, **options))
-    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), score(docs["text"]).alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    model = fit_toxicity(docs, labels, **options)
+
+    def make():
+        scales = Scales(model.lexicon)
+
+        def step(batch: pa.RecordBatch) -> dict:
+            return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": model.scores(batch.column(2).to_pylist(), scales)}
+
+        return step
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), docs["text"])
+    return map_rows(rows, "doc_id long, held_out boolean, score double", make).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5, **options) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, with their columns."""
-    score = toxicity_score(fit_toxicity(docs, labels, **options))
-    return docs.where(score(docs["text"]) < limit)
+    """The rows of ``docs`` that score below ``limit``, with their columns, whatever their names."""
+    model = fit_toxicity(docs, labels, **options)
+    at, names = docs.columns.index("text"), docs.columns
+
+    def make():
+        scales = Scales(model.lexicon)
+
+        def step(batch: pa.RecordBatch) -> dict:
+            kept = batch.filter(pa.array(model.scores(batch.column(at).to_pylist(), scales) < limit))
+            return dict(zip(names, kept.columns, strict=True))
+
+        return step
+
+    return map_rows(docs, docs.schema, make)
