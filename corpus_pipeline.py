@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.best_fit_packing import pack_documents
 from lodestar.llm.budget_mix import apply_mix
 from lodestar.llm.common import fresh_path
-from lodestar.llm.line_dedup import dedup_lines
+from lodestar.llm.line_dedup import WHOLE, dedup_lines
 from lodestar.llm.simhash_popcount import drop_near_duplicates
 from lodestar.llm.toxicity_gbt import drop_toxic
 from lodestar.session import ship_code
@@ -34,7 +34,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that stood before go from the texts; ``n_chars`` follows the text. No document goes."""
     ship_code(spark)
-    return _documents(dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")))
+    return _documents(dedup_lines(docs, WHOLE).withColumn("n_chars", F.length("text").cast("long")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

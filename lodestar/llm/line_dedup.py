@@ -1,8 +1,12 @@
-"""Removal of globally repeated passages: content-defined chunks of lines, compared byte by byte.
+"""Removal of globally repeated passages: content-defined chunks of lines, compared by SHA-256 of their bytes.
 
 Only DataFrame functions run here. A line's hash and its predecessor's make a rolling hash; where that is 0 modulo
 ``divisor`` a chunk ends. The boundaries depend on the lines around them alone, so a passage that moves keeps its inner
 boundaries. A line of ``long_words`` words or more is a passage by itself and always a chunk of its own.
+
+With ``runs``, passages are also looked for at every line, wherever chunks end: the shortest runs of lines that reach
+``long_words`` words, forwards from each line and backwards from each. Of a common run of so many words every line is in
+one that lies inside the run, so the run is found whole.
 """
 
 from __future__ import annotations
@@ -17,14 +21,20 @@ from lodestar.llm.common import WORD, cut
 
 @dataclass(frozen=True)
 class Chunking:
-    """``min_words``: a chunk of several lines with fewer words is never removed (two short stock lines are no passage)."""
+    """``min_words``: a chunk of several lines with fewer words is never removed (two short stock lines are no passage).
+
+    ``runs``: repeated runs of lines with ``long_words`` words go too, whatever chunks they lie in.
+    """
 
     divisor: int = 2
     base: int = 31
     long_words: int = 50
     min_words: int = 12
+    runs: bool = False
 
 
+#: Chunks and whole runs of lines.
+WHOLE = Chunking(runs=True)
 ROW = ["_k1", "_k2"]
 
 
@@ -34,19 +44,35 @@ def _chunks(text: str, rule: Chunking) -> str:
     The lines' counts and hashes, and the lines that end chunks, are bound to lambda variables: wherever the optimizer
     repeats the expression, each of them is still worked out once for a text.
     """
-    lines = f"""transform(split({text}, '\\n', -1), x -> named_struct('n', regexp_count(x, r'{WORD}'),
-        'h', CAST(conv(substring(md5(CAST(x AS BINARY)), 1, 8), 16, 10) AS LONG)))"""
     ends = f"""filter(sequence(0, size(ls) - 1), i -> i = size(ls) - 1
         OR get(ls, i).n >= {rule.long_words} OR get(ls, i + 1).n >= {rule.long_words}
         OR pmod(coalesce(get(ls, i - 1).h, 0L) * {rule.base} + get(ls, i).h, {rule.divisor}) = 0)"""
     spans = """transform(es, (e, k) -> named_struct('first', IF(k = 0, 0, get(es, k - 1) + 1), 'size', IF(k = 0, e + 1, e - get(es, k - 1))))"""
     chunks = f"""transform({spans}, c -> transform(array(slice(ls, c.first + 1, c.size)), own -> named_struct(
         'first', c.first, 'size', c.size, 'words', aggregate(own, 0, (a, x) -> a + x.n), 'digest', xxhash64(transform(own, x -> x.h))))[0])"""
-    return f"transform(array({lines}), ls -> transform(array({ends}), es -> {chunks})[0])[0]"
+    return f"transform(array({_hashed(text)}), ls -> transform(array({ends}), es -> {chunks})[0])[0]"
+
+
+def _hashed(text: str) -> str:
+    """``array<struct<n, h>>``: words and hash of each line."""
+    return f"""transform(split({text}, '\\n', -1), x -> named_struct('n', regexp_count(x, r'{WORD}'),
+        'h', CAST(conv(substring(md5(CAST(x AS BINARY)), 1, 8), 16, 10) AS LONG)))"""
+
 
+def _runs(text: str, rule: Chunking) -> str:
+    """``array<struct<s, e, d>>``: first line, last line and digest of the shortest runs of ``rule.long_words`` words.
 
-def _passage(lines: str, chunk: str) -> str:
-    return f"array_join(slice({lines}, {chunk}.first + 1, {chunk}.size), '\\n')"
+    They begin and end at lines with words, so a run has at most ``long_words`` of these, and each line is in a bounded
+    number of runs. A run that is the shortest in both directions is given once.
+    """
+    most = rule.long_words
+    reach = f"aggregate({{}}, named_struct('w', 0, 'k', -1), (a, p) -> IF(a.w >= {most}, a, named_struct('w', a.w + get(ls, p).n, 'k', a.k + 1)))"
+    ahead = reach.format(f"slice(ps, k + 1, {most})")
+    back = reach.format(f"reverse(slice(ps, greatest(k + 2 - {most}, 1), least({most}, k + 1)))")
+    ahead = f"filter(transform(ps, (p, k) -> transform(array({ahead}), r -> named_struct('s', p, 'e', get(ps, k + r.k), 'ok', r.w >= {most}))[0]), r -> r.ok)"
+    back = f"filter(transform(ps, (p, k) -> transform(array({back}), r -> named_struct('s', get(ps, k - r.k), 'e', p, 'ok', r.w - get(ls, p).n >= {most}))[0]), r -> r.ok)"
+    runs = f"transform(concat({ahead}, {back}), r -> named_struct('s', r.s, 'e', r.e, 'd', xxhash64(transform(slice(ls, r.s + 1, r.e - r.s + 1), x -> x.h))))"
+    return f"transform(array({_hashed(text)}), ls -> transform(array(filter(sequence(0, size(ls) - 1), i -> get(ls, i).n > 0)), ps -> {runs})[0])[0]"
 
 
 LINES = "split(_text, '\\n', -1)"
@@ -59,15 +85,18 @@ def chunked(docs: DataFrame, rule: Chunking) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows and columns of ``docs`` with repeated chunks cut out of the text, and ``n_lines, n_chunks,
-    n_removed_chunks, n_removed_lines``.
-
-    A chunk counts if it has several lines and ``rule.min_words`` words, or one line of ``rule.long_words`` words. Of
-    its occurrences in the whole table the first stays, by smallest id, then place; the others go, in the same text
-    too. Chunks are taken for equal only if their bytes are. Null texts stay null and count no lines; an empty text
-    is one line without words. Rows alike in id and text are one document and are rewritten alike; null ids come
-    first. An empty table gives an empty result; columns named like a result are replaced.
-
-    Scale: hashes of chunks are counted first, so that only chunks whose hash repeats are compared as text; both
+    n_removed_chunks, n_removed_lines``; a removed chunk is one that has no line left.
+
+    A chunk counts if it has several lines and ``rule.min_words`` words, or one line of ``rule.long_words`` words; with
+    ``rule.runs`` the runs of lines count beside the chunks. Of the occurrences of such a passage in the whole table the
+    first stays, by smallest id, then place; the others go, in the same text too, but for lines that they share with
+    the first. Each line that goes stands at an earlier place, so none is lost altogether. Passages are taken for equal
+    if SHA-256 of their bytes is: runs overlap, and as texts they would be several times what repeats. Null texts stay
+    null and count no lines; an empty text is one line without words. Rows alike in id and text are one document and
+    are rewritten alike; null ids come first. An empty table gives an empty result; columns named like a result are
+    replaced.
+
+    Scale: short hashes of passages are counted first, so that only those whose hash repeats are compared; both
     counts combine before their shuffles, so a passage in a third of all texts is no hot group. The texts are shuffled
     twice, by row, never by passage; the joins merge at every size, so that a small run costs its share of a large one.
     """
@@ -82,21 +111,26 @@ def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc
     plain = rows.select(*ROW, "_id", "_text")
     eligible = f"c.words >= {rule.min_words} AND (c.size > 1 OR c.words >= {rule.long_words})"
 
-    # explode_outer: a filter inferred from explode() would work out every text's chunks a second time.
-    found = chunked(plain, rule).select(*ROW, F.explode_outer(F.expr(f"filter(transform(_chunks, (c, k) -> named_struct('k', k, 'd', c.digest, 'ok', {eligible})), c -> c.ok)")).alias("_c"))
-    found = cut(found.where("_c IS NOT NULL").select(*ROW, "_c.k", F.col("_c.d").alias("digest")), "line-chunks")
+    # explode_outer: a filter inferred from explode() would work out every text's passages a second time.
+    spans = f"transform(filter({_chunks('_text', rule)}, c -> {eligible}), c -> named_struct('s', c.first, 'e', c.first + c.size - 1, 'd', c.digest))"
+    spans = f"concat({spans}, {_runs('_text', rule)})" if rule.runs else spans
+    found = plain.select(*ROW, F.explode_outer(F.expr(spans)).alias("_c"))
+    found = cut(found.where("_c IS NOT NULL").select(*ROW, F.struct("_c.s", "_c.e").alias("at"), F.col("_c.d").alias("digest")), "line-chunks")
     repeated = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    candidates = cut(found.join(repeated.hint("merge"), "digest").groupBy(*ROW).agg(F.collect_set("k").alias("_ks")), "line-candidates")
+    candidates = cut(found.join(repeated.hint("merge"), "digest").groupBy(*ROW).agg(F.collect_set("at").alias("_at")), "line-candidates")
 
-    pieces = F.expr(f"transform(array({LINES}), ls -> transform(_ks, k -> named_struct('k', k, 'passage', {_passage('ls', 'get(_chunks, k)')})))[0]")
-    texts = chunked(plain.join(candidates.hint("merge"), ROW), rule).select(*ROW, "_id", F.explode_outer(pieces).alias("_p"))
-    texts = cut(texts.select("_p.passage", F.struct("_id", *ROW, "_p.k").alias("at")).distinct(), "line-passages")
+    pieces = F.expr(f"transform(array({LINES}), ls -> transform(_at, r -> named_struct('at', r, 'passage', unhex(sha2(CAST(array_join(slice(ls, r.s + 1, r.e - r.s + 1), '\\n') AS BINARY), 256)))))[0]")
+    texts = plain.join(candidates.hint("merge"), ROW).select(*ROW, "_id", F.explode_outer(pieces).alias("_p"))
+    texts = cut(texts.select("_p.passage", F.struct("_id", *ROW, "_p.at.s", "_p.at.e").alias("at")).distinct(), "line-passages")
     first = texts.groupBy("passage").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = texts.join(first.hint("merge"), "passage").where("at <> first").groupBy(F.col("at._k1").alias("_k1"), F.col("at._k2").alias("_k2")).agg(F.collect_set("at.k").alias("_gone"))
-
-    out = chunked(rows.join(cut(gone, "line-removals").hint("merge"), ROW, "left"), rule).withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    out = out.withColumn("_out", F.expr("filter(_chunks, (c, k) -> array_contains(_gone, k))"))
-    kept = F.expr(f"array_join(transform(array({LINES}), ls -> transform(filter(_chunks, (c, k) -> NOT array_contains(_gone, k)), c -> {_passage('ls', 'c')}))[0], '\\n')")
+    start = F.expr("IF(at._k1 = first._k1 AND at._k2 = first._k2, greatest(at.s, first.e + 1), at.s)")
+    gone = texts.join(first.hint("merge"), "passage").where("at <> first").select("at._k1", "at._k2", F.struct(start.alias("s"), F.col("at.e").alias("e")).alias("_r"))
+    gone = gone.groupBy(*ROW).agg(F.collect_set("_r").alias("_gone"))
+
+    out = chunked(rows.join(cut(gone, "line-removals").hint("merge"), ROW, "left"), rule).withColumn("_gone", F.expr("flatten(transform(coalesce(_gone, array()), r -> sequence(r.s, r.e)))"))
+    out = out.withColumn("_left", F.expr("array_except(sequence(0, aggregate(_chunks, 0, (a, c) -> a + c.size) - 1), _gone)"))
+    left = "transform(array(flatten(transform(_chunks, (c, k) -> array_repeat(k, c.size)))), own -> size(array_distinct(transform(_left, i -> get(own, i)))))[0]"
+    kept = F.expr(f"array_join(transform(array({LINES}), ls -> transform(_left, i -> get(ls, i)))[0], '\\n')")
     given = F.col(f"_keep_{text_col}")
     text = F.when(given.isNull() | (F.size("_gone") == 0), given).otherwise(kept)
     none = given.isNull()
@@ -104,13 +138,13 @@ def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc
         *[(text if c == text_col else F.col(f"_keep_{c}")).alias(c) for c in names],
         F.when(none, 0).otherwise(F.expr("aggregate(_chunks, 0, (a, c) -> a + c.size)")).cast("long").alias("n_lines"),
         F.when(none, 0).otherwise(F.size("_chunks")).cast("long").alias("n_chunks"),
-        F.size("_out").cast("long").alias("n_removed_chunks"),
-        F.expr("aggregate(_out, 0, (a, c) -> a + c.size)").cast("long").alias("n_removed_lines"),
+        F.expr(f"IF(size(_gone) = 0, 0, size(_chunks) - {left})").cast("long").alias("n_removed_chunks"),
+        F.expr("aggregate(_chunks, 0, (a, c) -> a + c.size) - size(_left)").cast("long").alias("n_removed_lines"),
     )
 
 
 def dedup_sql(table: str, id_col: str = "doc_id", text_col: str = "text", columns: str = "", rule: Chunking = Chunking(), prefix: str = "") -> str:
-    """The same as a chain of DuckDB common table expressions that ends in ``{prefix}deduped(id, text, n_…, columns)``.
+    """The same, but for ``rule.runs``, as a chain of DuckDB common table expressions that ends in ``{prefix}deduped(id, text, n_…, columns)``.
 
     ``table`` has unique ids. ``columns``: further columns to hand through, each with a leading comma.
     """

@@ -14,7 +14,7 @@ from lodestar.llm.best_fit_packing import pack_documents
 from lodestar.llm.budget_mix import mix_sources
 from lodestar.llm.compression_bands import compression_bands
 from lodestar.llm.host_rank import filter_sql, filter_urls
-from lodestar.llm.line_dedup import dedup_lines, dedup_sql
+from lodestar.llm.line_dedup import WHOLE, dedup_lines, dedup_sql
 from lodestar.llm.repair_grammar import grammar_round_trip
 from lodestar.llm.simhash_popcount import near_duplicates
 from lodestar.llm.toxicity_gbt import score_toxicity
@@ -35,7 +35,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+    return dedup_lines(table(spark, sf_dir, "documents"), WHOLE).select("doc_id", "text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 
 
 def op4_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
