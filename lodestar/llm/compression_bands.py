@@ -26,12 +26,16 @@ class Bands:
 
     Texts shorter than the first entry have no verdict: a zstandard frame's header outweighs them. ``chunk``: the same
     limits for each full chunk of ``chunk_bytes``; a text is rejected when more than ``chunk_share`` of its chunks are
-    outside.
+    outside. Each upper limit lies between what natural text of its length reaches and what words of random letters and
+    digits begin at.
     """
 
-    whole: tuple[tuple[int, float, float], ...] = ((128, 0.35, 1.10), (512, 0.27, 0.90), (2048, 0.22, 0.80), (8192, 0.18, 0.75))
+    whole: tuple[tuple[int, float, float], ...] = (
+        (128, 0.35, 0.945), (160, 0.35, 0.925), (192, 0.35, 0.895), (224, 0.35, 0.87), (256, 0.35, 0.86), (320, 0.35, 0.83), (384, 0.35, 0.81), (448, 0.35, 0.785),
+        (512, 0.27, 0.75), (768, 0.27, 0.735), (1024, 0.27, 0.70), (2048, 0.22, 0.65), (8192, 0.18, 0.60),
+    )
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.20, 0.78)
+    chunk: tuple[float, float] = (0.20, 0.65)
     chunk_share: float = 0.25
     level: int = 3
 
