@@ -28,18 +28,25 @@ def without_repeats(events: DataFrame, key: str, time: str, late: str = "10 minu
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def budget_guard(laps: DataFrame, run: str, cost: str, limit: float, forget_ms: int = 3_600_000) -> DataFrame:
-    """``run, spent, blocked`` after each batch of a run's laps: whether the next lap may start. A run that is silent
-    for ``forget_ms`` is forgotten."""
+def budget_guard(laps: DataFrame, run: str, cost: str, time: str, limit: float, late: str = "10 minutes", forget_ms: int = 3_600_000) -> DataFrame:
+    """``run, spent, blocked`` after each batch of a run's laps: whether the next lap may start.
+
+    A run is forgotten once the watermark of ``time`` is ``forget_ms`` past its newest lap: idle time alone starts no
+    batches.
+    """
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        spent = (state.get[0] if state.exists else 0.0) + sum(float(p[cost].sum()) for p in parts)
-        state.update((spent,))
-        state.setTimeoutDuration(forget_ms)
+        spent, newest = state.get if state.exists else (0.0, 0)
+        for p in parts:
+            spent += float(p[cost].sum())
+            newest = max(newest, int(p[time].max().timestamp() * 1000))
+        state.update((spent, newest))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + forget_ms)
         yield pd.DataFrame({run: [key[0]], "spent": [spent], "blocked": [spent >= limit]})
 
     kind = laps.schema[run].dataType.simpleString()
-    return laps.groupBy(run).applyInPandasWithState(update, f"{run} {kind}, spent double, blocked boolean", "spent double", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    watched = laps.withWatermark(time, late).groupBy(run)
+    return watched.applyInPandasWithState(update, f"{run} {kind}, spent double, blocked boolean", "spent double, newest long", "update", GroupStateTimeout.EventTimeTimeout)

@@ -179,10 +179,10 @@ def test_streams(spark, tmp_path):
     rows = [(i, f"2024-01-01 0{i % 3}:00:00", i % 2, f"k{i % 5}") for i in range(12)]
     spark.createDataFrame(rows, "id int, ts string, bad int, key string").selectExpr("id", "CAST(ts AS timestamp) AS ts", "bad", "key").write.parquet(str(tmp_path / "in"))
     stream = S.read_events(spark, str(tmp_path / "in"), "id int, ts timestamp, bad int, key string")
-    for name, df, mode in (("rate", S.windowed_rate(stream, "ts", F.col("bad") == 1, "key"), "complete"), ("once", S.without_repeats(stream, "key", "ts"), "append"), ("budget", S.budget_guard(stream, "key", "id", 10), "update")):
-        run = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    for name, df, mode in (("rate", S.windowed_rate(stream, "ts", F.col("bad") == 1, "key"), "complete"), ("once", S.without_repeats(stream, "key", "ts"), "append"), ("budget", S.budget_guard(stream, "key", "id", "ts", 10), "update")):
+        run = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
         try:
-            run.processAllAvailable()
+            assert run.awaitTermination(120), name
         finally:
             run.stop()
     assert spark.table("rate").agg(F.sum("n")).first()[0] == 12
