@@ -1,12 +1,14 @@
 """Mixing sources to target weights by fitting each source's budget as a subset sum over exact lengths.
 
 The documents are counted by exact length. A source first gives its whole size as often as its target holds it; of what
-remains, every length gives its proportional share, and a bounded-knapsack dynamic programme over the lengths' left
-counts fits the rest to the word. Which documents of a length are taken is decided by a seeded hash.
+remains, every length gives its proportional share, rounded by seed, and a bounded-knapsack dynamic programme over the
+lengths' left counts fits the rest to the word. Which documents of a length are taken is decided by a seeded hash. So
+long and short documents are taken at one rate.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -17,49 +19,67 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import cut, n_words, source_key
 
 WEIGHTS = (5, 2, 1)
+#: Offsets of which the best rounds the shares of a source's lengths.
+OFFSETS = 64
+#: Documents that make room for the programme.
+BACK = 16
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = 1 << 17) -> np.ndarray:
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) -> np.ndarray:
     """How many documents of each length to take so that their lengths add up to ``budget``, or as near below it as
-    the programme reaches.
-
-    Proportional shares first; then single documents, longest first, while more than ``dp_budget`` (or twice the
-    longest document) is open; then bounded knapsack, counts split into powers of two, with the first item that
-    reaches a sum kept for walking back: memory is that of the open budget, whatever the number of documents.
+    they can.
+
+    Every length gives its proportional share. Shares are rounded by one offset along the lengths in order, so neighbours
+    make up for each other and long and short ones are taken at one rate; of ``OFFSETS`` seeded offsets the one that
+    leaves the fewest words open holds. Of what is taken, ``BACK`` documents, drawn evenly by the seed, go back (more while
+    the sum is above the budget), so that documents of any length fit into what is open; the open words are then fitted
+    by a bounded knapsack, lengths in seeded order, counts split into
+    powers of two, with the first item that reaches a sum kept for walking back. Its memory is that of the open words,
+    whatever the number of documents.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    total = int((lengths * counts).sum())
-    take = np.zeros_like(counts)
+    sized = np.where(lengths > 0, counts, 0)
+    total = int((lengths * sized).sum())
     if total == 0 or budget <= 0:
-        return take
+        return np.zeros_like(counts)
     if budget >= total:
         return counts.copy()
-    take = np.minimum(np.array([int(c) * budget // total for c in counts.tolist()], np.int64), counts)
-    open_ = budget - int((lengths * take).sum())
-    limit = max(dp_budget, 2 * int(lengths.max()))
-    for i in np.argsort(-lengths, kind="stable"):
-        if open_ <= limit:
-            break
-        more = min(int(counts[i] - take[i]), (open_ - limit) // int(lengths[i]) + 1, open_ // int(lengths[i]))
-        take[i] += more
-        open_ -= more * int(lengths[i])
+    rng = np.random.default_rng(seed)
+    order = np.argsort(lengths, kind="stable")
+    due = np.cumsum(sized[order]) * (budget / total)
+    tries = []
+    for offset in rng.random(OFFSETS):
+        take = np.zeros_like(counts)
+        take[order] = np.minimum(np.diff(np.floor(due + offset), prepend=0).astype(np.int64), sized[order])
+        open_ = budget - int((lengths * take).sum())
+        tries.append((open_ < 0, abs(open_), open_, offset, take))
+    _, _, open_, _, take = min(tries, key=lambda x: x[:4])
+    back = 0
+    while open_ < 0 or (back < BACK and 4 * back < take.sum()):
+        back += 1
+        i = int(np.searchsorted(np.cumsum(take), rng.integers(int(take.sum())), side="right"))
+        take[i] -= 1
+        open_ += int(lengths[i])
     items: list[tuple[int, int, int]] = []  # (weight, index of its length, number of documents)
-    first = np.full(open_ + 1, -1, np.int64)
+    first = np.full(open_ + 1, -1, np.int32)
     reached = np.zeros(open_ + 1, bool)
     reached[0] = True
-    for i in np.argsort(lengths, kind="stable"):
-        left, step = min(int(counts[i] - take[i]), open_ // max(1, int(lengths[i]))), 1
-        while left > 0 and not reached[open_] and lengths[i] > 0:
-            n = min(step, left)
+    left = sized - take
+    fits = np.flatnonzero((left > 0) & (lengths <= open_))
+    # Lengths with many documents come early as often as their documents would.
+    for i in fits[np.argsort(rng.exponential(size=len(fits)) / left[fits], kind="stable")].tolist():
+        more, step = min(int(left[i]), open_ // int(lengths[i])), 1
+        while more > 0 and not reached[open_]:
+            n = min(step, more)
             weight = n * int(lengths[i])
-            if weight <= open_:
-                new = np.zeros_like(reached)
-                new[weight:] = reached[: open_ + 1 - weight]
-                new &= ~reached
-                first[new] = len(items)
-                reached |= new
-                items.append((weight, int(i), n))
-            left, step = left - n, step * 2
+            new = np.flatnonzero(reached[: open_ + 1 - weight]) + weight if weight <= open_ else np.zeros(0, np.int64)
+            new = new[~reached[new]]
+            first[new] = len(items)
+            reached[new] = True
+            items.append((weight, i, n))
+            more, step = more - n, step * 2
+        if reached[open_]:
+            break
     at = int(np.flatnonzero(reached)[-1])
     while at:
         weight, i, n = items[first[at]]
@@ -123,7 +143,7 @@ def mix_sources(
         rows = rows.sort_by("size")
         first = rows.slice(0, 1).to_pylist()[0]
         budget = round(first["target"] - first["rounds"] * first["source_size"])
-        extra = fit_lengths(rows["size"].to_numpy(), rows["n"].to_numpy(), int(budget))
+        extra = fit_lengths(rows["size"].to_numpy(), rows["n"].to_numpy(), int(budget), zlib.crc32(f"{seed}:{first['_source']}".encode()))
         return pa.table({"_source": rows["_source"], "size": rows["size"], "extra": pa.array(extra, pa.int64())})
 
     extra = lengths.join(sources, "_source").groupBy("_source").applyInArrow(fit, "_source string, size long, extra long")

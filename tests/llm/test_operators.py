@@ -168,16 +168,49 @@ def test_fit_lengths_against_all_subsets():
     from lodestar.llm.budget_mix import fit_lengths
 
     rng = np.random.default_rng(2)
-    for _ in range(40):
+    for seed in range(60):
         lengths = np.sort(rng.choice(np.arange(3, 40), 4, replace=False))
         counts = rng.integers(1, 4, 4)
-        budget = int(rng.integers(0, (lengths * counts).sum() + 5))
-        take = fit_lengths(lengths, counts, budget, dp_budget=1 << 17)
-        assert (take <= counts).all() and (take >= 0).all()
+        total = int((lengths * counts).sum())
+        budget = int(rng.integers(0, total + 5))
+        take = fit_lengths(lengths, counts, budget, seed)
+        assert (take <= counts).all() and (take >= 0).all() and (take == fit_lengths(lengths, counts, budget, seed)).all()
         got = int((lengths * take).sum())
-        shares = np.array([int(c) * budget // max(1, int((lengths * counts).sum())) for c in counts]).clip(0, counts)
-        best = max(s for s in {int((lengths * (shares + np.array(x))).sum()) for x in np.ndindex(*(counts - shares + 1))} if s <= budget) if budget < (lengths * counts).sum() else int((lengths * counts).sum())
-        assert got == best
+        assert got <= budget and (got == total or budget < total)
+        # No subset of what is left fits into what is open.
+        rest = [int((lengths * np.array(x)).sum()) for x in np.ndindex(*(counts - take + 1))]
+        assert not [s for s in rest if 0 < s <= budget - got]
+
+
+def test_fit_lengths_reaches_the_word_and_favours_no_length():
+    from lodestar.llm.budget_mix import fit_lengths
+
+    rng = np.random.default_rng(3)
+    lengths, counts = np.unique(np.concatenate([rng.integers(5, 400, 300), rng.integers(400, 20_000, 60)]), return_counts=True)
+    total = int((lengths * counts).sum())
+    for share in (0.2, 0.77):
+        rates = np.array([fit_lengths(lengths, counts, int(share * total), seed) / counts for seed in range(400)])
+        assert all(abs(int((r * counts * lengths).sum()) - int(share * total)) <= 1 for r in rates[:20].round(9))
+        quarters = [rates[:, part].mean() for part in np.array_split(np.arange(len(lengths)), 4)]
+        assert max(abs(q - share) for q in quarters) < 0.03, quarters
+
+
+def test_mix_takes_all_lengths_at_one_rate(spark):
+    from lodestar.llm.budget_mix import mix_sources
+
+    rng = random.Random(8)
+    sizes = [rng.choice([rng.randint(1, 60), rng.randint(60, 500), rng.randint(500, 4_000)]) for _ in range(1_500)]
+    made = spark.createDataFrame([(i, "w " * n, rng.choice("abc")) for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    by_length = defaultdict(lambda: [0, 0.0])
+    other = {r["doc_id"]: r["copies"] for r in mix_sources(made, seed=8).collect()}
+    moved = 0
+    for r in mix_sources(made).collect():
+        cell = by_length[0 if r["size"] < 60 else 1 if r["size"] < 500 else 2]
+        cell[0] += 1
+        cell[1] += r["copies"] - r["target"] / r["source_size"]
+        moved += other[r["doc_id"]] != r["copies"]
+    assert all(abs(over / n) < 0.04 for n, over in by_length.values()), dict(by_length)
+    assert moved > 50  # the seed decides
 
 
 def test_mix(docs, none):
