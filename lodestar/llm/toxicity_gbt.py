@@ -2,8 +2,8 @@
 
 The features are densities of an insult lexicon (a short fixed list, and words and word beginnings learnt from
 labelled rows), insults near second-person words, capitals, punctuation and obfuscated spellings. Everything is fitted
-on a bounded sample of labelled rows: one part gives the lexicon, a second the trees, a third the calibration, so that
-no part is judged by what it has itself been learnt from. Scoring is one pass over the texts without a shuffle.
+on a bounded sample of labelled rows: one part gives the lexicon, the other the trees. Calibration is fitted, whatever
+the sample's size, on predictions of trees that have not seen the row they judge. Scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ from lodestar.llm.common import map_rows
 FIT_ROWS = 15_000
 #: Learnt words and word beginnings at most, the most telling first.
 LEXICON_SIZE = 3_000
-#: Shares of the fit rows for the lexicon and for the trees; the rest calibrates.
-PARTS = (0.4, 0.8)
+#: Share of the fit rows for the lexicon; the rest is for the trees and their calibration.
+LEXICON_PART = 0.4
+#: Parts of the rows for the trees: each is judged by trees of the others, and calibrates them.
+FOLDS = 5
+ROUNDS = 120
 NEAR = 5
 
 # Insults that count without being learnt, and second-person words.
@@ -115,7 +118,7 @@ def features(texts: list[str | None], scales: Scales) -> np.ndarray:
 class ToxicityModel:
     lexicon: dict[str, float]
     trees: Boosted | None
-    calibration: Isotonic | None
+    calibration: Isotonic | None  #: none only where there are no trees
     share: float
 
     def scores(self, texts: list[str | None], scales: Scales) -> np.ndarray:
@@ -123,7 +126,7 @@ class ToxicityModel:
             return np.full(len(texts), self.share)
         p = self.trees.probability(features(texts, scales))
         # A hundredth of the uncalibrated score keeps the order within the flat parts of the calibration.
-        return np.clip(0.99 * self.calibration(p) + 0.01 * p, 0, 1) if self.calibration else p
+        return np.clip(0.99 * self.calibration(p) + 0.01 * p, 0, 1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -135,14 +138,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexic
     """Fit on at most ``rows`` labelled documents that are not held out.
 
     Labels may repeat (the largest counts) or be null (not used). Copies of a text count once in the lexicon. Where the
-    sample lacks one of the two labels, the model gives every text the share of label 1 (0 without labels).
+    sample lacks one of the two labels, the model gives every text the share of label 1 (0 without labels). Of documents
+    repeated under one id the text that sorts first counts, so the sample stays below ``rows``.
     """
     chosen = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & ~held_out(labels["doc_id"])).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(rows)
     part = F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(1000)) / 1000
     # At most `rows` small rows: a proven bound for the broadcast.
-    sample = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(chosen), "doc_id").select("text", F.col("_toxic").cast("int").alias("toxic"), part.alias("part"))
-    sample = sample.dropDuplicates(["text", "toxic"]) if rows else sample
+    sample = docs.select(docs["doc_id"], docs["text"]).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("_toxic").cast("int").alias("toxic"), part.alias("part"))
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("text", "toxic", "part")).alias("_row")).select("_row.*").dropDuplicates(["text", "toxic"])
     sample = sample.persist()
 
     def count_terms():
@@ -156,7 +160,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexic
         return step
 
     try:
-        counts = map_rows(sample.where(F.col("part") < PARTS[0]).select("text", "toxic"), "term string, toxic int, n long", count_terms)
+        counts = map_rows(sample.where(F.col("part") < LEXICON_PART).select("text", "toxic"), "term string, toxic int, n long", count_terms)
         counts = counts.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("neg"))
         whole = counts.where("term = ''").first()
         lexicon: dict[str, float] = {}
@@ -174,20 +178,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, lexic
 
             return step
 
-        fit = map_rows(sample.where(F.col("part") >= PARTS[0]), "x array<double>, toxic int, part double", measure).toPandas()
+        fit = map_rows(sample.where(F.col("part") >= LEXICON_PART), "x array<double>, toxic int, part double", measure).toPandas()
     finally:
         sample.unpersist()
     if fit.empty or fit.toxic.nunique() < 2:
         return ToxicityModel(lexicon, None, None, float(fit.toxic.mean()) if len(fit) else 0.0)
     fit = fit.assign(key=fit.x.map(tuple)).sort_values(["part", "key"])
     x, y = np.array(fit.x.tolist()), fit.toxic.to_numpy(float)
-    trains = fit.part.to_numpy() < PARTS[1]
-    if len(set(y[trains])) < 2:
-        trains[:] = True
-    # With few examples of label 1 fewer rounds: what cannot be told is then left below one half.
-    trees = fit_boosted(x[trains], y[trains], rounds=int(np.clip(4 * y[trains].sum(), 8, 120)))
-    rest = ~trains
-    calibration = fit_isotonic(trees.probability(x[rest]), y[rest]) if rest.sum() >= 200 and len(set(y[rest])) == 2 else None
+    # Dealt label by label, so that every fold has both where there are enough of them.
+    fold = np.empty(len(y), np.int64)
+    for label in (0, 1):
+        of = np.flatnonzero(y == label)
+        fold[of] = np.arange(len(of)) % FOLDS
+    unseen = np.full(len(y), y.mean())
+    for k in range(FOLDS):
+        if (fold == k).any() and len(set(y[fold != k])) == 2:
+            unseen[fold == k] = fit_boosted(x[fold != k], y[fold != k], rounds=ROUNDS).probability(x[fold == k])
+    trees, calibration = fit_boosted(x, y, rounds=ROUNDS), fit_isotonic(unseen, y)
     return ToxicityModel(lexicon, trees, calibration, float(y.mean()))
 
 
