@@ -24,13 +24,15 @@ WINDOW = 8
 class Bands:
     """``whole``: (UTF-8 bytes from which it holds, lowest and highest ratio of compressed to raw bytes).
 
-    Texts shorter than the first entry have no verdict: a zstandard frame's header outweighs them. ``chunk``: the same
-    limits for each full chunk of ``chunk_bytes``; a text is rejected when more than ``chunk_share`` of its chunks are
-    outside. Each upper limit lies between what natural text of its length reaches and what words of random letters and
-    digits begin at.
+    A zstandard frame adds 9 bytes of its own to what it cannot compress, so ratios of short texts go above 1. Below 112
+    bytes natural text reaches the ratios of noise, and only repetition is told; below 24 bytes nothing is. ``chunk``:
+    the limits for each full chunk of ``chunk_bytes``; the rest after the last one is judged by the limits of a whole
+    text of its length. A text is rejected when more than ``chunk_share`` of its bytes lie in chunks outside. Each upper
+    limit lies between what natural text of its length reaches and what words of random letters and digits begin at.
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
+        (0, 0.0, 10.0), (24, 0.80, 1.40), (32, 0.72, 1.30), (48, 0.65, 1.20), (64, 0.55, 1.15), (80, 0.50, 1.13), (96, 0.45, 1.10), (112, 0.40, 1.045),
         (128, 0.35, 0.945), (160, 0.35, 0.925), (192, 0.35, 0.895), (224, 0.35, 0.87), (256, 0.35, 0.86), (320, 0.35, 0.83), (384, 0.35, 0.81), (448, 0.35, 0.785),
         (512, 0.27, 0.75), (768, 0.27, 0.735), (1024, 0.27, 0.70), (2048, 0.22, 0.65), (8192, 0.18, 0.60),
     )
@@ -39,8 +41,8 @@ class Bands:
     chunk_share: float = 0.25
     level: int = 3
 
-    def limits(self, size: int) -> tuple[float, float] | None:
-        found = None
+    def limits(self, size: int) -> tuple[float, float]:
+        found = (0.0, float("inf"))
         for start, low, high in self.whole:
             if size >= start:
                 found = (low, high)
@@ -75,6 +77,10 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(marks) > 0).sum())
 
 
+def _inside(ratio: float, limits: tuple[float, float]) -> bool:
+    return limits[0] <= ratio <= limits[1]
+
+
 def judge(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple:
     text = text or ""
     raw = text.encode()
@@ -84,17 +90,15 @@ def judge(text: str | None, bands: Bands, packer: zstandard.ZstdCompressor) -> t
     chars = len(text) - sum(map(text.count, WHITE))
     failed = len(words) < 20 or 100 * repeat > 30 * len(words)
     ratio = len(packer.compress(raw)) / len(raw) if raw else None
-    full = len(raw) // bands.chunk_bytes
-    bad = sum(not bands.chunk[0] <= len(packer.compress(raw[i * bands.chunk_bytes : (i + 1) * bands.chunk_bytes])) / bands.chunk_bytes <= bands.chunk[1] for i in range(full))
-    limits = bands.limits(len(raw))
+    # Chunks: (bytes, ratio, limits); a text of one chunk or less is that chunk.
+    pieces = [raw[at : at + bands.chunk_bytes] for at in range(0, len(raw), bands.chunk_bytes)] if len(raw) > bands.chunk_bytes else []
+    bad = [len(x) for x in pieces if not _inside(len(packer.compress(x)) / len(x), bands.chunk if len(x) == bands.chunk_bytes else bands.limits(len(x)))]
     why = None
-    if limits and ratio < limits[0]:
-        why = "repetitive"
-    elif limits and ratio > limits[1]:
-        why = "incompressible"
-    elif bad > bands.chunk_share * full:
+    if raw and not _inside(ratio, bands.limits(len(raw))):
+        why = "repetitive" if ratio < bands.limits(len(raw))[0] else "incompressible"
+    elif sum(bad) > bands.chunk_share * len(raw):
         why = "chunks"
-    return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, not failed and why is None, len(raw), ratio, full, bad, why
+    return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed, not failed and why is None, len(raw), ratio, len(pieces), len(bad), why
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bytes", "ratio", "n_chunks", "n_bad_chunks", "reason")
@@ -104,8 +108,9 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 def compression_bands(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: its base counts, ratios and verdict.
 
-    ``kept`` is false where ``base_failed``, else where the ratio of the whole text leaves its length's band, or too
-    many chunks leave theirs; ``reason`` names the band. A null or empty text counts as no words, has a null ratio and
+    ``kept`` is false where ``base_failed``, else where the ratio of the whole text leaves its length's band, or chunks
+    with too many of its bytes leave theirs; ``reason`` names the band. ``n_chunks`` counts the rest after the last full
+    chunk as well, and is 0 for texts of one chunk or less, which the whole text's band has judged. A null or empty text counts as no words, has a null ratio and
     fails the base rules. Repeated rows and rows without an id are judged each by itself; an empty table gives an empty
     result; other columns are not read, whatever their names.
     """

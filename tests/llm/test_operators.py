@@ -74,6 +74,46 @@ def test_compression_bands(docs, none):
     assert one[0]["reason"] == "incompressible" and not one[0]["kept"]
 
 
+def plain_verdict(text, bands):
+    """The bands' verdict, written out: ``(ratio, chunks, bad chunks, reason)``."""
+    import zstandard
+
+    raw = (text or "").encode()
+    ratio_of = lambda data: len(zstandard.ZstdCompressor(level=3).compress(data)) / len(data)
+    band_of = lambda n: max((b for b in bands.whole if b[0] <= n), key=lambda b: b[0])
+    if not raw:
+        return None, 0, 0, None
+    _, low, high = band_of(len(raw))
+    ratio, chunks, outside, bad = ratio_of(raw), 0, 0, 0
+    if len(raw) > bands.chunk_bytes:
+        while chunks * bands.chunk_bytes < len(raw):
+            part = raw[chunks * bands.chunk_bytes :][: bands.chunk_bytes]
+            a, b = bands.chunk if len(part) == bands.chunk_bytes else band_of(len(part))[1:]
+            if ratio_of(part) < a or ratio_of(part) > b:
+                outside, bad = outside + len(part), bad + 1
+            chunks += 1
+    reason = "repetitive" if ratio < low else "incompressible" if ratio > high else "chunks" if outside > bands.chunk_share * len(raw) else None
+    return ratio, chunks, bad, reason
+
+
+def test_compression_verdicts_against_a_plain_version(spark, sf_dir):
+    from lodestar.llm.compression_bands import Bands, compression_bands
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    noise = lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(n))
+    real = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    plain = max((t for t in real if t and len(t.encode()) > 9_000), key=len)
+    texts = real + [t for _, t, *_ in corpus()] + [noise(n) for n in (3, 20, 60, 300, 2_000)] + [plain[:9_000] + noise(900), plain[:8_300] + "a b " * 300, "ab " * 25, "a " * 21, plain[:8_192] + noise(20)]
+    got = compression_bands(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    bands, reasons = Bands(), Counter()
+    for r in got:
+        want = plain_verdict(texts[r["doc_id"]], bands)
+        assert (r["ratio"], r["n_chunks"], r["n_bad_chunks"], r["reason"]) == want and r["kept"] == (not r["base_failed"] and want[3] is None), texts[r["doc_id"]]
+        reasons[r["reason"]] += 1
+    assert set(reasons) == {None, "repetitive", "incompressible", "chunks"}
+
+
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder_is_the_library(name, spaced, monkeypatch):
     from lodestar.llm import encoding
