@@ -1,8 +1,9 @@
 """Packing token sequences by bounded-space online best-fit.
 
 A fixed number of bins is open. A bitset keyed by free space finds the fullest bin that still holds a piece; where none
-does and all places are taken, the fullest bin closes. Each task packs what it reads, without a shuffle; only the bins
-that are open at its end are packed once more, as wholes, by the same rule over groups of tasks.
+does and all places are taken, the fullest bin closes. Each task packs what it reads in the order in which it comes,
+without a shuffle; only the bins that are open at its end are packed once more, as wholes, by the same rule and bound
+over groups of tasks.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from lodestar.llm.common import arrow_rows, cut, release_memory
 from lodestar.llm.encoding import encoder
 
 CAPACITY = 2048
-OPEN_BINS = 4096
+OPEN_BINS = 128
 #: Texts that are encoded, and pieces that are handed on, at a time.
 SLICE = 1_000
-#: Documents that arrive together.
-ARRIVE = 4_000
+#: Rows of an Arrow batch at most.
+ROWS = 4_000
 #: Tasks whose last open bins are packed together.
 GROUP = 64
 
@@ -104,23 +105,17 @@ def _packed(path: str, end_id: int, capacity: int, open_bins: int):
 
         for batch in batches:
             encode = encoder(path, spaced=True)
-            for group in range(0, batch.num_rows, ARRIVE):
-                arrived = []
-                for first in range(group, min(group + ARRIVE, batch.num_rows), SLICE):
-                    some = batch.slice(first, min(SLICE, group + ARRIVE - first))
-                    for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
-                        arrived += [(doc_id, k, start, len(part) // 4, part) for k, (start, part) in enumerate(pieces_of(ids + end, capacity))]
-                # Of those that arrive together the longest pieces come first: later ones fill what these leave.
-                arrived.sort(key=lambda x: x[3])
-                while arrived:
-                    piece = arrived.pop()
-                    at, offset, closed = packer.place(piece[3])
-                    held.setdefault(at, []).append((*piece, at, offset))
-                    for done in closed:
-                        ready += held.pop(done)
-                    if len(ready) >= SLICE:
-                        yield batch_of(ready, False)
-                        ready = []
+            for first in range(0, batch.num_rows, SLICE):
+                some = batch.slice(first, SLICE)
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
+                    for k, (start, part) in enumerate(pieces_of(ids + end, capacity)):
+                        at, offset, closed = packer.place(len(part) // 4)
+                        held.setdefault(at, []).append((doc_id, k, start, len(part) // 4, part, at, offset))
+                        for done in closed:
+                            ready += held.pop(done)
+                if len(ready) >= SLICE:
+                    yield batch_of(ready, False)
+                    ready = []
         if ready:
             yield batch_of(ready, False)
         left = [x for rows in held.values() for x in rows]
@@ -144,13 +139,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
     those bins and one Arrow batch. The packed table is written once, so the second step repeats no encoding.
     """
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    with arrow_rows(docs.sparkSession, ARRIVE):
+    with arrow_rows(docs.sparkSession, ROWS):
         packed = cut(source.mapInArrow(_packed(tokenizer, end_id, capacity, open_bins), DDL), "packed")
     last = packed.where("open").groupBy("task", "bin").agg(F.sum("length").alias("fill"))
 
     def again(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("fill", "descending"), ("task", "ascending"), ("bin", "ascending")])
-        packer = BestFit(capacity, len(rows) + 1)
+        rows = rows.sort_by([("task", "ascending"), ("bin", "ascending")])
+        packer = BestFit(capacity, open_bins)
         placed = [packer.place(x)[:2] for x in rows["fill"].to_pylist()]
         base = (1 << 62) + (rows["task"][0].as_py() // group << 32)
         return pa.table({"task": rows["task"], "bin": rows["bin"], "sequence_id": pa.array([base + b for b, _ in placed], pa.int64()), "shift": pa.array([o for _, o in placed], pa.int64())})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 from unicodedata import is_normalized
 
 import numpy as np
@@ -33,20 +34,22 @@ SLICE = 1_000
 
 
 class Encoder:
-    """Texts → their ids as little-endian unsigned 32-bit integers in bytes; no special tokens are added or read.
+    """Texts → their ids as little-endian unsigned 32-bit integers in bytes: those of the library's own call, with
+    ``add_special_tokens=False``. So a special token's string in a text becomes its id, as the library has it.
 
     Both kinds of vocabulary used here split a text into words before they merge. ``spaced`` vocabularies (byte level)
     keep a single space with the word that follows and a single line feed for itself; the others drop white space. So
     the ids of a text are those of its words in turn, and a word's ids are worked out once: new words are encoded many
     at a time, with a separator between them whose id stands for itself. Texts for which that rule does not hold
-    (white space next to white space, other white space) are encoded whole. Use :func:`encoder`, which keeps what a
+    (white space next to white space, other white space, a special token's string) are encoded whole. Use :func:`encoder`, which keeps what a
     process has learnt from task to task.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = spaced
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([*added, *([OTHER_WHITE] if spaced else [])])
         self.mark, self.between = ("\n", "\n") if spaced else ("9", " 9 ")
         ids = self._whole([self.mark])[0]
         if len(ids) != 4:
@@ -128,8 +131,10 @@ class Encoder:
     def _some(self, texts: pa.Array) -> list[bytes]:
         """Split and number the words outside Python; only a slice's distinct words become Python strings."""
         texts = pc.fill_null(texts, "")
-        odd = np.flatnonzero(pc.match_substring_regex(texts, OTHER_WHITE).to_numpy(zero_copy_only=False)) if self.spaced else np.zeros(0, np.int64)
-        whole = dict(zip(odd.tolist(), self._whole(texts.take(pa.array(odd)).to_pylist()), strict=True)) if len(odd) else {}
+        is_odd = pc.match_substring_regex(texts, self.odd) if self.odd else pa.array(np.zeros(len(texts), bool))
+        odd = np.flatnonzero(is_odd.to_numpy(zero_copy_only=False))
+        whole = dict(zip(odd.tolist(), self._whole(texts.take(pa.array(odd)).to_pylist()), strict=True))
+        texts = pc.if_else(is_odd, "", texts) if len(odd) else texts
         # A word at a line's start keeps the line feed before it; so does, for now, a text's first word.
         plain = pc.replace_substring(texts, "\n", " \n" if self.spaced else " ")
         lists = pc.split_pattern(pc.binary_join_element_wise("\n", plain, "") if self.spaced else plain, " ")

@@ -26,7 +26,7 @@ def corpus():
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(600)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    texts = [None, "", " ", "\n\n", "one", "ONE", "two words", LONG, PASSAGE, "x\n" + PASSAGE + "\ny", "a  b\t c \n d", "É é Σας ǅ ﬁ x\u00a0y", "<|endoftext|> 9 a9 99,", "Fine." * 3]
+    texts = [None, "", " ", "\n\n", "one", "ONE", "two words", LONG, PASSAGE, "x\n" + PASSAGE + "\ny", "a  b\t c \n d", "É é Σας ǅ ﬁ x\u00a0y", "<|endoftext|> 9 a9 99,", "x<|endoftext|>y <|startoftext|> <|EndOfText|> <|endoftext|", "Fine." * 3]
     texts += [text(rng.choice([5, 30, 200, 400])) for _ in range(60)]
     base = text(300)
     texts += [base] * 12 + [base.replace(base.split()[k], "changed", 1) for k in range(6)]
@@ -120,7 +120,6 @@ def test_encoder_is_the_library(name, spaced, monkeypatch):
 
     monkeypatch.setattr(encoding, "REMEMBERED", 300)
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     texts = [t for _, t, *_ in corpus() if t is not None] + [" lead", "tail ", "\nx\n", "a,b. c.\nd, .e ...", "it's I'll WE'RE", "naïve İstanbul ΣΑΣ", "1,000 3.14", "日本語 テキスト", "\ue000 \u200b"]
     got = encoding.Encoder(public_tokenizers.path(name), spaced)(texts * 2)
     assert got == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)] * 2
@@ -128,7 +127,6 @@ def test_encoder_is_the_library(name, spaced, monkeypatch):
 
 def token_ids(name, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
