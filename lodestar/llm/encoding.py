@@ -141,7 +141,7 @@ class Encoder:
         numbers = lists.flatten().dictionary_encode()
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known  # words still in use come back from there
-        words = self._keys(numbers.dictionary.to_numpy(zero_copy_only=False).tolist())
+        words = self._keys(numbers.dictionary)
         found = list(map(self.known.get, words))
         missing = [k for k, ids in enumerate(found) if ids is None]
         if missing:
@@ -161,11 +161,15 @@ class Encoder:
         skip = len(self.line) if self.spaced else 0
         return [whole[i] if i in whole else raw[a + skip : b] for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
 
-    def _keys(self, words: list[str]) -> list[str]:
+    def _keys(self, words: pa.Array) -> list[str]:
         """What words are remembered by: lower case where the vocabulary lowers them whatever stands around."""
         if self.spaced:
-            return words
-        return [x.lower() if x.isascii() or (is_normalized("NFC", x) and "\u03a3" not in x and "\u0130" not in x) else x for x in words]
+            return words.to_numpy(zero_copy_only=False).tolist()
+        out = pc.ascii_lower(words).to_numpy(zero_copy_only=False).tolist()
+        wide = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
+        for k, x in zip(wide.tolist(), words.take(pa.array(wide)).to_pylist(), strict=True):
+            out[k] = x.lower() if is_normalized("NFC", x) and "\u03a3" not in x and "\u0130" not in x else x
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}

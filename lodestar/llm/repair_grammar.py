@@ -1,13 +1,15 @@
 """Token-id files compressed by Re-Pair grammars, readable at random.
 
-Per shard, the most frequent pairs of neighbouring ids are replaced by new symbols, round after round; no pair crosses
-a document's end. A file holds the rules, every rule's expansion length, where each document starts, and the symbols
-that are left. A document is read by expanding its own symbols only.
+Per shard, frequent pairs of neighbouring ids are replaced by new symbols, the most frequent first, until no pair inside
+a document pays for a rule; no pair crosses a document's end. A file holds the rules, every rule's expansion length,
+where each document starts, and the symbols that are left. A document is read from its own range of the symbols, and
+expanded by the rules that it uses only.
 
 File format (little-endian): ``b"LRPG"``, a version and the length of a JSON header (unsigned 32 bits each), the header
-(counts, and the dtype and shape of each array in order), then the arrays: ``rules`` (pairs of symbols), ``spans`` (ids
-that a rule expands to), ``doc_ids``, ``doc_null``, ``ends`` (symbols up to each document's end), ``id_ends`` (ids up to
-each document's end), ``symbols``. Symbols below ``base`` are ids; ``base + r`` is rule ``r``.
+(counts, bits of a symbol, and the dtype and shape of each array in order), then the arrays: ``rules`` (pairs of
+symbols), ``spans`` (ids that a rule expands to), ``doc_ids``, ``doc_null``, ``ends`` (symbols up to each document's
+end), ``id_ends`` (ids up to each document's end), ``symbols`` (the low 16 bits of each, then bit 16 of all packed eight
+to a byte, and so on up to ``bits`` bits). Symbols below ``base`` are ids; ``base + r`` is rule ``r``.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import json
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,13 +29,14 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import arrow_rows, cut, fresh_path, read_shared, release_memory, write_shared
 from lodestar.llm.encoding import encoder
 
-MAGIC, VERSION = b"LRPG", 1
+MAGIC, VERSION = b"LRPG", 2
 ARRAYS = ("rules", "spans", "doc_ids", "doc_null", "ends", "id_ends", "symbols")
 #: Ids of a shard, so that a task holds no more than a shard; the longest document may be over it.
 SHARD_IDS = 1 << 21
-ROUNDS = 8
-#: Rules of a round at most, and occurrences that a rule needs.
-ROUND_RULES, LEAST = 2000, 24
+#: Replacements that a rule needs: it takes two symbols and a length itself.
+LEAST = 4
+#: A round replaces the pairs that are at least this share as frequent as the most frequent one.
+ROUND_SHARE = 0.1
 SLOTS = 1 << 16
 #: In an empty slot: symbols end below it, so it is no pair.
 NO_PAIR = (1 << 32) - 1
@@ -55,34 +58,36 @@ def slots(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, round_rules: int = ROUND_RULES, least: int = LEAST) -> Grammar:
-    """Re-Pair in rounds: the most frequent pairs of a round are replaced together, left to right.
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, round_share: float = ROUND_SHARE) -> Grammar:
+    """Re-Pair in rounds: pairs about as frequent as the most frequent one are replaced together, left to right.
 
-    ``ends``: the number of ids up to each document's end. Symbols stay below 65536 where ``base`` is, so that they
-    take two bytes.
+    A rule stays if at least ``least`` of its pairs were there to replace after those of the others in its round. The
+    rounds go on until no rule does; there is no limit on rounds, rules, or the length that a rule expands to.
+    ``ends``: the number of ids up to each document's end.
     """
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[ends[np.r_[True, ends[1:] != ends[:-1]] & (ends > 0)] - 1] = True
-    top = max(1 << 16, base)
     rules: list[np.ndarray] = []
     spans = np.ones(base, np.int64)
-    count = base
-    for _ in range(rounds):
-        if len(symbols) < 2 or count >= top:
-            break
-        narrow = count <= 1 << 16
-        keys = (symbols[:-1] << np.uint32(16)) | symbols[1:] if narrow else (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
+    count, share = base, round_share
+    while len(symbols) > 1:
+        # Pairs as numbers of the symbols in use: these mostly fit into 16 bits, so that a pair takes 32.
+        used = np.flatnonzero(np.bincount(symbols, minlength=count))
+        narrow = len(used) < 1 << 16
+        number = np.zeros(count, np.uint32 if narrow else np.uint64)
+        number[used] = np.arange(len(used))
+        keys = number[symbols]
+        keys = (keys[:-1] << (keys.dtype.type(16 if narrow else 32))) | keys[1:]
         inside = ~last[:-1]
         ordered = np.sort(keys[inside])
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         counts = np.diff(np.r_[starts, len(ordered)])
-        often = np.flatnonzero(counts >= least)
+        floor = max(least, int(share * counts.max(initial=0)))
+        often = np.flatnonzero(counts >= floor)
         if not len(often):
             break
-        if len(often) > round_rules:
-            often = often[np.argpartition(-counts[often], round_rules)[:round_rules]]
-        often = often[np.argsort(-counts[often], kind="stable")][: top - count]
+        often = often[np.argsort(-counts[often], kind="stable")]
         pairs = ordered[starts[often]]
         # One pair for each slot of a table, the most frequent; the others have their turn in a later round.
         _, first = np.unique(slots(pairs), return_index=True)
@@ -95,13 +100,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
         head = np.r_[True, hit[1:] != hit[:-1] + 1]
         run = np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
         hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        saved = len(hit) - 3 * len(pairs)
-        if saved < 0.004 * len(symbols):
-            break
-        left, right = (pairs >> (16 if narrow else 32)).astype(np.int64), (pairs & ((1 << 16) - 1 if narrow else (1 << 32) - 1)).astype(np.int64)
+        rule = rule_of[place[hit]]
+        pays = np.bincount(rule, minlength=len(pairs)) >= least
+        if not pays.any():
+            if floor == least:
+                break
+            share = 0.0  # what is left is too entangled to be taken by frequency
+            continue
+        hit, rule = hit[pays[rule]], (np.cumsum(pays) - 1)[rule[pays[rule]]]
+        pairs = pairs[pays]
+        left, right = used[(pairs >> (16 if narrow else 32)).astype(np.int64)], used[(pairs & ((1 << 16) - 1 if narrow else (1 << 32) - 1)).astype(np.int64)]
         rules.append(np.stack([left, right], axis=1))
         spans = np.r_[spans, spans[left] + spans[right]]
-        symbols[hit] = (count + rule_of[place[hit]]).astype(np.uint32)
+        symbols[hit] = (count + rule).astype(np.uint32)
         last[hit] |= last[hit + 1]
         stay = np.ones(len(symbols), bool)
         stay[hit + 1] = False
@@ -112,8 +123,13 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
     symbol_ends = np.searchsorted(covered, ends, side="left") + 1
     symbol_ends[ends == 0] = 0
     all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    width = np.uint16 if count <= 1 << 16 else np.uint32
-    return Grammar(base, all_rules.astype(width), spans[base:].astype(np.uint32), symbols.astype(width), symbol_ends.astype(np.int64))
+    width, span = (np.uint16 if n <= 1 << 16 else np.uint32 for n in (count, spans.max(initial=0) + 1))
+    return Grammar(base, all_rules.astype(width), spans[base:].astype(span), symbols, symbol_ends.astype(np.int64))
+
+
+def pack_symbols(symbols: np.ndarray, bits: int) -> bytes:
+    """The low 16 bits of each symbol, then every higher bit of all symbols in turn."""
+    return symbols.astype("<u2").tobytes() + b"".join(np.packbits((symbols >> np.uint32(b) & np.uint32(1)).astype(np.uint8)).tobytes() for b in range(16, bits))
 
 
 def expansions(base: int, rules: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -139,33 +155,57 @@ def expand(symbols: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.
     return flat[np.repeat(starts[symbols] - (ends - own), own) + np.arange(int(ends[-1]))]
 
 
+def expand_few(symbols: np.ndarray, base: int, rules: np.ndarray) -> np.ndarray:
+    """The ids of some symbols, by replacing rules by their pairs until none is left: only what they use is looked up."""
+    symbols = symbols.astype(np.int64)
+    while (ruled := symbols >= base).any():
+        at = np.cumsum(1 + ruled) - (1 + ruled)
+        out = np.zeros(len(symbols) + int(ruled.sum()), np.int64)
+        pairs = rules[symbols[ruled] - base]
+        out[at[~ruled]] = symbols[~ruled]
+        out[at[ruled]], out[at[ruled] + 1] = pairs[:, 0], pairs[:, 1]
+        symbols = out
+    return symbols.astype(np.uint32)
+
+
 def to_bytes(grammar: Grammar, doc_ids: list[int | None], id_ends: np.ndarray) -> bytes:
     null = np.array([x is None for x in doc_ids], bool)
+    bits = max(1, int(grammar.base + len(grammar.rules) - 1).bit_length())
     arrays = {
         "rules": grammar.rules, "spans": grammar.spans, "doc_ids": np.array([x or 0 for x in doc_ids], np.int64), "doc_null": np.packbits(null),
-        "ends": grammar.ends, "id_ends": id_ends.astype(np.int64), "symbols": grammar.symbols,
+        "ends": grammar.ends, "id_ends": id_ends.astype(np.int64), "symbols": np.frombuffer(pack_symbols(grammar.symbols, bits), np.uint8),
     }
-    head = json.dumps({"base": grammar.base, "docs": len(doc_ids), "arrays": [[k, arrays[k].dtype.str, list(arrays[k].shape)] for k in ARRAYS]}).encode()
+    head = json.dumps({"base": grammar.base, "docs": len(doc_ids), "bits": bits, "arrays": [[k, arrays[k].dtype.str, list(arrays[k].shape)] for k in ARRAYS]}).encode()
     return b"".join([MAGIC, struct.pack("<II", VERSION, len(head)), head, *(np.ascontiguousarray(arrays[k]).tobytes() for k in ARRAYS)])
 
 
 class Shard:
-    """A shard file: ``len()``, documents by place, and all of them in turn."""
+    """A shard file: ``len()``, documents by place, and all of them in turn.
+
+    ``read(offset, size)`` gives bytes of the file. Its tables are read at once; of the symbols, only what is asked for.
+    """
 
-    def __init__(self, data: bytes) -> None:
-        if data[:4] != MAGIC:
+    def __init__(self, read: Callable[[int, int], bytes] | bytes) -> None:
+        if isinstance(read, bytes):
+            whole = read
+            read = lambda at, n: whole[at : at + n]
+        self.read = read
+        start = read(0, 12)
+        if start[:4] != MAGIC:
             raise ValueError("not a grammar shard")
-        version, size = struct.unpack("<II", data[4:12])
+        version, size = struct.unpack("<II", start[4:12])
         if version != VERSION:
             raise ValueError(f"unknown version {version}")
-        head = json.loads(data[12 : 12 + size])
-        at, self.base, self.n = 12 + size, head["base"], head["docs"]
-        for name, dtype, shape in head["arrays"]:
-            count = int(np.prod(shape))
-            setattr(self, name, np.frombuffer(data, dtype, count, at).reshape(shape))
-            at += count * np.dtype(dtype).itemsize
+        head = json.loads(read(12, size))
+        at, self.base, self.n, self.bits = 12 + size, head["base"], head["docs"], head["bits"]
+        *tables, _ = head["arrays"]
+        sizes = [int(np.prod(shape)) * np.dtype(dtype).itemsize for _, dtype, shape in tables]
+        data, offset = read(at, sum(sizes)), 0
+        for (name, dtype, shape), n in zip(tables, sizes, strict=True):
+            setattr(self, name, np.frombuffer(data, dtype, int(np.prod(shape)), offset).reshape(shape))
+            offset += n
+        self.symbols_at = at + sum(sizes)
         self.null = np.unpackbits(self.doc_null)[: self.n].astype(bool)
-        self.table = expansions(self.base, self.rules, self.spans)
 
     def __len__(self) -> int:
         return self.n
@@ -173,18 +213,28 @@ class Shard:
     def doc_id(self, k: int) -> int | None:
         return None if self.null[k] else int(self.doc_ids[k])
 
+    def symbols(self, first: int, stop: int) -> np.ndarray:
+        out = np.frombuffer(self.read(self.symbols_at + 2 * first, 2 * (stop - first)), "<u2").astype(np.uint32)
+        count = int(self.ends[-1]) if self.n else 0
+        for k in range(self.bits - 16):
+            plane = self.symbols_at + 2 * count + k * -(-count // 8)
+            packed = np.frombuffer(self.read(plane + first // 8, -(-stop // 8) - first // 8), np.uint8)
+            out |= np.unpackbits(packed)[first % 8 :][: stop - first].astype(np.uint32) << np.uint32(16 + k)
+        return out
+
     def ids(self, k: int) -> np.ndarray:
-        """The ids of the ``k``-th document; nothing else is expanded."""
-        return expand(self.symbols[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])], *self.table)
+        """The ids of the ``k``-th document; nothing else is read or expanded."""
+        return expand_few(self.symbols(int(self.ends[k - 1]) if k else 0, int(self.ends[k])), self.base, self.rules)
 
     def documents(self, block: int = 1 << 18) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """``(doc_id, ids before it in the shard, ids)``, some documents expanded at a time."""
+        table = expansions(self.base, self.rules, self.spans)
         k = 0
         while k < self.n:
             first = int(self.ends[k - 1]) if k else 0
             stop = max(k + 1, int(np.searchsorted(self.ends, first + block, side="right")))
             base_id = int(self.id_ends[k - 1]) if k else 0
-            ids = expand(self.symbols[first : int(self.ends[stop - 1])], *self.table)
+            ids = expand(self.symbols(first, int(self.ends[stop - 1])), *table)
             for j in range(k, stop):
                 a = int(self.id_ends[j - 1]) if j else 0
                 yield self.doc_id(j), a, ids[a - base_id : int(self.id_ends[j]) - base_id]

@@ -443,7 +443,7 @@ def test_repair_grammar(docs, none):
         ends = np.cumsum([len(x) for x in docs_ids])
         grammar = R.compress(np.concatenate(docs_ids), ends, base, least=4)
         shard = R.Shard(R.to_bytes(grammar, list(range(len(docs_ids))), ends))
-        assert all((shard.ids(k) == x).all() for k, x in enumerate(docs_ids)) and [len(i) for _, _, i in shard.documents(block=50)] == [len(x) for x in docs_ids]
+        assert all(np.array_equal(shard.ids(k), x) for k, x in enumerate(docs_ids)) and all(np.array_equal(i, x) for (_, _, i), x in zip(shard.documents(block=50), docs_ids, strict=True)) and [len(i) for _, _, i in shard.documents(block=50)] == [len(x) for x in docs_ids]
         assert len(grammar.symbols) < ends[-1] or alphabet > 100
     with pytest.raises(ValueError, match="not a grammar"):
         R.Shard(b"nope")
