@@ -1,9 +1,10 @@
 """Nearest neighbours by inner product over additively quantised vectors.
 
 A vector is approximated by the sum of one word from each of several full-dimensional codebooks. The codebooks are
-fitted one after another to what the ones before leave; a vector's words are chosen together by beam search. A query's
-products with all code words are tabled once, so that a candidate's score is a sum of table entries, put to scale by
-stored norms. The best of each block of candidates are scored again on the original vectors, in double precision.
+fitted one after another to what the ones before leave, and then again all together; a vector's words are chosen by beam
+search. A query's products with all code words are tabled once, so that a candidate's score is a sum of table entries,
+put to scale by stored norms. Codes alone are held against queries; the best of all candidates of a query, a fixed
+number whatever the table's size, are then scored again on the original vectors, in double precision.
 """
 
 from __future__ import annotations
@@ -11,20 +12,21 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut
+from lodestar.llm.common import arrow_rows, cut
 
 #: Vectors that the codebooks are fitted on at most, by a hash of their ids.
-FIT_ROWS = 8_192
-CODEBOOKS, WORDS, BEAM = 12, 256, 8
-#: Distinct candidates that each block of candidates scores exactly for a query.
-SHORTLIST = 100
-#: Candidates of a block, and blocks at least (where there are so many candidates); queries of a block.
-BLOCK_ROWS, BLOCKS, QUERY_ROWS = 32_768, 24, 1_024
+FIT_ROWS = 16_384
+CODEBOOKS, WORDS, BEAM = 24, 256, 4
+#: Distinct vectors that are scored exactly for a query, at every size of the table.
+SHORTLIST = 400
+#: Distinct vectors of a block, and queries of a block; blocks of queries at least (where there are so many queries).
+BLOCK_ROWS, QUERY_ROWS, QUERY_BLOCKS = 16_384, 8_192, 12
+#: Queries whose tables are at hand together.
+TOGETHER = 64
 TOP = 20
 
 
@@ -42,57 +44,56 @@ class Codebooks:
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Beam search: after each codebook, the ``beam`` best sums of words so far are kept."""
-        return np.concatenate([self._encode(x[at : at + 1024], beam) for at in range(0, len(x), 1024)]) if len(x) else np.zeros((0, len(self.words)), np.uint8)
+        return np.concatenate([self._encode(x[at : at + 512], beam) for at in range(0, len(x), 512)]) if len(x) else np.zeros((0, len(self.words)), np.uint8)
 
     def _encode(self, x: np.ndarray, beam: int) -> np.ndarray:
-        n, rows = len(x), np.arange(len(x))[:, None]
+        n, rows = len(x), np.arange(len(x))
         rest = x[:, None, :].astype(np.float32)  # what each kept sum leaves
         codes = np.zeros((n, 1, 0), np.uint8)
         for book in self.words:
             # |rest - word|² without the part that no choice changes
-            loss = (rest**2).sum(2)[:, :, None] - 2 * (rest @ book.T) + (book**2).sum(1)
-            flat = loss.reshape(n, -1)
-            k = min(beam, flat.shape[1])
-            best = np.argpartition(flat, k - 1, axis=1)[:, :k]
-            best = best[rows, np.argsort(flat[rows, best], axis=1, kind="stable")]
+            loss = rest @ (-2 * book.T)
+            loss += (book**2).sum(1)
+            loss += np.einsum("nbd,nbd->nb", rest, rest)[:, :, None]
+            loss = loss.reshape(n, -1)
+            best = np.zeros((n, min(beam, loss.shape[1])), np.int64)
+            for k in range(best.shape[1]):
+                best[:, k] = loss.argmin(1)
+                loss[rows, best[:, k]] = np.inf
             parent, word = best // len(book), best % len(book)
-            rest = rest[rows, parent] - book[word]
-            codes = np.concatenate([codes[rows, parent], word[:, :, None].astype(np.uint8)], axis=2)
+            rest = rest[rows[:, None], parent] - book[word]
+            codes = np.concatenate([codes[rows[:, None], parent], word[:, :, None].astype(np.uint8)], axis=2)
         return codes[:, 0]
 
 
-def fit_codebooks(x: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, rounds: int = 6, seed: int = 5) -> Codebooks:
-    """Each codebook by k-means on what the ones before leave; then all of them again by least squares for the beam's
-    choice of words."""
+def _means(x: np.ndarray, at: np.ndarray, book: np.ndarray) -> None:
+    """Set each word of ``book`` to the mean of the rows of ``x`` that ``at`` gives it; words without rows stay."""
+    counts = np.bincount(at, minlength=len(book))
+    used = np.flatnonzero(counts)
+    book[used] = np.add.reduceat(x[np.argsort(at, kind="stable")], np.r_[0, np.cumsum(counts[used])[:-1]]) / counts[used, None]
+
+
+def fit_codebooks(x: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS, rounds: int = 4, seed: int = 5, beam: int = BEAM) -> Codebooks:
+    """Each codebook by k-means on what the ones before leave; then, for the beam's choice of words, each again to what
+    all the others leave."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     rest, books = x.copy(), []
     for _ in range(codebooks):
         book = rest[rng.choice(len(rest), words, replace=len(rest) < words)].copy()
         for _ in range(rounds):
-            near = ((book**2).sum(1) - 2 * rest @ book.T).argmin(1)
-            counts = np.bincount(near, minlength=words)
-            order = np.argsort(near, kind="stable")
-            used = np.flatnonzero(counts)
-            book[used] = np.add.reduceat(rest[order], np.r_[0, np.cumsum(counts[used])[:-1]]) / counts[used, None]
+            _means(rest, ((book**2).sum(1) - 2 * rest @ book.T).argmin(1), book)
         rest -= book[((book**2).sum(1) - 2 * rest @ book.T).argmin(1)]
         books.append(book)
     fitted = Codebooks(np.stack(books))
-    codes = fitted.encode(x)
-    # Least squares over all words at once: the normal matrix counts how often two words meet.
-    size = codebooks * words
-    at = codes.astype(np.int64) + np.arange(codebooks) * words
-    normal = np.zeros((size, size), np.float32)
-    for i in range(codebooks):
-        for j in range(codebooks):
-            normal[i * words : (i + 1) * words, j * words : (j + 1) * words] = np.bincount(at[:, i] % words * words + at[:, j] % words, minlength=words * words).reshape(words, words)
-    sums = np.zeros((size, x.shape[1]), np.float32)
-    for i in range(codebooks):
-        np.add.at(sums, at[:, i], x)
-    prior = fitted.words.reshape(size, -1)
-    normal[np.diag_indices(size)] += 1.0
-    solved = np.linalg.solve(normal, sums + prior)
-    return Codebooks(solved.reshape(fitted.words.shape).astype(np.float32))
+    codes = fitted.encode(x, beam)
+    rest = x - fitted.decode(codes)
+    for _ in range(2):
+        for book, at in zip(fitted.words, codes.T, strict=True):
+            own = rest + book[at]
+            _means(own, at, book)
+            rest = own - book[at]
+    return fitted
 
 
 def usable(vector: Column) -> Column:
@@ -102,66 +103,81 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & fine & F.exists(value, lambda v: v != 0), F.lit(False))
 
 
-def first_copies(vectors: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """One place for each distinct vector, and the ``keep`` smallest ids of its copies; ``ids`` ascend."""
-    raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel()
-    _, first, inverse = np.unique(raw, return_index=True, return_inverse=True)
-    order = np.argsort(inverse, kind="stable")
-    bounds = np.cumsum(np.bincount(inverse))
-    return first, [ids[order[a : min(b, a + keep)]] for a, b in zip(np.r_[0, bounds[:-1]], bounds, strict=True)]
-
-
-def block_neighbours(books: Codebooks, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, top: int, shortlist: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query_id, vec_id, score)`` of the ``top`` nearest that one block has for each query, its own row left out.
-
-    Copies of a vector are scored once; of them the ``top`` smallest ids can matter, and one more for a query's own.
-    """
-    first, copies = first_copies(vectors, ids, top + 1)
-    codes, scale, exact = codes[first], norms[first, 0] / np.maximum(norms[first, 1], 1e-12), vectors[first].astype(np.float64)
-    out_q, out_v, out_s = [], [], []
-    for at in range(0, len(queries), 128):
-        some = queries[at : at + 128]
-        table = np.einsum("qd,mwd->mqw", some.astype(np.float32), books.words, optimize=True)
-        near = np.zeros((len(some), len(first)), np.float32)
-        for m in range(len(table)):
-            near += table[m][:, codes[:, m]]
-        near *= scale
-        k = min(shortlist, len(first))
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-        for i, (query_id, chosen) in enumerate(zip(query_ids[at : at + 128].tolist(), best, strict=True)):
-            score = (exact[chosen] * some[i].astype(np.float64)).sum(axis=1)
-            found: list[tuple[float, int]] = []
-            for j in np.lexsort((chosen, -score)).tolist():
-                if len(found) >= top and score[j] < found[top - 1][0]:
-                    break
-                found += [(float(score[j]), v) for v in copies[chosen[j]].tolist() if v != query_id]
-                found.sort(key=lambda x: (-x[0], x[1]))
-                found = found[:top]
-            out_q += [query_id] * len(found)
-            out_v += [v for _, v in found]
-            out_s += [s for s, _ in found]
-    return np.array(out_q, np.int64), np.array(out_v, np.int64), np.array(out_s, np.float64)
+class Best:
+    """The ``size`` best candidates of each of some queries, as blocks of candidates come by."""
+
+    def __init__(self, books: Codebooks, queries: np.ndarray, size: int) -> None:
+        self.size = size
+        self.queries = queries
+        self.books = books
+        self.score = np.full((len(queries), 0), -np.inf, np.float32)
+        self.at = np.zeros((len(queries), 0, 2), np.int64)  # block and place in it
+
+    def add(self, block: int, codes: np.ndarray, scale: np.ndarray) -> None:
+        n, kept = len(self.queries), min(self.size, self.score.shape[1] + len(codes))
+        score, at = np.empty((n, kept), np.float32), np.empty((n, kept, 2), np.int64)
+        for first in range(0, n, TOGETHER):
+            rows = slice(first, first + TOGETHER)
+            table = np.einsum("qd,mwd->mqw", self.queries[rows].astype(np.float32), self.books.words, optimize=True)
+            near = np.zeros((table.shape[1], len(codes)), np.float32)
+            for m in range(len(table)):
+                near += table[m][:, codes[:, m]]
+            near *= scale
+            near = np.concatenate([self.score[rows], near], axis=1)
+            best = np.argpartition(-near, kept - 1, axis=1)[:, :kept] if kept < near.shape[1] else np.broadcast_to(np.arange(kept), (len(near), kept))
+            score[rows] = np.take_along_axis(near, best, 1)
+            old = best < self.score.shape[1]
+            place = np.where(old, 0, best - self.score.shape[1])
+            new = np.stack([np.full_like(place, block), place], axis=2)
+            if self.score.shape[1]:
+                new = np.where(old[:, :, None], np.take_along_axis(self.at[rows], np.where(old, best, 0)[:, :, None], 1), new)
+            at[rows] = new
+        self.score, self.at = score, at
+
+
+def exact_best(query_ids: np.ndarray, queries: np.ndarray, asked: np.ndarray, vectors: np.ndarray, ids: np.ndarray, ends: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query_id, vec_id, score)``: of the ``asked`` (query's place, vector's place) the ``top`` best rows of each query,
+    its own row left out. A vector stands for several rows: their ids lie between its ``ends``."""
+    first = np.r_[0, ends[:-1]]
+    out: list[tuple] = []
+    for part in np.array_split(asked, max(1, -(-len(asked) // 50_000))):
+        score = (queries[part[:, 0]] * vectors[part[:, 1]]).sum(axis=1)
+        copies = (ends - first)[part[:, 1]]
+        stop = np.cumsum(copies)
+        vec = ids[np.repeat(first[part[:, 1]] - (stop - copies), copies) + np.arange(int(copies.sum()))]
+        out.append((np.repeat(part[:, 0], copies), vec, np.repeat(score, copies)))
+    at, vec, score = (np.concatenate(x) for x in zip(*out, strict=True))
+    other = query_ids[at] != vec
+    at, vec, score = at[other], vec[other], score[other]
+    order = np.lexsort((vec, -score, at))
+    at, vec, score = at[order], vec[order], score[order]
+    begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    rank = np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))
+    return query_ids[at[rank < top]], vec[rank < top], score[rank < top]
 
 
 def nearest(
     embeddings: DataFrame, every: int = 20, top: int = TOP, shortlist: int = SHORTLIST, fit_rows: int = FIT_ROWS, codebooks: int = CODEBOOKS,
-    block_rows: int = BLOCK_ROWS, blocks: int = BLOCKS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
+    block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``top`` nearest of each row whose id is divisible by ``every``.
 
     Null, zero and non-finite vectors, vectors with a null component, vectors without an id and vectors of another
     length than the first fitted one take no part. Ties go to the smaller id. Rows repeated under one id count once,
-    by their first vector in byte order. Too few candidates give fewer rows; an empty table gives none; other columns
-    are not read.
-
-    Scale: every row is encoded and packed into blocks of bounded size, by a hash of its id; a task scores one block
-    of queries against one block of candidates and returns ``top`` rows for each query. The codebooks, fitted on at
-    most ``fit_rows`` vectors, are all that is sent to tasks.
+    by their first vector in order. Too few candidates give fewer rows; an empty table gives none; other columns are
+    not read.
+
+    Scale: rows with one vector are one candidate with the ``top + 1`` smallest of their ids (a query's own may be among
+    them), cut before any shuffle. The work is a table lookup for each codebook, query and distinct vector. A task holds
+    one block of queries with their best so far, while the blocks of codes come by; the originals, in blocks of bounded
+    size, are met once by each block of queries with those asked for. Neither depends on how many blocks there are. The
+    codebooks, fitted on at most ``fit_rows`` vectors, are all that is sent to tasks.
     """
+    spark = embeddings.sparkSession
     rows = embeddings.select(embeddings[id_col].cast("long").alias("vec_id"), embeddings[vector_col].cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-    result = "query_id long, rank int, vec_id long, score double"
+    rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     count = rows.count()
-    spark = embeddings.sparkSession
+    result = "query_id long, rank int, vec_id long, score double"
     if not count:
         return spark.createDataFrame([], result)
     per = 1_000_000
@@ -170,53 +186,83 @@ def nearest(
     sample = sample if len(sample) else rows.limit(1).select("v").toPandas()
     length = len(sample.v.iloc[0])
     x = np.array([v for v in sample.v if len(v) == length])
+    del sample
     books = fit_codebooks(x, codebooks, min(WORDS, len(x)))
+    rows = rows.where(F.size("v") == length)
 
-    parts = max(-(-count // block_rows), min(blocks, -(-count // 256)))
-    block_schema = "block int, ids binary, vectors binary, codes binary, norms binary"
+    # Distinct vectors with the ids that can matter, dealt into blocks.
+    place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    classes = rows.withColumn("_n", place).where(F.col("_n") <= top + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    blocks = max(1, -(-count // block_rows))
+    block_schema = "block int, codes binary, scale binary, vectors binary, ids binary, ends binary"
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(k=group.v.map(tuple)).sort_values(["vec_id", "k"]).drop_duplicates("vec_id")
-        vectors = np.array(group.v.tolist(), np.float64)
+    def pack(table: pa.Table) -> pa.Table:
+        ids = table["ids"].combine_chunks()
+        vectors = np.asarray(table["v"].combine_chunks().flatten(), np.float64).reshape(-1, length)
         codes = books.encode(vectors)
-        norms = np.stack([np.linalg.norm(vectors, axis=1), np.linalg.norm(books.decode(codes), axis=1)], axis=1).astype(np.float32)
-        return pd.DataFrame({"block": [group.block.iloc[0]], "ids": [group.vec_id.to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()], "codes": [codes.tobytes()], "norms": [norms.tobytes()]})
+        scale = np.linalg.norm(vectors, axis=1) / np.maximum(np.linalg.norm(books.decode(codes), axis=1), 1e-12)
+        ends = np.asarray(ids.offsets, np.int64)[1:] - ids.offsets[0].as_py()
+        made = (codes.tobytes(), scale.astype(np.float32).tobytes(), vectors.tobytes(), np.asarray(ids.flatten(), np.int64).tobytes(), ends.tobytes())
+        return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32())} | {n: pa.array([x], pa.binary()) for n, x in zip(("codes", "scale", "vectors", "ids", "ends"), made, strict=True)})
 
-    same = rows.where(F.size("v") == length)
-    packed = cut(same.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).groupBy("block").applyInPandas(pack, block_schema), "vector-blocks")
+    dealt = classes.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    packed = cut(dealt.groupBy("block").applyInArrow(pack, block_schema), "vector-blocks")
 
-    # Queries: unpacked from the blocks, so that both sides agree on what takes part.
-    query_parts = max(1, -(-count // every // query_rows))
+    asking = rows.where(F.col("vec_id") % every == 0)
+    n_asking = asking.count()
+    parts = max(-(-n_asking // query_rows), min(QUERY_BLOCKS, -(-n_asking // TOGETHER)), 1)
 
-    def queries_of(batches):
-        for batch in batches:
-            for ids, vectors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                vectors = np.frombuffer(vectors, np.float64).reshape(len(ids), -1)
-                chosen = np.flatnonzero(ids % every == 0)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[chosen]), "q": pa.array([v.tobytes() for v in vectors[chosen]], pa.binary())})
+    def pack_queries(table: pa.Table) -> pa.Table:
+        vectors = np.asarray(table["v"].combine_chunks().flatten(), np.float64)
+        return pa.table({"part": table["part"].slice(0, 1), "query_ids": pa.array([np.asarray(table["vec_id"], np.int64).tobytes()], pa.binary()), "queries": pa.array([vectors.tobytes()], pa.binary())})
 
-    def pack_queries(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("query_id")
-        return pd.DataFrame({"query_ids": [group.query_id.to_numpy(np.int64).tobytes()], "queries": [b"".join(group.q)]})
+    queries = asking.withColumn("part", F.pmod(F.xxhash64(F.lit(8), "vec_id"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(pack_queries, "part int, query_ids binary, queries binary")
+    queries = cut(queries, "query-blocks")
 
-    queries = packed.select("ids", "vectors").mapInArrow(queries_of, "query_id long, q binary")
-    queries = queries.groupBy(F.pmod(F.xxhash64(F.lit(8), "query_id"), F.lit(query_parts)).alias("_q")).applyInPandas(pack_queries, "query_ids binary, queries binary")
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("block", F.col("block").cast("int"))
+    ask_schema = pa.schema([("block", pa.int32()), ("query_ids", pa.binary()), ("queries", pa.binary()), ("asked", pa.binary())])
+
+    def shortlists(batches):
+        """Rows come sorted by block of queries: for each of these, a row for every block of vectors that it asks."""
+        part, best, row = None, None, {}
+
+        def finish():
+            query_ids, wanted = np.frombuffer(row["query_ids"], np.int64), np.arange(len(best.at))[:, None]
+            pairs = np.stack([np.broadcast_to(wanted, best.at.shape[:2]), best.at[:, :, 0], best.at[:, :, 1]], axis=2).reshape(-1, 3)
+            pairs = pairs[np.argsort(pairs[:, 1], kind="stable")]
+            for one in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 1])) + 1):
+                used, at = np.unique(one[:, 0], return_inverse=True)
+                made = (int(one[0, 1]), query_ids[used].tobytes(), best.queries[used].tobytes(), np.stack([at, one[:, 2]], axis=1).astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(made, ask_schema, strict=True)], schema=ask_schema)
+
+        for batch in batches:
+            for row_now in batch.to_pylist():
+                if row_now["part"] != part:
+                    if best is not None:
+                        yield from finish()
+                    part, row = row_now["part"], row_now
+                    best = Best(books, np.frombuffer(row["queries"], np.float64).reshape(-1, length), shortlist)
+                best.add(row_now["block"], np.frombuffer(row_now["codes"], np.uint8).reshape(-1, len(books.words)), np.frombuffer(row_now["scale"], np.float32))
+        if best is not None:
+            yield from finish()
+
+    each = packed.select("block", "codes", "scale", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    met = each.repartition(min(4 * parts, 10_000), "part").join(queries.hint("merge"), "part").sortWithinPartitions("part", "block")
+    with arrow_rows(spark, 4):
+        asked = cut(met.mapInArrow(shortlists, "block int, query_ids binary, queries binary, asked binary"), "vector-shortlists")
 
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def score(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
-                found = block_neighbours(
-                    books, query_ids, np.frombuffer(row["queries"], np.float64).reshape(len(query_ids), -1), ids, np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1),
-                    np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1), np.frombuffer(row["norms"], np.float32).reshape(len(ids), -1), top, shortlist,
+                query_ids, pairs = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["asked"], np.int32).reshape(-1, 2)
+                found = exact_best(
+                    query_ids, np.frombuffer(row["queries"], np.float64).reshape(-1, length), pairs, np.frombuffer(row["vectors"], np.float64).reshape(-1, length),
+                    np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64), top,
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
 
-    pairs = queries.join(packed.hint("merge"), "block").repartition(max(1, min(parts * query_parts, 10_000)))
-    found = pairs.mapInArrow(score, "query_id long, vec_id long, score double")
+    with arrow_rows(spark, 2):
+        found = cut(asked.join(packed.select("block", "vectors", "ids", "ends").hint("merge"), "block").mapInArrow(score, "query_id long, vec_id long, score double"), "vector-scores")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

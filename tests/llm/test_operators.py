@@ -376,7 +376,7 @@ def test_additive_quantisation(spark):
     x[100:160] = x[100]
     made = [(i, v.tolist()) for i, v in enumerate(x)] + [(3000, None), (3020, [0.0] * 16), (3040, [None] * 16), (3060, [float("nan")] * 16), (3080, [float("inf")] * 16), (3100, [1.0] * 3), (None, x[0].tolist()), (7, x[7].tolist())]
     df = spark.createDataFrame([(*r, "clash") for r in made], "vec_id long, embedding array<float>, rank string")
-    got = nearest(df, shortlist=60, blocks=5)
+    got = nearest(df, shortlist=60, block_rows=300, query_rows=20)
     found = defaultdict(list)
     for r in got.orderBy("query_id", "rank").collect():
         found[r["query_id"]].append((r["vec_id"], r["score"], r["rank"]))
