@@ -47,7 +47,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The written table ends the lineage: a lost executor costs a re-read, never the recomputation of what came before.
-    The path is in ``cut_path`` of the result, for :func:`drop_cut`.
+    The path is in ``cut_path`` of the result, for :func:`drop_cut`. Tables that a result is still read from stay until
+    :func:`delete_intermediates`.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
@@ -162,3 +163,17 @@ def read_shared(url: str) -> bytes:
             return source.read()
     with system.open_input_stream(path) as source:
         return source.read()
+
+
+def open_shared(url: str):
+    """A stream over a file that Spark or this package named by its URL."""
+    system, path = _system(url)
+    return open(path, "rb") if system is None else system.open_input_stream(path)
+
+
+def read_range(url: str, at: int, size: int) -> bytes:
+    """``size`` bytes of a file from ``at``."""
+    system, path = _system(url)
+    with open(path, "rb") if system is None else system.open_input_file(path) as source:
+        source.seek(at)
+        return source.read(size)

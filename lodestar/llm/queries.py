@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from lodestar.llm.additive_quantisation import nearest
 from lodestar.llm.best_fit_packing import pack_documents
 from lodestar.llm.budget_mix import mix_sources
+from lodestar.llm.common import fresh_path
 from lodestar.llm.compression_bands import compression_bands
 from lodestar.llm.host_rank import filter_sql, filter_urls
 from lodestar.llm.line_dedup import WHOLE, dedup_lines, dedup_sql
 from lodestar.llm.repair_grammar import grammar_round_trip
 from lodestar.llm.simhash_popcount import near_duplicates
 from lodestar.llm.toxicity_gbt import score_toxicity
-from lodestar.llm.warc_derivatives import derive, responses_of_pages
+from lodestar.llm.warc_derivatives import derive, read_derived, responses_of_pages, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +60,9 @@ def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = derive(responses_of_pages(table(spark, sf_dir, "pages")))
-    return records.withColumn("block", F.col("block").cast("string")).withColumnRenamed("source_id", "page_id")
+    """Derived from all pages, written as WARC files, and read back from them."""
+    written = write_warc(derive(responses_of_pages(table(spark, sf_dir, "pages"))), fresh_path(spark, "warc"))
+    return read_derived(written).drop("path", "error").withColumn("block", F.col("block").cast("string")).withColumnRenamed("source_id", "page_id")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

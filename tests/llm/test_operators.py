@@ -407,6 +407,7 @@ def test_warc_derivatives(spark, tmp_path):
     got = W.derive(responses)
     assert got.count() == 10 and W.derive(responses.limit(0)).count() == 0
     ids = {r["source_id"]: r["record_id"] for r in responses.collect()}
+    assert len({r["record_id"] for r in responses.collect()}) == 4  # of five rows two are alike
     for r in got.collect():
         assert r["refers_to"] == ids[r["source_id"]] and r["content_length"] == len(r["block"]) and r["block_digest"] == W.digest(bytes(r["block"]))
     meta = next(r for r in got.where("source_id = 1 AND record_type = 'metadata'").collect())
@@ -415,13 +416,53 @@ def test_warc_derivatives(spark, tmp_path):
     other = W.derive_one("<r>", "u", "d", "HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n", b"\x89")
     assert [r[0] for r in other] == ["metadata"] and W.derive_one("<r>", None, None, "HTTP/1.1 200 OK\r\nContent-Type: text/plain; charset=nope\r\n", "é".encode())[1][-1] == "é".encode()
     manifest = W.write_warc(got, f"file://{tmp_path}/warc")
-    back = [x for f in manifest.collect() for x in W.parse_warc(open(f["path"].removeprefix("file://"), "rb").read())]
-    key = lambda a, b: (a, bytes(b))
-    assert sorted(key(h["warc-record-id"], b) for h, b in back) == sorted(key(r["record_id"], r["block"]) for r in got.collect())
-    raw = W.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", "<x>"), ("WARC-Target-URI", "http://h.org/"), ("WARC-Date", "d")], b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page.encode())
-    (tmp_path / "in.warc.gz").write_bytes(gzip.compress(raw) + gzip.compress(W.record_bytes([("WARC-Type", "request")], b"GET /")))
-    read = W.read_warc(spark, f"file://{tmp_path}/in.warc.gz").collect()
-    assert len(read) == 1 and bytes(read[0]["payload"]) == page.encode() and read[0]["http_header"].endswith("text/html\r\n\r\n")
+    back = W.read_derived(manifest)
+    key = lambda df: sorted(str(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r)) for r in df.select(*W.NAMES).collect())
+    assert key(back) == key(got) and back.where("error IS NOT NULL").count() == 0 and W.read_derived(manifest.limit(0)).count() == 0
+
+
+def test_warc_record_ids_are_unique(spark):
+    from uuid import UUID
+
+    from lodestar.llm import warc_derivatives as W
+
+    made = [(1, "u", "a"), (1, "u", "b"), (None, None, "a"), (None, None, "b"), (None, "null", "a"), (2, None, None), (2, None, "x")]
+    responses = W.responses_of_pages(spark.createDataFrame(made, "page_id long, url string, html string"))
+    ids = [r["record_id"] for r in responses.collect()] + [r["record_id"] for r in W.derive(responses).collect()]
+    assert len(set(ids)) == 3 * len(made) and all(UUID(x[10:-1]).version == 5 and UUID(x[10:-1]).variant.startswith("specified in RFC") for x in ids)
+
+
+def test_warc_contents_are_decoded():
+    from lodestar.llm import warc_derivatives as W
+
+    page = "<p>" + "é and so on. " * 30 + "</p>"
+    raw, want = page.encode(), W.visible_text(page).encode()
+    chunked = b"".join(b"%x;ext=1\r\n%s\r\n" % (len(raw[a : a + 50]), raw[a : a + 50]) for a in range(0, len(raw), 50)) + b"0\r\n\r\n"
+    head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
+    cases = [("", raw), ("Content-Encoding: gzip\r\n", gzip.compress(raw)), ("Content-Encoding: deflate\r\n", zlib.compress(raw)), ("Content-Encoding: deflate\r\n", zlib.compress(raw)[2:-4])]
+    cases += [("Transfer-Encoding: chunked\r\n", chunked), ("Transfer-Encoding: chunked\r\n", raw), ("Content-Encoding: gzip\r\n", raw)]
+    for extra, body in cases:
+        assert W.derive_one("<r>", "u", "d", head + extra, body)[1][-1] == want, extra
+    for extra, body in (("Content-Encoding: br\r\n", b"??"), ("Content-Encoding: gzip\r\n", gzip.compress(raw)[:20] + b"x" * 50)):
+        assert [r[0] for r in W.derive_one("<r>", "u", "d", head + extra, body)] == ["metadata"]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_reader_passes_over_what_is_broken(spark, tmp_path, packed):
+    from lodestar.llm import warc_derivatives as W
+
+    one = lambda i, n=10: W.record_bytes([("WARC-Type", "response"), ("WARC-Record-ID", f"<{i}>"), ("WARC-Target-URI", "http://h.org/"), ("WARC-Date", "d")], b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + b"z" * n)
+    pack = (lambda x: gzip.compress(x, mtime=0)) if packed else (lambda x: x)
+    no_length = b"WARC/1.1\r\nWARC-Type: response\r\n\r\nxx\r\n\r\n"
+    broken = gzip.compress(bytes(np.random.default_rng(0).integers(0, 256, 500, np.uint8)))[:200] + b"\0" * 50 if packed else b"noise\nmore noise\n"
+    records = [pack(one(1)), broken, pack(one(2, 3_000_000)), pack(no_length), pack(one(3)), pack(W.record_bytes([("WARC-Type", "request")], b"GET /")), pack(one(4, 2_000)), pack(one(5))[:-30]]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc").write_bytes(b"")
+    read = W.read_warc(spark, f"file://{tmp_path}/*.warc", most_bytes=4_000_000).collect()
+    good = {r["record_id"]: len(r["payload"]) for r in read if r["error"] is None}
+    assert {"<1>", "<2>", "<3>", "<4>"} <= set(good) and good["<2>"] == 3_000_000 and sum(r["error"] is not None for r in read) >= 3
+    small = W.read_warc(spark, f"file://{tmp_path}/*.warc", most_bytes=1_000).collect()
+    assert {r["record_id"] for r in small if r["error"] is None} >= {"<1>", "<3>"} and not {"<2>", "<4>"} & {r["record_id"] for r in small}
 
 
 def test_repair_grammar(docs, none):
