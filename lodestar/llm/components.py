@@ -54,15 +54,30 @@ def _local_stars(batches):
         yield stars(us, vs)
 
 
+#: Parts that a node's edges are dealt to, so that a hub is no single task.
+SALTS = 32
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``edges(u, v)`` with ``m``, the smallest ``v`` of their ``u``.
+
+    The smallest of each part comes first, then that of the node, which goes back to its few parts; the edges themselves
+    are only joined part by part.
+    """
+    salted = edges.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    parts = salted.groupBy("u", "_salt").agg(F.min("v").alias("m"))
+    whole = parts.groupBy("u").agg(F.min("m").alias("m"))
+    return salted.join(parts.select("u", "_salt").join(whole, "u"), ["u", "_salt"]).select("u", "v", "m")
+
+
 def _rounds(edges: DataFrame) -> DataFrame:
     """One large star and one small star; edges run from the larger to the smaller node."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u")
-    small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-    return small.distinct()
+    near = _with_least(both).withColumn("m", F.least("m", "u"))
+    large = near.where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    small = _with_least(large)
+    # Each node but the smallest is tied to it, the star's middle too.
+    return small.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,19 +2,18 @@
 
 A fingerprint's 64 bits are cut into 32 segments of two; a segment's number of set bits is a coordinate. Changing one
 bit changes one coordinate by one, so the Manhattan distance of two such points is a lower bound of the fingerprints'
-Hamming distance. The coordinates are gathered into axes. A Manhattan distance of at most ``radius`` touches at most
-``radius`` axes, so two points in range share a grid cell on all axes but ``radius``: each point is dealt to the cell of
-every such choice of axes, a cell's points are held against the bound and then exactly.
+Hamming distance. The join is a range join on a grid of unit cells over each half of the coordinates: of two points
+within ``radius`` = 4, one half is within 2, and there some cell is within 1 of both. So each point is dealt, in each half,
+to its own cell and to the neighbours one step away (50 cells on average, 66 at most), whatever the number of points;
+the points that meet in a cell are held against the bound and then compared exactly.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import cut, drop_cut, map_rows
@@ -22,8 +21,6 @@ from lodestar.llm.components import Forest, components
 
 RADIUS = 4
 EVEN = 0x5555555555555555
-#: Distinct fingerprints up to which so many axes do; more axes make more and finer cells.
-AXES = ((1 << 20, 6), (1 << 23, 7), (1 << 26, 8), (1 << 63, 10))
 #: Points of a cell that one task holds; larger cells are dealt out as pairs of slices.
 CELL_LIMIT = 16_384
 BLOCK = 1 << 16
@@ -61,14 +58,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), "doc_id long, fp long", make)
 
 
-def axis_masks(axes: int, radius: int = RADIUS) -> list[int]:
-    """For each choice of all axes but ``radius``, the mask of their two-bit coordinates, as a signed long."""
-    bounds = [round(i * 32 / axes) for i in range(axes + 1)]
-    parts = [sum(3 << (2 * j) for j in range(a, b)) for a, b in zip(bounds, bounds[1:], strict=False)]
-    masks = [sum(chosen) for chosen in combinations(parts, axes - radius)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
 def _near(points: np.ndarray, others: np.ndarray, one: tuple[np.uint64, np.uint64], radius: int) -> np.ndarray:
     """Which of ``points`` (and their thermometer codes ``others``) link to ``one``: first the bound, then exactly."""
     within = np.flatnonzero(np.bitwise_count(others ^ one[1]) <= radius)
@@ -144,40 +133,56 @@ def _link_cells(batches):
         yield emit(links)
 
 
-def links_of(points: DataFrame, count: int, radius: int = RADIUS, cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """``points(fp)`` without repeats → links ``(u, v)`` that connect all that lie within ``radius``."""
-    axes = next(n for most, n in AXES if count <= most)
+def grid_cells(fp: Column) -> Column:
+    """The cells of both halves that a fingerprint is dealt to: its own, and those one step from it along one segment."""
     even = F.lit(EVEN).cast("long")
-    high = F.shiftrightunsigned("fp", 1)
-    one, two = F.col("fp").bitwiseXOR(high).bitwiseAND(even), F.col("fp").bitwiseAND(high).bitwiseAND(even)
-    counts = one.bitwiseOR(F.shiftleft(two, 1))  # every segment's count in its own two bits
-    masks = axis_masks(axes, radius)
-    dealt = points.withColumn("_at", counts).select(
-        "fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("_at").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])).alias("cell")
-    )  # two cells with one hash only meet in one task: every link is verified
-    large = dealt.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_limit)
+    high = F.shiftrightunsigned(fp, 1)
+    one, two = fp.bitwiseXOR(high).bitwiseAND(even), fp.bitwiseAND(high).bitwiseAND(even)
+    counts = one.bitwiseOR(F.shiftleft(two, 1))  # every segment's count, 0 to 2, in its own two bits
+    cells = []
+    for half in range(2):
+        own = F.shiftrightunsigned(counts, 32 * half).bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(half << 32)
+        cells.append(own)
+        for j in range(16):
+            count, step = F.shiftrightunsigned(counts, 32 * half + 2 * j).bitwiseAND(F.lit(3)), F.lit(1 << 2 * j).cast("long")
+            cells += [F.when(count > 0, own - step), F.when(count < 2, own + step)]
+    return F.array_compact(F.array(*cells))
+
+
+def links_of(points: DataFrame, count: int, cell_limit: int = CELL_LIMIT) -> DataFrame:
+    """``points(fp)`` without repeats → links ``(u, v)`` that connect all that lie within ``RADIUS``.
+
+    Cells are counted in buckets first, so that only those in crowded buckets are counted one by one.
+    """
+    dealt = points.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
+    buckets = max(1 << 16, 64 * count // 1024)
+    bucket = F.pmod(F.xxhash64("cell"), F.lit(buckets))
+    crowded = dealt.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("n")).where(F.col("n") > cell_limit).select("_bucket")
+    large = dealt.withColumn("_bucket", bucket).join(crowded, "_bucket", "left_semi").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_limit)
     slices = F.ceil(F.col("n") / cell_limit).cast("int")
     mine = F.pmod(F.xxhash64("fp"), slices)
+    # Slices of a large cell meet two by two, under the name of the pair.
     pairs = F.transform(F.sequence(F.lit(0), slices - 1), lambda j: F.xxhash64("cell", F.least(j, mine), F.greatest(j, mine)))
     spread = dealt.join(large, "cell", "left").select("fp", F.explode(F.when(F.col("n").isNull(), F.array("cell")).otherwise(pairs)).alias("cell"))
     parts = spread.select("cell", "fp").repartition("cell").sortWithinPartitions("cell")
     return parts.mapInArrow(_link_cells, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, cell_limit: int = CELL_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fp, fingerprint, component_id)`` of each row of ``docs``.
 
-    Rows are linked when their fingerprints differ in at most ``radius`` bits; ``component_id`` is the smallest id
+    Rows are linked when their fingerprints differ in at most ``RADIUS`` bits; ``component_id`` is the smallest id
     reachable over links. Equal fingerprints are one point, so copies cost nothing but their rows. Null and empty texts
     have the fingerprint zero and are linked like any other. Null ids never name a component that has another id;
     repeated rows keep their number; an empty table gives an empty result; other columns are not read.
     """
     marked = cut(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
-    joined = components(links_of(classes.select("fp"), classes.count(), radius, cell_limit))
+    joined = components(links_of(classes.select("fp"), classes.count(), cell_limit))
     named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = cut(named.join(least, "component").select("fp", "component_id"), "named-points")
+    drop_cut(classes)
     return marked.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
