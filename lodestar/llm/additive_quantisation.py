@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_rows, cut
+from lodestar.llm.common import arrow_rows, cut, drop_cut
 
 #: Vectors that the codebooks are fitted on at most, by a hash of their ids.
 FIT_ROWS = 16_384
@@ -188,7 +188,7 @@ def nearest(
     x = np.array([v for v in sample.v if len(v) == length])
     del sample
     books = fit_codebooks(x, codebooks, min(WORDS, len(x)))
-    rows = rows.where(F.size("v") == length)
+    usable_rows, rows = rows, rows.where(F.size("v") == length)
 
     # Distinct vectors with the ids that can matter, dealt into blocks.
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
@@ -264,5 +264,7 @@ def nearest(
 
     with arrow_rows(spark, 2):
         found = cut(asked.join(packed.select("block", "vectors", "ids", "ends").hint("merge"), "block").mapInArrow(score, "query_id long, vec_id long, score double"), "vector-scores")
+    for done in (usable_rows, packed, queries, asked):
+        drop_cut(done)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, n_words, source_key
+from lodestar.llm.common import cut, drop_cut, n_words, source_key
 
 WEIGHTS = (5, 2, 1)
 #: Offsets of which the best rounds the shares of a source's lengths.
@@ -151,6 +151,7 @@ def mix_sources(
     plan = counted.join(extra, ["_source", "size"]).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     plan = plan.withColumn("here", F.greatest(F.lit(0), F.least("n", F.col("extra") - F.col("before")))).join(sources, "_source")
     plan = cut(plan.select("_source", "size", "_bucket", "here", "source_size", "target", "rounds"), "mix-plan")
+    drop_cut(counted), drop_cut(sources)
 
     keys = ["_source", "size", "_bucket"]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash", f"_keep_{keep[0]}"))

@@ -23,10 +23,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
+    Only on one machine (a local master, as in tests) may the session name none: a temporary folder is set then. On a
+    cluster that is an error, for executors would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'lodestar-shared')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,18 +46,26 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(conf).delete(at, True)
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a path once the driver ends; until then results may be read from it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).deleteOnExit(at)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The written table ends the lineage: a lost executor costs a re-read, never the recomputation of what came before.
-    The path is in ``cut_path`` of the result, for :func:`drop_cut`. Tables that a result is still read from stay until
-    :func:`delete_intermediates`.
+    The path is in ``cut_path`` of the result, for :func:`drop_cut`; what a result is still read from goes when the
+    driver ends.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    delete_at_exit(spark, path)
     return out
 
 

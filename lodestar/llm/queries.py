@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodestar.llm.additive_quantisation import nearest
 from lodestar.llm.best_fit_packing import pack_documents
 from lodestar.llm.budget_mix import mix_sources
-from lodestar.llm.common import fresh_path
+from lodestar.llm.common import delete_at_exit, fresh_path
 from lodestar.llm.compression_bands import compression_bands
 from lodestar.llm.host_rank import filter_sql, filter_urls
 from lodestar.llm.line_dedup import WHOLE, dedup_lines, dedup_sql
@@ -61,7 +61,9 @@ def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived from all pages, written as WARC files, and read back from them."""
-    written = write_warc(derive(responses_of_pages(table(spark, sf_dir, "pages"))), fresh_path(spark, "warc"))
+    folder = fresh_path(spark, "warc")
+    written = write_warc(derive(responses_of_pages(table(spark, sf_dir, "pages"))), folder)
+    delete_at_exit(spark, folder)
     return read_derived(written).drop("path", "error").withColumn("block", F.col("block").cast("string")).withColumnRenamed("source_id", "page_id")
 
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_rows, cut, fresh_path, read_shared, release_memory, write_shared
+from lodestar.llm.common import arrow_rows, cut, delete_at_exit, fresh_path, read_range, read_shared, release_memory, write_shared
 from lodestar.llm.encoding import encoder
 
 MAGIC, VERSION = b"LRPG", 2
@@ -222,6 +222,11 @@ class Shard:
             out |= np.unpackbits(packed)[first % 8 :][: stop - first].astype(np.uint32) << np.uint32(16 + k)
         return out
 
+    @classmethod
+    def open(cls, url: str) -> Shard:
+        """A shard in a shared folder, of which only what is asked for is read."""
+        return cls(lambda at, size: read_range(url, at, size))
+
     def ids(self, k: int) -> np.ndarray:
         """The ids of the ``k``-th document; nothing else is read or expanded."""
         return expand_few(self.symbols(int(self.ends[k - 1]) if k else 0, int(self.ends[k])), self.base, self.rules)
@@ -322,5 +327,8 @@ def grammar_round_trip(docs: DataFrame, tokenizer: str, folder: str | None = Non
     A null or empty text is its end id alone; rows without an id come first; repeated rows are written each, those of
     one id in order of text; an empty table gives no file and an empty result; other columns are not read.
     """
-    folder = folder or fresh_path(docs.sparkSession, "shards")
-    return read_shards(write_shards(docs, tokenizer, folder, **options))
+    own = folder or fresh_path(docs.sparkSession, "shards")
+    manifest = write_shards(docs, tokenizer, own, **options)
+    if not folder:
+        delete_at_exit(docs.sparkSession, own)
+    return read_shards(manifest)

@@ -318,6 +318,37 @@ def test_near_duplicates(docs, none, spark):
     assert (np.bitwise_count(thermometer(a) ^ thermometer(b)) <= np.bitwise_count(a ^ b)).all()
 
 
+def test_range_join_loses_no_link(spark):
+    from lodestar.llm.components import components
+    from lodestar.llm.simhash_popcount import links_of
+
+    rng = random.Random(11)
+    points = {rng.getrandbits(64) for _ in range(400)}
+    for p in list(points)[:150]:
+        for _ in range(3):  # neighbours at every distance around the radius, flips in one half and in both
+            bits = rng.sample(rng.choice([range(64), range(32), range(32, 64), range(0, 64, 2)]), rng.randint(1, 6))
+            points.add(p ^ sum(1 << b for b in bits))
+    points |= {0, (1 << 64) - 1, 1, 3, 7, 15, 31}
+    points = sorted(points)
+    up = {p: p for p in points}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, a in enumerate(points):
+        for b in points[:k]:
+            if (a ^ b).bit_count() <= 4:
+                up[root(a)] = root(b)
+    want = Counter(root(p) for p in points)
+    signed = [(p - (1 << 64) if p >> 63 else p,) for p in points]
+    for limit in (16_384, 4):
+        named = dict(rows(components(links_of(spark.createDataFrame(signed, "fp long"), len(points), limit)), "node", "component"))
+        got = Counter(named.get(p, p) for (p,) in signed)
+        assert sorted(got.values()) == sorted(want.values()) and len({(root(p), named.get(s, s)) for p, (s,) in zip(points, signed, strict=True)}) == len(want)
+
+
 def test_toxicity(spark, none):
     from lodestar.llm.boosting import fit_isotonic
     from lodestar.llm.toxicity_gbt import drop_toxic, held_out, score_toxicity
@@ -465,7 +496,7 @@ def test_warc_reader_passes_over_what_is_broken(spark, tmp_path, packed):
     assert {r["record_id"] for r in small if r["error"] is None} >= {"<1>", "<3>"} and not {"<2>", "<4>"} & {r["record_id"] for r in small}
 
 
-def test_repair_grammar(docs, none):
+def test_repair_grammar(docs, none, tmp_path):
     from lodestar.llm import repair_grammar as R
 
     path, encode = public_tokenizers.path("word_bpe_49k.json"), token_ids("word_bpe_49k.json", 1)
@@ -486,6 +517,8 @@ def test_repair_grammar(docs, none):
         shard = R.Shard(R.to_bytes(grammar, list(range(len(docs_ids))), ends))
         assert all(np.array_equal(shard.ids(k), x) for k, x in enumerate(docs_ids)) and all(np.array_equal(i, x) for (_, _, i), x in zip(shard.documents(block=50), docs_ids, strict=True)) and [len(i) for _, _, i in shard.documents(block=50)] == [len(x) for x in docs_ids]
         assert len(grammar.symbols) < ends[-1] or alphabet > 100
+    (tmp_path / "x").write_bytes(R.to_bytes(grammar, list(range(len(docs_ids))), ends))
+    assert np.array_equal(R.Shard.open(f"file://{tmp_path}/x").ids(17), docs_ids[17])
     with pytest.raises(ValueError, match="not a grammar"):
         R.Shard(b"nope")
 
