@@ -93,5 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op6_host_rank": filter_sql(),
-    "op3_line_dedup": f"WITH {dedup_sql('documents')} SELECT id AS doc_id, txt AS text, n_lines, n_chunks, n_removed_chunks, n_removed_lines FROM deduped",
+    "op3_line_dedup": f"WITH {dedup_sql('documents', rule=WHOLE)} SELECT id AS doc_id, txt AS text, n_lines, n_chunks, n_removed_chunks, n_removed_lines FROM deduped",
 }

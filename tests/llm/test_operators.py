@@ -170,16 +170,17 @@ def plain_line_dedup(table, rule):
     for doc_id, text in sorted(table.items()):
         lines = (text or "").split("\n")
         n = [len(words_of(x)) for x in lines]
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        h = [0, 0] + [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        marks = [False] + [(h[i] * rule.base**2 + h[i + 1] * rule.base + h[i + 2]) % rule.modulus % rule.divisor == 0 for i in range(len(lines))]
         chunks, at = [], 0
         for i in range(len(lines)):
-            if i == len(lines) - 1 or n[i] >= rule.long_words or n[i + 1] >= rule.long_words or ((h[i - 1] if i else 0) * rule.base + h[i]) % rule.divisor == 0:
+            if i == len(lines) - 1 or (marks[i + 1] and not marks[i]):
                 chunks.append((at, i + 1))
                 at = i + 1
         kept = []
         for a, b in chunks:
             passage = "\n".join(lines[a:b])
-            counts = sum(n[a:b]) >= rule.min_words and (b - a > 1 or sum(n[a:b]) >= rule.long_words)
+            counts = sum(n[a:b]) >= rule.min_words and b - a > 1
             if counts and passage in seen:
                 continue
             seen.setdefault(passage, doc_id) if counts else None
@@ -189,7 +190,7 @@ def plain_line_dedup(table, rule):
 
 
 def test_line_dedup(docs, none, spark):
-    from lodestar.llm.line_dedup import Chunking, dedup_lines
+    from lodestar.llm.line_dedup import WHOLE, Chunking, dedup_lines
 
     assert dedup_lines(none).count() == 0
     got = dedup_lines(docs)
@@ -198,7 +199,7 @@ def test_line_dedup(docs, none, spark):
     clean = spark.createDataFrame([(i, t) for i, t in table.items()], "doc_id long, text string")
     for rule in (Chunking(), Chunking(divisor=3, min_words=3, long_words=10)):
         assert dict(rows(dedup_lines(clean, rule), "doc_id", "text")) == plain_line_dedup(table, rule)
-    out = {r["doc_id"]: r for r in dedup_lines(clean).collect()}
+    out = {r["doc_id"]: r for r in dedup_lines(clean, WHOLE).collect()}
     assert out[9]["n_removed_lines"] >= 3 and out[9]["text"].startswith("x\n") and out[0]["text"] is None and out[0]["n_lines"] == 0
 
 
