@@ -37,11 +37,14 @@ RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("
 
 @dataclass(frozen=True)
 class Spread:
-    """``follow``: the share that is passed on at each step. A host is blocked when its distrust, in units of what a
+    """``follow``: the share that is passed on at each step. Steps end when no value has moved by ``still`` of a seed's
+    start since the last look, or after ``steps``, when what is left to come is below ``follow ** steps``. A host is blocked when its distrust, in units of what a
     blocked seed starts with, is ``limit`` or more and exceeds its trust, in units of a trusted seed's."""
 
     follow: float = 0.85
-    steps: int = 15
+    steps: int = 48
+    still: float = 1e-4
+    look: int = 4
     limit: float = 0.25
 
 
@@ -81,20 +84,24 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, spread: Spread) -> DataFrame:
-    """``seeds(host, seed)``, ``edges(src, dst, share)`` → ``(host, rank)`` after ``spread.steps`` steps.
+    """``seeds(host, seed)``, ``edges(src, dst, share)`` → ``(host, rank)``, written.
 
-    A step is one join and one sum over host edges; every third result is written, so the lineage stays short.
+    A step is one join and one sum over host edges; every ``spread.look`` steps the result is written, so the lineage
+    stays short, and held against the one before.
     """
-    start = seeds.withColumn("rank", F.col("seed") * (1 - spread.follow))
-    now, written = start.select("host", "rank"), None
+    start = seeds.select("host", (F.col("seed") * (1 - spread.follow)).alias("rank"))
+    now, written = start, cut(start, "host-rank")
     for step in range(1, spread.steps + 1):
         sent = edges.join(now, edges["src"] == now["host"]).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("share") * F.col("rank") * spread.follow).alias("sent"))
-        now = start.select("host", "rank").join(sent, "host", "full").select("host", (F.coalesce("rank", F.lit(0.0)) + F.coalesce("sent", F.lit(0.0))).alias("rank"))
-        if step % 3 == 0:
-            now = cut(now, "host-rank")
-            drop_cut(written)
+        now = start.join(sent, "host", "full").select("host", (F.coalesce("rank", F.lit(0.0)) + F.coalesce("sent", F.lit(0.0))).alias("rank"))
+        if step % spread.look == 0 or step == spread.steps:
+            now, before = cut(now, "host-rank"), written
+            moved = now.join(before.withColumnRenamed("rank", "was"), "host", "full").agg(F.max(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+            drop_cut(before)
             written = now
-    return now
+            if (moved or 0.0) <= spread.still * (1 - spread.follow):
+                break
+    return written
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, spread: Spread = Spread(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -116,15 +123,12 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, spread: Spread
     blocked = _any([_fits_host(host, r) for r in rules if r.verdict == "block" and r.path == "/"])
     trusted = _any([_fits_host(host, r) for r in rules if r.verdict == "allow"]) & ~blocked
     hosts = cut(hosts.select("host", trusted.cast("double").alias("trusted"), blocked.cast("double").alias("blocked")), "hosts")
-    if edges.isEmpty():  # nothing moves: every seed keeps its own
-        ranked = hosts.select("host", F.col("trusted").alias("trust"), F.col("blocked").alias("distrust"))
-    else:
-        given = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
-        taken = edges.join(edges.groupBy("dst").agg(F.sum("weight").alias("total")), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("total")).alias("share"))
-        unit = 1 - spread.follow  # seeds start with 1 each, so a rank is in units of a seed's start after this division
-        trust = propagate(hosts.where("trusted > 0").select("host", F.col("trusted").alias("seed")), cut(given, "links-out"), spread)
-        distrust = propagate(hosts.where("blocked > 0").select("host", F.col("blocked").alias("seed")), cut(taken, "links-in"), spread)
-        ranked = trust.select("host", (F.col("rank") / unit).alias("trust")).join(distrust.select("host", (F.col("rank") / unit).alias("distrust")), "host", "full")
+    given = edges.join(edges.groupBy("src").agg(F.sum("weight").alias("total")), "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share"))
+    taken = edges.join(edges.groupBy("dst").agg(F.sum("weight").alias("total")), "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("weight") / F.col("total")).alias("share"))
+    unit = 1 - spread.follow  # seeds start with 1 each, so a rank is in units of a seed's start after this division
+    trust = propagate(hosts.where("trusted > 0").select("host", F.col("trusted").alias("seed")), cut(given, "links-out"), spread)
+    distrust = propagate(hosts.where("blocked > 0").select("host", F.col("blocked").alias("seed")), cut(taken, "links-in"), spread)
+    ranked = trust.select("host", (F.col("rank") / unit).alias("trust")).join(distrust.select("host", (F.col("rank") / unit).alias("distrust")), "host", "full")
     ranked = cut(ranked.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "host-values")
     out = marked.join(ranked, "host", "left").withColumn("_best", best_rule(F.col("host"), F.col("path"), rules))
     bad = F.coalesce((F.col("distrust") >= spread.limit) & (F.col("distrust") > F.col("trust")), F.lit(False))
