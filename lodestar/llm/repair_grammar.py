@@ -36,7 +36,7 @@ SHARD_IDS = 1 << 21
 #: Replacements that a rule needs: it takes two symbols and a length itself.
 LEAST = 4
 #: A round replaces the pairs that are at least this share as frequent as the most frequent one.
-ROUND_SHARE = 0.1
+ROUND_SHARE = 0.05
 SLOTS = 1 << 16
 #: In an empty slot: symbols end below it, so it is no pair.
 NO_PAIR = (1 << 32) - 1
@@ -278,14 +278,12 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
 
         for batch in batches:
             encode = encoder(tokenizer, spaced=False)
-            for at in range(0, batch.num_rows, 1_000):
-                some = batch.slice(at, 1_000)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1)), strict=True):
-                    ids_of.append(doc_id)
-                    parts.append(ids + end)
-                    size += len(parts[-1]) // 4
-                    if size >= shard_ids:
-                        yield flush()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids_of.append(doc_id)
+                parts.append(ids + end)
+                size += len(parts[-1]) // 4
+                if size >= shard_ids:
+                    yield flush()
         if parts:
             yield flush()
         release_memory()
