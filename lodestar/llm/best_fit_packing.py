@@ -23,7 +23,7 @@ OPEN_BINS = 128
 #: Texts that are encoded, and pieces that are handed on, at a time.
 SLICE = 1_000
 #: Rows of an Arrow batch at most.
-ROWS = 4_000
+ROWS = 1_000
 #: Tasks whose last open bins are packed together.
 GROUP = 64
 

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from lodestar.llm.common import release_memory, take_process
 
 #: Distinct words that a process has at hand; as many that were at hand before are remembered.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Words that are encoded in one call.
 TOGETHER = 200
 
