@@ -32,4 +32,4 @@ def query(sql: str | None = None):
     return add
 
 
-from lodestar.plans import analytics, chunks, claims, ranking, redacted, runs  # noqa: E402, F401
+from lodestar.plans import analytics, chunks, claims, evaluation, ranking, redacted, runs  # noqa: E402, F401

