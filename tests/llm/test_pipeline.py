@@ -12,6 +12,35 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert rows_of_spark(QUERIES[name](spark, sf_dir)) == rows_of_duck(duck(sf_dir), ORACLES[name])
 
 
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"pipeline"}))
+def test_query_covers_its_table(spark, sf_dir, name):
+    """One row for each document, page record or query, whatever the method decides."""
+    got = QUERIES[name](spark, sf_dir).cache()
+    table = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    if name == "op8_additive_quantisation":
+        asked = table("embeddings").where("vec_id % 20 = 0").count()
+        assert got.select("query_id").distinct().count() == asked and got.count() == 20 * asked
+    elif name == "op9_warc_derivatives":
+        assert got.count() == 2 * table("pages").count() and got.select("record_id").distinct().count() == got.count()
+    else:
+        docs = table("documents")
+        assert got.select("doc_id").distinct().count() == docs.count() and (name == "op2_best_fit_packing" or got.count() == docs.count())
+    if name == "op2_best_fit_packing":
+        total = got.agg(F.sum("length")).first()[0]
+        assert got.select("sequence_id").distinct().count() <= 1.05 * total / 2048 + 1
+    if name == "op10_repair_grammar":
+        rows, at = got.orderBy("doc_id").collect(), 0
+        for r in rows:
+            assert r["start"] == at
+            at += r["n_tokens"]
+    got.unpersist()
+
+
+def test_pipeline_query_ends_in_sequences(spark, sf_dir):
+    got = QUERIES["pipeline"](spark, sf_dir)
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0 and got.count() > 0
+
+
 def test_stages(spark, sf_dir, tmp_path):
     import corpus_pipeline as P
 
