@@ -21,9 +21,9 @@ from lodestar.llm.encoding import encoder
 CAPACITY = 2048
 OPEN_BINS = 128
 #: Texts that are encoded, and pieces that are handed on, at a time.
-SLICE = 1_000
+SLICE = 2_000
 #: Rows of an Arrow batch at most.
-ROWS = 1_000
+ROWS = 2_000
 #: Tasks whose last open bins are packed together.
 GROUP = 64
 

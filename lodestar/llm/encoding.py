@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, each distinct word encoded once."""
+"""Token ids of whole texts by the tokenizers library, each distinct word of some texts encoded once."""
 
 from __future__ import annotations
 
@@ -13,10 +13,9 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from lodestar.llm.common import release_memory, take_process
 
-#: Distinct words that a process has at hand; as many that were at hand before are remembered.
-REMEMBERED = 120_000
-#: Words that are encoded in one call.
+#: Words in one text that is encoded, and such texts in one call.
 TOGETHER = 200
+AT_ONCE = 100
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -30,7 +29,7 @@ ALPHABET = _byte_alphabet()
 #: Where this is found in a text, its white space is not single spaces and line feeds alone.
 OTHER_WHITE = "  | \\n|\\n |\\n\\n|[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Texts that are handled at a time, of ``spaced`` vocabularies and of others: more share more words, and take more memory.
-SLICE = {True: 1_000, False: 4_000}
+SLICE = {True: 2_000, False: 4_000}
 
 
 class Encoder:
@@ -39,10 +38,10 @@ class Encoder:
 
     Both kinds of vocabulary used here split a text into words before they merge. ``spaced`` vocabularies (byte level)
     keep a single space with the word that follows and a single line feed for itself; the others drop white space. So
-    the ids of a text are those of its words in turn, and a word's ids are worked out once: new words are encoded many
+    the ids of a text are those of its words in turn, and the distinct words of ``SLICE`` texts are encoded once, many
     at a time, with a separator between them whose id stands for itself. Texts for which that rule does not hold
-    (white space next to white space, other white space, a special token's string) are encoded whole. Use :func:`encoder`, which keeps what a
-    process has learnt from task to task.
+    (white space next to white space, other white space, a special token's string) are encoded whole. Nothing is
+    remembered from slice to slice. Use :func:`encoder`, which reads a vocabulary once for a process.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -56,9 +55,6 @@ class Encoder:
             raise ValueError(f"{path}: the separator is no single token")
         self.mark_id, self.line = int.from_bytes(ids, "little"), ids
         self.stops = dict(zip(".,", self._whole([".", ","]), strict=True))
-        #: Word → ids; of a ``spaced`` vocabulary with the space before it, or with the line feed that it starts with.
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
         # Words of letters alone need neither normalizer nor pre-tokenizer: they are spelled out and merged only.
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Split(ALPHABET[10], "isolated")
@@ -67,53 +63,100 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        again = new & self.before.keys()
-        self.known.update({x: self.before[x] for x in again})
-        new = new - again
-        if not self.spaced:
-            self._add(self.known, new, "")
-            return
-        heads = {x for x in new if x[:1] == "\n"}
-        self._add(self.known, new - heads, " ")
-        bare: dict[str, bytes] = {}
-        self._add(bare, {x[1:] for x in heads}, "")
-        self.known.update({"\n" + x: self.line + ids for x, ids in bare.items()})
-
-    def _add(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Put the ids of words, and of the stems of some, each with ``lead`` before it, into ``known``."""
-        letters = {x for x in words if x.isalpha()}
-        # A full stop or comma after letters is a word of its own to both vocabularies.
-        ended = [(x, x[:-1], x[-1]) for x in words.difference(letters) if x[-1:] in self.stops and x[:-1].isalpha()]
-        letters.update([stem for _, stem, _ in ended if stem not in known])
-        if not self.spaced:
-            letters = {x for x in letters if x.isascii() or (is_normalized("NFC", x) and "\u03a3" not in x and x.lower().isalpha())}
-        self._together(known, list(letters), lead, self.letters, self.letter_mark)
-        for x, stem, stop in ended:
-            if (ids := known.get(stem)) is not None:
-                known[x] = ids + self.stops[stop]
-        others = [x for x in words.difference(letters) if x not in known]
-        alone = [x for x in others if not x or self.mark in x]
-        known.update(zip(alone, self._whole([lead + x for x in alone]), strict=True))
-        self._together(known, [x for x in others if x and self.mark not in x], lead, self.tokenizer, self.mark_id)
-
-    def _together(self, known: dict[str, bytes], words: list[str], lead: str, tokenizer: Tokenizer, mark_id: int) -> None:
-        groups = [words[at : at + TOGETHER] for at in range(0, len(words), TOGETHER)]
-        if tokenizer is self.letters:
-            # Spelled in the alphabet of bytes that the merges are made of; a line feed is spelled as the separator.
-            texts = [lead + f"\n{lead}".join(group) for group in groups]
-            texts = [(x if self.spaced else x.lower()).encode().decode("latin-1").translate(ALPHABET) for x in texts]
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(flat, starts, sizes)``: the ids of a word are ``sizes`` entries of ``flat`` from ``starts``.
+
+        Words are handled as columns. A ``spaced`` vocabulary's word has the space before it, or starts with a line
+        feed, whose id then comes first. A full stop or comma after letters is a word of its own to both vocabularies.
+        """
+        head = np.zeros(len(words), bool)
+        lead = pa.scalar("")
+        if self.spaced:
+            is_head = pc.starts_with(words, "\n")
+            head = _mask(is_head)
+            words = pc.replace_with_mask(words, is_head, pc.utf8_slice_codeunits(words.filter(is_head), 1))
+            lead = pc.if_else(is_head, "", " ")
         else:
-            texts = [lead + f"{self.between}{lead}".join(group) for group in groups]
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        for group, encoded in zip(groups, encode(texts, add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, "<u4")
-            marks = np.flatnonzero(ids == mark_id) * 4
-            if len(marks) + 1 != len(group):  # a word that holds the separator in another spelling
-                known.update(zip(group, self._whole([lead + x for x in group]), strict=True))
+            words = self._lowered(words)
+        stops = np.zeros(len(words), np.uint32)
+        for mark, ids in self.stops.items():
+            stops[_mask(pc.ends_with(words, mark))] = int.from_bytes(ids, "little")
+        stopped = pa.array(stops > 0)
+        core = pc.replace_with_mask(words, stopped, pc.utf8_slice_codeunits(words.filter(stopped), 0, -1))
+        letters = self._of_letters(core)
+        alone = ~letters & (_mask(pc.equal(words, "")) | _mask(pc.match_substring(words, self.mark)))
+        others = ~letters & ~alone
+        flats, at = [np.zeros(1, np.uint32)], 1
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        led, whole = (pc.binary_join_element_wise(lead, x, "") for x in (core, words))
+        for chosen, texts, encode in ((letters, led, self._spelled), (others, whole, self._joined), (alone, whole, self._singly)):
+            if not chosen.any():
                 continue
-            raw = ids.tobytes()
-            known.update(zip(group, [raw[a:b] for a, b in zip([0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)], strict=True)], strict=True))
+            coded = texts.filter(pa.array(chosen)).dictionary_encode()
+            flat, first, size = encode(coded.dictionary)
+            order = coded.indices.to_numpy()
+            starts[chosen], sizes[chosen] = first[order] + at, size[order]
+            flats.append(flat)
+            at += len(flat)
+        flat = np.concatenate([*flats, np.zeros(1, np.uint32)])
+        after = letters & (stops > 0)
+        own = sizes + head + after
+        ends = np.cumsum(own)
+        out = flat[np.repeat(starts - head - (ends - own), own) + np.arange(int(own.sum()))]
+        out[(ends - own)[head]] = self.mark_id
+        out[ends[after] - 1] = stops[after]
+        return out, ends - own, own
+
+    def _of_letters(self, words: pa.Array) -> np.ndarray:
+        """Which words need neither normalizer nor pre-tokenizer."""
+        out = _mask(pc.ascii_is_alpha(words)).copy()
+        wide = np.flatnonzero(~_mask(pc.string_is_ascii(words)))
+        some = words.take(pa.array(wide)).to_pylist()
+        if self.spaced:
+            out[wide] = [x.isalpha() for x in some]
+        else:
+            out[wide] = [x.isalpha() and is_normalized("NFC", x) and "\u03a3" not in x and x.lower().isalpha() for x in some]
+        return out
+
+    def _spelled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of letters, spelled in the alphabet of bytes that the merges are made of; a line feed is the separator."""
+
+        def spell(x: str) -> str:
+            x = x if self.spaced else x.lower()
+            return x.replace(" ", ALPHABET[32]).replace("\n", ALPHABET[10]) if x.isascii() else x.encode().decode("latin-1").translate(ALPHABET)
+
+        return self._together(words, "\n", spell, self.letters, self.letter_mark)
+
+    def _joined(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self._together(words, self.between, str, self.tokenizer, self.mark_id)
+
+    def _singly(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = self._whole(words.to_pylist())
+        sizes = np.array([len(x) // 4 for x in parts], np.int64)
+        return np.frombuffer(b"".join(parts), "<u4"), np.cumsum(sizes) - sizes, sizes
+
+    def _together(self, words: pa.Array, between: str, spell, tokenizer: Tokenizer, mark_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Encode ``TOGETHER`` words in one text and ``AT_ONCE`` texts in one call: what the library holds is bounded."""
+        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        bounds = np.r_[np.arange(0, len(words), TOGETHER), len(words)].astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words), between)
+        flats, starts, sizes, at = [], [], [], 0
+        for first in range(0, len(texts), AT_ONCE):
+            group = texts.slice(first, AT_ONCE).to_pylist()
+            for k, encoded in enumerate(encode([spell(x) for x in group], add_special_tokens=False), first):
+                ids = np.array(encoded.ids, np.uint32)
+                marks = np.flatnonzero(ids == mark_id)
+                n = int(bounds[k + 1] - bounds[k])
+                if len(marks) + 1 == n:
+                    begin = np.r_[0, marks + 1]
+                    size = np.r_[marks, len(ids)] - begin
+                else:  # a word that holds the separator in another spelling
+                    ids, begin, size = self._singly(words.slice(int(bounds[k]), n))
+                flats.append(ids)
+                starts.append(begin + at)
+                sizes.append(size)
+                at += len(ids)
+        return np.concatenate(flats), np.concatenate(starts), np.concatenate(sizes)
 
     def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         array = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
@@ -139,18 +182,7 @@ class Encoder:
         plain = pc.replace_substring(texts, "\n", " \n" if self.spaced else " ")
         lists = pc.split_pattern(pc.binary_join_element_wise("\n", plain, "") if self.spaced else plain, " ")
         numbers = lists.flatten().dictionary_encode()
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known  # words still in use come back from there
-        words = self._keys(numbers.dictionary)
-        found = list(map(self.known.get, words))
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        if missing:
-            self._learn({words[k] for k in missing})
-            for k in missing:
-                found[k] = self.known[words[k]]
-        flat = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
+        flat, starts, sizes = self._pieces(numbers.dictionary)
         order = numbers.indices.to_numpy()
         each = sizes[order]
         ends = np.cumsum(each)
@@ -161,22 +193,22 @@ class Encoder:
         skip = len(self.line) if self.spaced else 0
         return [whole[i] if i in whole else raw[a + skip : b] for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
 
-    def _keys(self, words: pa.Array) -> list[str]:
-        """What words are remembered by: lower case where the vocabulary lowers them whatever stands around."""
-        if self.spaced:
-            return words.to_numpy(zero_copy_only=False).tolist()
-        out = pc.ascii_lower(words).to_numpy(zero_copy_only=False).tolist()
-        wide = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
-        for k, x in zip(wide.tolist(), words.take(pa.array(wide)).to_pylist(), strict=True):
-            out[k] = x.lower() if is_normalized("NFC", x) and "\u03a3" not in x and "\u0130" not in x else x
-        return out
+    def _lowered(self, words: pa.Array) -> pa.Array:
+        """Lower case where the vocabulary lowers words whatever stands around."""
+        wide = pc.invert(pc.string_is_ascii(words))
+        some = [x.lower() if is_normalized("NFC", x) and "\u03a3" not in x and "\u0130" not in x else x for x in words.filter(wide).to_pylist()]
+        return pc.replace_with_mask(pc.ascii_lower(words), wide, pa.array(some, pa.string()))
+
+
+def _mask(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
-    """The process's encoder of a vocabulary; Python workers outlive tasks, and so do the words they have learnt."""
+    """The process's encoder of a vocabulary; Python workers outlive tasks."""
     take_process("encoder", _ENCODERS.clear)
     if (path, spaced) not in _ENCODERS:
         _ENCODERS[path, spaced] = Encoder(path, spaced)

@@ -138,12 +138,14 @@ def expansions(base: int, rules: np.ndarray, spans: np.ndarray) -> tuple[np.ndar
     starts = np.cumsum(sizes) - sizes
     flat = np.zeros(int(sizes.sum()), np.uint32)
     flat[:base] = np.arange(base)
-    for r, pair in enumerate(rules.tolist()):
-        at = int(starts[base + r])
-        for x in pair:
-            n, first = int(sizes[x]), int(starts[x])
-            flat[at : at + n] = flat[first : first + n]
-            at += n
+    # Rules whose symbols all stand before the first of them are expanded together.
+    newest, first = np.maximum.accumulate(rules.max(axis=1).astype(np.int64)) if len(rules) else np.zeros(0, np.int64), 0
+    while first < len(rules):
+        stop = int(np.searchsorted(newest, base + first))
+        ids = expand(rules[first:stop].ravel().astype(np.int64), flat, starts, sizes)
+        at = int(starts[base + first])
+        flat[at : at + len(ids)] = ids
+        first = stop
     return flat, starts, sizes
 
 

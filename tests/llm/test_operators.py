@@ -118,9 +118,14 @@ def test_compression_verdicts_against_a_plain_version(spark, sf_dir):
 def test_encoder_is_the_library(name, spaced, monkeypatch):
     from lodestar.llm import encoding
 
-    monkeypatch.setattr(encoding, "REMEMBERED", 300)
+    monkeypatch.setattr(encoding, "SLICE", {True: 300, False: 300})
+    monkeypatch.setattr(encoding, "TOGETHER", 7)
+    monkeypatch.setattr(encoding, "AT_ONCE", 3)
     whole = Tokenizer.from_file(public_tokenizers.path(name))
     texts = [t for _, t, *_ in corpus() if t is not None] + [" lead", "tail ", "\nx\n", "a,b. c.\nd, .e ...", "it's I'll WE'RE", "naïve İstanbul ΣΑΣ", "1,000 3.14", "日本語 テキスト", "\ue000 \u200b"]
+    rng = random.Random(11)
+    signs = [*"abXYZ019.,!' \n\t", "\n\n", "é", "e\u0301", "Σ", "σ", "İ", "ß", "中", "😀", "Ⅷ", "ǅ", "\u200d", "क", "ा", "the. ", "end, ", "9 9", "<|endoftext|>", "\r"]
+    texts += ["".join(rng.choices(signs, k=rng.randint(0, 40))) for _ in range(1_500)]
     got = encoding.Encoder(public_tokenizers.path(name), spaced)(texts * 2)
     assert got == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)] * 2
 
