@@ -63,8 +63,8 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(flat, starts, sizes)``: the ids of a word are ``sizes`` entries of ``flat`` from ``starts``.
+    def _pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and how many each has.
 
         Words are handled as columns. A ``spaced`` vocabulary's word has the space before it, or starts with a line
         feed, whose id then comes first. A full stop or comma after letters is a word of its own to both vocabularies.
@@ -76,14 +76,21 @@ class Encoder:
             head = _mask(is_head)
             words = pc.replace_with_mask(words, is_head, pc.utf8_slice_codeunits(words.filter(is_head), 1))
             lead = pc.if_else(is_head, "", " ")
-        else:
-            words = self._lowered(words)
+        is_wide = pc.invert(pc.string_is_ascii(words))
+        wide = words.filter(is_wide).to_pylist()
+        if not self.spaced:
+            # Lower case where the vocabulary lowers words whatever stands around.
+            wide = [x.lower() if is_normalized("NFC", x) and "\u03a3" not in x and "\u0130" not in x else x for x in wide]
+            words = pc.replace_with_mask(pc.ascii_lower(words), is_wide, pa.array(wide, pa.string()))
         stops = np.zeros(len(words), np.uint32)
         for mark, ids in self.stops.items():
             stops[_mask(pc.ends_with(words, mark))] = int.from_bytes(ids, "little")
         stopped = pa.array(stops > 0)
         core = pc.replace_with_mask(words, stopped, pc.utf8_slice_codeunits(words.filter(stopped), 0, -1))
-        letters = self._of_letters(core)
+        # Letters alone, and in the form that the vocabulary keeps, need neither normalizer nor pre-tokenizer.
+        letters = _mask(pc.ascii_is_alpha(core)).copy()
+        wide = [x[:-1] if x[-1] in self.stops else x for x in wide]
+        letters[_mask(is_wide)] = [x.isalpha() and (self.spaced or (is_normalized("NFC", x) and "\u03a3" not in x and x.lower().isalpha())) for x in wide]
         alone = ~letters & (_mask(pc.equal(words, "")) | _mask(pc.match_substring(words, self.mark)))
         others = ~letters & ~alone
         flats, at = [np.zeros(1, np.uint32)], 1
@@ -105,18 +112,7 @@ class Encoder:
         out = flat[np.repeat(starts - head - (ends - own), own) + np.arange(int(own.sum()))]
         out[(ends - own)[head]] = self.mark_id
         out[ends[after] - 1] = stops[after]
-        return out, ends - own, own
-
-    def _of_letters(self, words: pa.Array) -> np.ndarray:
-        """Which words need neither normalizer nor pre-tokenizer."""
-        out = _mask(pc.ascii_is_alpha(words)).copy()
-        wide = np.flatnonzero(~_mask(pc.string_is_ascii(words)))
-        some = words.take(pa.array(wide)).to_pylist()
-        if self.spaced:
-            out[wide] = [x.isalpha() for x in some]
-        else:
-            out[wide] = [x.isalpha() and is_normalized("NFC", x) and "\u03a3" not in x and x.lower().isalpha() for x in some]
-        return out
+        return out, own
 
     def _spelled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of letters, spelled in the alphabet of bytes that the merges are made of; a line feed is the separator."""
@@ -182,22 +178,14 @@ class Encoder:
         plain = pc.replace_substring(texts, "\n", " \n" if self.spaced else " ")
         lists = pc.split_pattern(pc.binary_join_element_wise("\n", plain, "") if self.spaced else plain, " ")
         numbers = lists.flatten().dictionary_encode()
-        flat, starts, sizes = self._pieces(numbers.dictionary)
-        order = numbers.indices.to_numpy()
-        each = sizes[order]
-        ends = np.cumsum(each)
-        place = np.repeat(starts[order] - (ends - each), each)
-        place += np.arange(len(place))
-        raw = flat[place].tobytes()
-        bounds = np.r_[0, ends][lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4
+        flat, sizes = self._pieces(numbers.dictionary)
+        bounds = np.r_[0, np.cumsum(sizes)] * 4
+        coded = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(flat)]).take(numbers.indices)
+        _, ends, data = coded.buffers()
+        raw = memoryview(data) if data else memoryview(b"")
+        bounds = np.frombuffer(ends, np.int64)[coded.offset : coded.offset + len(coded) + 1][lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         skip = len(self.line) if self.spaced else 0
-        return [whole[i] if i in whole else raw[a + skip : b] for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
-
-    def _lowered(self, words: pa.Array) -> pa.Array:
-        """Lower case where the vocabulary lowers words whatever stands around."""
-        wide = pc.invert(pc.string_is_ascii(words))
-        some = [x.lower() if is_normalized("NFC", x) and "\u03a3" not in x and "\u0130" not in x else x for x in words.filter(wide).to_pylist()]
-        return pc.replace_with_mask(pc.ascii_lower(words), wide, pa.array(some, pa.string()))
+        return [whole[i] if i in whole else bytes(raw[a + skip : b]) for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))]
 
 
 def _mask(values: pa.Array) -> np.ndarray:

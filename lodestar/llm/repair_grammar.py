@@ -38,8 +38,10 @@ LEAST = 4
 #: A round replaces the pairs that are at least this share as frequent as the most frequent one.
 ROUND_SHARE = 0.05
 SLOTS = 1 << 16
-#: In an empty slot: symbols end below it, so it is no pair.
-NO_PAIR = (1 << 32) - 1
+#: Pairs that are looked up at a time, so that they stay in a core's cache.
+BLOCK = 1 << 15
+#: Shards that a task reads, one at a time.
+READ_TOGETHER = 4
 
 
 @dataclass
@@ -65,22 +67,24 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, r
     rounds go on until no rule does; there is no limit on rounds, rules, or the length that a rule expands to.
     ``ends``: the number of ids up to each document's end.
     """
-    symbols = ids.astype(np.uint32)
-    last = np.zeros(len(symbols), bool)
-    last[ends[np.r_[True, ends[1:] != ends[:-1]] & (ends > 0)] - 1] = True
+    symbols = ids.astype(np.int64)
+    last = ends[np.r_[True, ends[1:] != ends[:-1]] & (ends > 0)] - 1  # where documents end among the symbols
     rules: list[np.ndarray] = []
     spans = np.ones(base, np.int64)
     count, share = base, round_share
+    uses = np.bincount(symbols, minlength=count)
     while len(symbols) > 1:
         # Pairs as numbers of the symbols in use: these mostly fit into 16 bits, so that a pair takes 32.
-        used = np.flatnonzero(np.bincount(symbols, minlength=count))
+        used = np.flatnonzero(uses)
         narrow = len(used) < 1 << 16
-        number = np.zeros(count, np.uint32 if narrow else np.uint64)
+        kind, shift = (np.uint32, 16) if narrow else (np.uint64, 32)
+        across, empty = np.iinfo(kind).max, np.iinfo(kind).max - 1  # neither is a pair of numbers
+        number = np.zeros(count, kind)
         number[used] = np.arange(len(used))
-        keys = number[symbols]
-        keys = (keys[:-1] << (keys.dtype.type(16 if narrow else 32))) | keys[1:]
-        inside = ~last[:-1]
-        ordered = np.sort(keys[inside])
+        keys = number.take(symbols)
+        keys = (keys[:-1] << kind(shift)) | keys[1:]
+        keys[last[:-1]] = across
+        ordered = np.sort(keys)[: len(keys) - len(last) + 1]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
         counts = np.diff(np.r_[starts, len(ordered)])
         floor = max(least, int(share * counts.max(initial=0)))
@@ -90,33 +94,43 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, r
         often = often[np.argsort(-counts[often], kind="stable")]
         pairs = ordered[starts[often]]
         # One pair for each slot of a table, the most frequent; the others have their turn in a later round.
-        _, first = np.unique(slots(pairs), return_index=True)
-        pairs = pairs[np.sort(first)]
-        table, rule_of = np.full(SLOTS, NO_PAIR, keys.dtype), np.zeros(SLOTS, np.int64)
-        table[slots(pairs)], rule_of[slots(pairs)] = pairs, np.arange(len(pairs))
-        place = slots(keys)
-        hit = np.flatnonzero((table[place] == keys) & inside)
+        rule_of = np.zeros(SLOTS, np.int64)
+        slot = slots(pairs).astype(np.int64)
+        rule_of[slot[::-1]] = np.arange(len(pairs))[::-1]
+        own = rule_of[slot] == np.arange(len(pairs))
+        pairs, slot = pairs[own], slot[own]
+        table = np.full(SLOTS, empty, kind)
+        table[slot], rule_of[slot] = pairs, np.arange(len(pairs))
+        found = np.zeros(len(keys), bool)
+        for at in range(0, len(keys), BLOCK):
+            some = keys[at : at + BLOCK]
+            np.equal(table.take(slots(some)), some, out=found[at : at + BLOCK])
+        hit = np.flatnonzero(found)
         # Of matches that overlap, every second counts, from the left.
         head = np.r_[True, hit[1:] != hit[:-1] + 1]
         run = np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
         hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        rule = rule_of[place[hit]]
-        pays = np.bincount(rule, minlength=len(pairs)) >= least
+        rule = rule_of[slots(keys[hit])]
+        times = np.bincount(rule, minlength=len(pairs))
+        pays = times >= least
         if not pays.any():
             if floor == least:
                 break
             share = 0.0  # what is left is too entangled to be taken by frequency
             continue
         hit, rule = hit[pays[rule]], (np.cumsum(pays) - 1)[rule[pays[rule]]]
-        pairs = pairs[pays]
-        left, right = used[(pairs >> (16 if narrow else 32)).astype(np.int64)], used[(pairs & ((1 << 16) - 1 if narrow else (1 << 32) - 1)).astype(np.int64)]
+        pairs, times = pairs[pays], times[pays]
+        left, right = used[(pairs >> kind(shift)).astype(np.int64)], used[(pairs & kind((1 << shift) - 1)).astype(np.int64)]
         rules.append(np.stack([left, right], axis=1))
         spans = np.r_[spans, spans[left] + spans[right]]
-        symbols[hit] = (count + rule).astype(np.uint32)
-        last[hit] |= last[hit + 1]
+        uses = np.r_[uses, times]
+        np.subtract.at(uses, left, times)
+        np.subtract.at(uses, right, times)
+        symbols[hit] = count + rule
         stay = np.ones(len(symbols), bool)
         stay[hit + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        symbols = symbols[stay]
+        last = last - np.searchsorted(hit + 1, last, side="right")
         count += len(pairs)
     # Where documents end among the symbols: by the ids that the symbols cover.
     covered = np.cumsum(spans[symbols]) if len(symbols) else np.zeros(0, np.int64)
@@ -124,7 +138,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, r
     symbol_ends[ends == 0] = 0
     all_rules = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     width, span = (np.uint16 if n <= 1 << 16 else np.uint32 for n in (count, spans.max(initial=0) + 1))
-    return Grammar(base, all_rules.astype(width), spans[base:].astype(span), symbols, symbol_ends.astype(np.int64))
+    return Grammar(base, all_rules.astype(width), spans[base:].astype(span), symbols.astype(np.uint32), symbol_ends.astype(np.int64))
 
 
 def pack_symbols(symbols: np.ndarray, bits: int) -> bytes:
@@ -318,7 +332,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return placed.repartition(max(1, min(manifest.count(), 10_000))).mapInArrow(run, "doc_id long, start long, ids binary")
+    return placed.repartition(max(1, min(-(-manifest.count() // READ_TOGETHER), 10_000))).mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def grammar_round_trip(docs: DataFrame, tokenizer: str, folder: str | None = None, **options) -> DataFrame:
