@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import re
 from unicodedata import is_normalized
 
@@ -13,6 +14,9 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from lodestar.llm.common import release_memory, take_process
 
+# A task has one core; threads of the library would only wait for each other.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Words in one text that is encoded, and such texts in one call.
 TOGETHER = 200
 AT_ONCE = 100
@@ -29,7 +33,7 @@ ALPHABET = _byte_alphabet()
 #: Where this is found in a text, its white space is not single spaces and line feeds alone.
 OTHER_WHITE = "  | \\n|\\n |\\n\\n|[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Texts that are handled at a time, of ``spaced`` vocabularies and of others: more share more words, and take more memory.
-SLICE = {True: 2_000, False: 4_000}
+SLICE = {True: 2_000, False: 8_000}
 
 
 class Encoder:

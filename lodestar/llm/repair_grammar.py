@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import arrow_rows, cut, delete_at_exit, fresh_path, read_range, read_shared, release_memory, write_shared
-from lodestar.llm.encoding import encoder
+from lodestar.llm.encoding import SLICE, encoder
 
 MAGIC, VERSION = b"LRPG", 2
 ARRAYS = ("rules", "spans", "doc_ids", "doc_null", "ends", "id_ends", "symbols")
@@ -85,7 +85,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, r
         keys = (keys[:-1] << kind(shift)) | keys[1:]
         keys[last[:-1]] = across
         ordered = np.sort(keys)[: len(keys) - len(last) + 1]
-        starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+        starts = np.r_[0, np.flatnonzero(ordered[1:] != ordered[:-1]) + 1] if len(ordered) else np.zeros(0, np.int64)
         counts = np.diff(np.r_[starts, len(ordered)])
         floor = max(least, int(share * counts.max(initial=0)))
         often = np.flatnonzero(counts >= floor)
@@ -109,7 +109,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, r
         # Of matches that overlap, every second counts, from the left.
         head = np.r_[True, hit[1:] != hit[:-1] + 1]
         run = np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
+        hit = hit[((np.arange(len(hit)) - run) & 1) == 0]
         rule = rule_of[slots(keys[hit])]
         times = np.bincount(rule, minlength=len(pairs))
         pays = times >= least
@@ -143,7 +143,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, r
 
 def pack_symbols(symbols: np.ndarray, bits: int) -> bytes:
     """The low 16 bits of each symbol, then every higher bit of all symbols in turn."""
-    return symbols.astype("<u2").tobytes() + b"".join(np.packbits((symbols >> np.uint32(b) & np.uint32(1)).astype(np.uint8)).tobytes() for b in range(16, bits))
+    return symbols.astype("<u2").tobytes() + b"".join(np.packbits((symbols & np.uint32(1 << b)) != 0).tobytes() for b in range(16, bits))
 
 
 def expansions(base: int, rules: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -306,7 +306,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
 
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     ordered = source.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    with arrow_rows(docs.sparkSession, 4_000):
+    with arrow_rows(docs.sparkSession, SLICE[False]):
         return cut(ordered.mapInArrow(run, MANIFEST), "shard-manifest")
 
 
