@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,11 +55,18 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest_exact(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """``vectors(chunk_id, v)``, ``queries(query_id, q)`` → ``(query_id, chunk_id, score, rank)``, exact.
 
-    The query side is gathered into one array, so it must be small; a filter comes before the ranking.
+    The query side is gathered into one array, which is broadcast; more than ``MOST_QUERIES`` are dealt into blocks of
+    about half as many, each with a ranking of its own. A filter comes before the ranking.
     """
     queries = queries.select("query_id", "q", *[c for c in queries.columns if c not in ("query_id", "q")])
     if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search in blocks instead")
+        blocks = -(-2 * queries.count() // MOST_QUERIES)
+        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+        return reduce(DataFrame.unionByName, [_nearest(vectors, queries.where(block == n), k, where) for n in range(blocks)])
+    return _nearest(vectors, queries, k, where)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None) -> DataFrame:
     gathered = queries.agg(F.collect_list(F.struct(*queries.columns)).alias("_qs"))
     pairs = vectors.crossJoin(F.broadcast(gathered)).withColumn("_q", F.explode("_qs")).select(*vectors.columns, "_q.*")
     pairs = pairs.where(where) if where is not None else pairs

@@ -157,6 +157,15 @@ def test_fusion_and_rescue(spark):
     assert [r["chunk_id"] for r in Q.rescue(fused, chunks, codes, F.col("clause") == "PREAMBLE", 3).orderBy("rank").collect()] == ["c", "b", "a"]
 
 
+def test_exact_vectors_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "chunk_id long, v array<double>")
+    queries = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(25)] + [(None, [1.0, 1.0, 1.0])], "query_id long, q array<double>")
+    rows = lambda: sorted(map(str, Q.nearest_exact(vectors, queries, 3).collect()))
+    whole = rows()
+    monkeypatch.setattr(Q, "MOST_QUERIES", 10)
+    assert len(whole) == 26 * 3 and rows() == whole
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(1, 11)], "id int, v double")
     assert df.agg(M.nearest_rank("v", 0.99)).first()[0] == 10.0
