@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm.additive_quantisation import nearest
@@ -15,6 +15,7 @@ from lodestar.llm.budget_mix import mix_sources
 from lodestar.llm.common import delete_at_exit, fresh_path
 from lodestar.llm.compression_bands import compression_bands
 from lodestar.llm.host_rank import filter_sql, filter_urls
+from lodestar.llm.keyed_upsert import file_digests, upsert, write_table
 from lodestar.llm.line_dedup import WHOLE, dedup_lines, dedup_sql
 from lodestar.llm.repair_grammar import grammar_round_trip
 from lodestar.llm.simhash_popcount import near_duplicates
@@ -77,6 +78,24 @@ def op10_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A part of the clients as sorted files, their changes applied to these; the files stay in the shared folder."""
+    clients, changes = table(spark, sf_dir, "clients"), table(spark, sf_dir, "client_changes")
+    number = lambda c: F.crc32(F.col(c).cast("string"))
+    most = 1 + clients.count() // 700
+    folder = fresh_path(spark, "clients")
+    files = write_table(clients.where(number("client_id") % 7 > 3), "client_id", most, folder)
+
+    def decide(home: Column) -> Column:
+        h = F.crc32(home.cast("string")) % 12
+        gone = F.coalesce(F.col("op") == "D", F.lit(False)) | F.coalesce(number("change_id") % 8 < h, F.lit(False))
+        return F.when(h <= 7, F.when(gone, "delete").otherwise("set"))
+
+    columns = ["source", "segment", "city", "balance"]
+    files = upsert(spark, folder, files, clients.schema, changes, "client_id", ["seq", "change_id"], columns, most, decide)
+    return file_digests(spark, files, "client_id", "balance", ["source", "segment", "city"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -88,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_additive_quantisation": op8_additive_quantisation,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_repair_grammar": op10_repair_grammar,
+    "op11_keyed_upsert": op11_keyed_upsert,
     "pipeline": pipeline,
 }
 
