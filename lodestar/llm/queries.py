@@ -15,6 +15,7 @@ from lodestar.llm.budget_mix import mix_sources
 from lodestar.llm.common import delete_at_exit, fresh_path
 from lodestar.llm.compression_bands import compression_bands
 from lodestar.llm.host_rank import filter_sql, filter_urls
+from lodestar.llm.item_spans import match_items, match_sql
 from lodestar.llm.keyed_upsert import file_digests, upsert, write_table
 from lodestar.llm.line_dedup import WHOLE, dedup_lines, dedup_sql
 from lodestar.llm.repair_grammar import grammar_round_trip
@@ -96,6 +97,10 @@ def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_digests(spark, files, "client_id", "balance", ["source", "segment", "city"])
 
 
+def op12_item_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -108,10 +113,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_repair_grammar": op10_repair_grammar,
     "op11_keyed_upsert": op11_keyed_upsert,
+    "op12_item_spans": op12_item_spans,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op6_host_rank": filter_sql(),
+    "op12_item_spans": match_sql(),
     "op3_line_dedup": f"WITH {dedup_sql('documents', rule=WHOLE)} SELECT id AS doc_id, txt AS text, n_lines, n_chunks, n_removed_chunks, n_removed_lines FROM deduped",
 }
