@@ -20,6 +20,7 @@ from lodestar.llm.keyed_upsert import file_digests, upsert, write_table
 from lodestar.llm.line_dedup import WHOLE, dedup_lines, dedup_sql
 from lodestar.llm.repair_grammar import grammar_round_trip
 from lodestar.llm.simhash_popcount import near_duplicates
+from lodestar.llm.source_divergence import divergence_sql, source_divergence
 from lodestar.llm.toxicity_gbt import score_toxicity
 from lodestar.llm.warc_derivatives import derive, read_derived, responses_of_pages, write_warc
 
@@ -101,6 +102,10 @@ def op12_item_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_bands": op1_compression_bands,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -114,11 +119,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repair_grammar": op10_repair_grammar,
     "op11_keyed_upsert": op11_keyed_upsert,
     "op12_item_spans": op12_item_spans,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op6_host_rank": filter_sql(),
     "op12_item_spans": match_sql(),
+    "op13_source_divergence": divergence_sql(),
     "op3_line_dedup": f"WITH {dedup_sql('documents', rule=WHOLE)} SELECT id AS doc_id, txt AS text, n_lines, n_chunks, n_removed_chunks, n_removed_lines FROM deduped",
 }
