@@ -32,8 +32,3 @@ def pseudonym(kind: str, value: Column, salt: bytes, digits: int = 6) -> Column:
 
 def paired_hash(a: Column, b: Column) -> Column:
     return F.sha2(F.concat(a.cast("binary"), F.unhex(F.lit("00")), b.cast("binary")), 256)
-
-
-def ordered_fingerprint(parts: Column, digits: int = 64) -> Column:
-    """An aggregate: SHA-256 over the sorted strings of a group, one after another."""
-    return F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), ""), 256), 1, digits)

@@ -7,25 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators.ordering import select_ranks
 
-def nearest_rank(column: str, share: float) -> Column:
-    """The value at place ``ceil(share * n)``."""
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})")
 
+def percentiles(df: DataFrame, by: Sequence[str], column: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """``(by, names)``: of each group the percentiles ``name: (rule, share)``, exact, without sorting a group in one task.
 
-def floor_rank(df: DataFrame, by: Sequence[str], column: str, share: float, name: str) -> DataFrame:
-    """The value at index ``floor(share * n)``, counted from 0: no SQL percentile."""
-    every = Window.partitionBy(*by)
-    placed = df.withColumn("_n", F.count("*").over(every)).withColumn("_r", F.row_number().over(every.orderBy(column)))
-    return placed.where(F.col("_r") == F.floor(share * F.col("_n")) + 1).groupBy(*by).agg(F.min(column).alias(name))
+    Rules: ``nearest`` is the value at place ``ceil(share * n)``, counted from 1; ``floor`` that at ``floor(share * n)``,
+    counted from 0; ``between`` lies between the two values around ``share * (n - 1)``, as a median does.
+    """
+    n, ranks = F.col("n"), {}
+    for name, (rule, share) in wanted.items():
+        if rule == "between":
+            ranks |= {f"{name}_low": F.floor(share * (n - 1)), f"{name}_high": F.ceil(share * (n - 1))}
+        else:
+            ranks[name] = F.floor(share * n) if rule == "floor" else F.greatest(F.ceil(share * n) - 1, F.lit(0))
+    counted = df.groupBy(*by).agg(F.count(F.expr(f"IF(isnan({column}), NULL, {column})")).alias("_n"))
+    found = select_ranks(df, by, column, ranks)
+    if any(rule == "between" for rule, _ in wanted.values()):
+        renamed = counted.select(*[F.col(b).alias(f"_{b}") for b in by], "_n")
+        found = found.join(renamed, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    value = lambda name, share: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (share * (F.col("_n") - 1) - F.floor(share * (F.col("_n") - 1)))
+    return found.select(*by, *[(value(name, share) if rule == "between" else F.col(name)).alias(name) for name, (rule, share) in wanted.items()])
 
 
 def race_numbers(runs: DataFrame, by: str, passed: str, latency: str, tokens: str, cost: str) -> DataFrame:
     """Pass rate, median latency, tokens and mean cost of each group."""
-    return runs.groupBy(by).agg(
-        F.count("*").alias("n"), F.round(F.avg(F.col(passed).cast("double")), 6).alias("pass_rate"), F.round(F.median(latency), 6).alias("p50"),
-        F.sum(tokens).alias("tokens"), F.round(F.avg(cost), 6).alias("cost_mean"), F.round(nearest_rank(latency, 0.99), 6).alias("p99"),
+    rates = runs.groupBy(by).agg(
+        F.count("*").alias("n"), F.round(F.avg(F.col(passed).cast("double")), 6).alias("pass_rate"), F.sum(tokens).alias("tokens"), F.round(F.avg(cost), 6).alias("cost_mean"),
     )
+    at = percentiles(runs, [by], latency, {"p50": ("between", 0.5), "p99": ("nearest", 0.99)})
+    joined = rates.join(at.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
+    return joined.select(by, "n", "pass_rate", F.round("p50", 6).alias("p50"), "tokens", "cost_mean", F.round("p99", 6).alias("p99"))
 
 
 def overlapping_rollup(cases: DataFrame, mode: Column, flag: Column, flag_name: str, passed: Column) -> DataFrame:
@@ -58,23 +71,43 @@ def cost_usd(calls: DataFrame, prices: DataFrame, default: tuple[float, float])
     return joined.withColumn("cost", spent / 1e6).drop("price_in", "price_out")
 
 
+def fill_level(sizes: DataFrame, kept: int) -> tuple[int, int]:
+    """The highest level ``q`` at which modes ``(_fixed, _n)`` filled to it hold at most ``kept``, and what they hold then.
+
+    A mode holds its fixed cases, then ``q``, then all it has: what all hold is linear between the places where some
+    mode starts or stops to follow the level. So slopes and sums over the sorted places give the level at once.
+    """
+    ends = F.explode(F.array(F.struct(F.col("_fixed").alias("x"), F.lit(1).alias("d")), F.struct(F.col("_n").alias("x"), F.lit(-1).alias("d"))))
+    bends = sizes.where("_n > _fixed").select(ends.alias("_e")).groupBy("_e.x").agg(F.sum("_e.d").alias("d"))
+    base = sizes.agg(F.coalesce(F.sum("_fixed"), F.lit(0)).alias("held"), F.coalesce(F.max("_n"), F.lit(0)).alias("top")).first()
+    # A row for each distinct size, whose number is below the square root of twice the cases.
+    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sloped = bends.withColumn("slope", F.sum("d").over(upto)).withColumn("to", F.lead("x").over(Window.orderBy("x")))
+    grown = (F.col("to") - F.col("x")) * F.col("slope")
+    sloped = sloped.withColumn("held", base.held + F.coalesce(F.sum(grown).over(upto.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = sloped.where(F.col("held") <= kept).orderBy(F.desc("x")).limit(1).select("x", "slope", "held").first()
+    if at is None:
+        return 0, base.held
+    more = (kept - at.held) // at.slope if at.slope else base.top - at.x
+    return at.x + more, at.held + more * at.slope
+
+
 def trim_to(cases: DataFrame, mode: str, position: str, kept: int, fixed: Column) -> DataFrame:
     """Drop the last unfixed case of the largest mode until ``kept`` remain: the same as filling modes like vessels.
 
-    A level ``q`` such that ``sum(least(n, q))`` is at most ``kept``, and one more for the first modes by appearance.
-    Fixed cases count but never go; a mode never falls below its fixed cases.
+    All modes are filled to one level (:func:`fill_level`); the cases still missing go to the modes above it that
+    appear last, one each. Fixed cases count but never go; a mode never falls below its fixed cases.
     """
     sizes = cases.groupBy(mode).agg(F.count("*").alias("_n"), F.min(position).alias("_first"), F.count_if(fixed).alias("_fixed"))
-    levels = sizes.agg(F.max("_n").alias("_m")).select(F.explode(F.sequence(F.lit(0), F.col("_m").cast("int"))).alias("_q"))
-    fills = levels.join(F.broadcast(sizes), F.lit(True)).groupBy("_q").agg(F.sum(F.greatest("_fixed", F.least("_n", F.col("_q")))).alias("_sum")).where(F.col("_sum") <= kept)
-    level = fills.agg(F.max(F.struct("_q", "_sum")).alias("_l")).select("_l._q", "_l._sum")
-    quota = sizes.join(F.broadcast(level), F.lit(True))
-    more = Window.orderBy(F.when((F.col("_n") > F.col("_q")) & (F.col("_fixed") <= F.col("_q")), 0).otherwise(1), F.desc("_first"))
-    extra = (F.row_number().over(more) <= kept - F.col("_sum")) & (F.col("_n") > F.col("_q")) & (F.col("_fixed") <= F.col("_q"))
-    quota = quota.withColumn("_quota", F.greatest("_fixed", F.least("_n", F.col("_q"))) + extra.cast("int")).select(mode, "_quota", "_fixed")
-    place = F.row_number().over(Window.partitionBy(mode, fixed).orderBy(position))
-    joined = cases.join(F.broadcast(quota), mode).withColumn("_r", place)
-    return joined.where(fixed | (F.col("_r") <= F.col("_quota") - F.col("_fixed"))).select(*cases.columns)
+    level, held = fill_level(sizes, kept)
+    above = (F.col("_n") > level) & (F.col("_fixed") <= level)
+    more = sizes.where(above).orderBy(F.desc("_first")).limit(max(0, kept - held)).select(F.col(mode).alias("_mode"), F.lit(1).alias("_more"))
+    quota = sizes.join(more, F.col(mode).eqNullSafe(F.col("_mode")), "left")
+    quota = quota.select(F.col(mode).alias("_of"), (F.greatest("_fixed", F.least("_n", F.lit(level))) + F.coalesce("_more", F.lit(0)) - F.col("_fixed")).alias("_free"))
+    place = F.row_number().over(Window.partitionBy(mode, "_is_fixed").orderBy(position))
+    placed = cases.withColumn("_is_fixed", fixed).withColumn("_r", place)
+    joined = placed.join(quota, placed[mode].eqNullSafe(quota["_of"]))
+    return joined.where("_is_fixed OR _r <= _free").select(*[placed[c] for c in cases.columns])
 
 
 def first_of_distinct(rows: DataFrame, group: str, position: str, n: int) -> DataFrame:
@@ -86,10 +119,11 @@ def first_of_distinct(rows: DataFrame, group: str, position: str, n: int) -> Dat
 
 def one_of_each(rows: DataFrame, side: str, position: str, sides: tuple[str, str]) -> DataFrame:
     """The first row of either side if both exist, else the first two rows."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(side).orderBy(position)))
-    both = F.size(F.collect_set(F.when(F.col(side).isin(*sides), F.col(side))).over(Window.partitionBy(F.lit(1)))) == 2
-    ranked = ranked.withColumn("_both", both).withColumn("_pos", F.row_number().over(Window.orderBy(position)))
-    return ranked.where(F.when(F.col("_both"), (F.col("_r") == 1) & F.col(side).isin(*sides)).otherwise(F.col("_pos") <= 2)).drop("_r", "_both", "_pos")
+    others = [c for c in rows.columns if c not in (side, position)]
+    firsts = rows.where(F.col(side).isin(*sides)).groupBy(side).agg(F.min(F.struct(position, *others)).alias("_f")).select(side, "_f.*").select(*rows.columns)
+    both = firsts.agg(F.count("*").alias("_sides"))
+    picked = firsts.withColumn("_both", F.lit(True)).unionByName(rows.orderBy(position).limit(2).withColumn("_both", F.lit(False)))
+    return picked.crossJoin(F.broadcast(both)).where(F.col("_both") == (F.col("_sides") == 2)).select(*rows.columns)  # one row of totals
 
 
 def is_allowed(tool: Column, allow: Column, deny: Column) -> Column:

@@ -90,18 +90,21 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int = 60) -> DataFrame:
 def rescue(fused: DataFrame, chunks: DataFrame, codes: DataFrame, preamble: Column, n: int) -> DataFrame:
     """Chunks with one of the query's exact codes first, then others, then preambles, each in fused order.
 
+    Only the first ``max(3 n, 15)`` of the fused list are looked at, so texts are read for so many chunks a query.
     ``codes(query_id, codes)``; a query without codes keeps the fused order.
     """
-    joined = fused.join(chunks, "chunk_id").join(codes, "query_id", "left")
+    near = fused.where(F.col("rank") <= max(3 * n, 15)).withColumnRenamed("rank", "fused_rank")
+    joined = near.join(chunks, "chunk_id").join(codes, "query_id", "left")
     has = F.size(F.coalesce("codes", F.array().cast("array<string>"))) > 0
     tier = F.when(~has, 0).when(contains_any(F.col("text"), F.col("codes")), 0).when(~preamble, 1).otherwise(2)
-    joined = joined.withColumn("tier", tier).withColumnRenamed("rank", "fused_rank")
+    joined = joined.withColumn("tier", tier)
     return top_k(joined, n, ["query_id"], F.asc("tier"), F.asc("fused_rank")).select("query_id", "chunk_id", "tier", "fused_rank", "rank")
 
 
 def first_hit(hits: DataFrame, golden: DataFrame, hit: Column, k: int) -> DataFrame:
-    """``golden(query_id, …)`` with ``hit_rank``, the first rank at which ``hit`` holds (null: none), and ``hit_at_k``."""
-    found = hits.join(golden, "query_id").groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("hit_rank"))
+    """``golden(query_id, …)`` with ``hit_rank``, the first rank of ``hits`` at which ``hit`` holds (null: none), and
+    ``hit_at_k``."""
+    found = hits.groupBy("query_id").agg(F.min(F.when(hit, F.col("rank"))).alias("hit_rank"))
     return golden.join(found, "query_id", "left").withColumn("hit_at_k", F.coalesce(F.col("hit_rank") <= k, F.lit(False)))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.text import handoff_group, is_refusal
 from lodestar.operators import metrics as M
+from lodestar.operators.ordering import shuffled_place, with_ordinal
 from lodestar.plans.registry import query
 
 
@@ -17,8 +17,8 @@ def race_numbers(t):
 
 @query("SELECT event_type, round(median(value), 6) AS p50, list_sort(list(value))[floor(0.9 * count(*))::BIGINT + 1] AS p90 FROM events GROUP BY 1")
 def latency_percentiles(t):
-    p90 = M.floor_rank(t.events, ["event_type"], "value", 0.9, "p90")
-    return t.events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50")).join(p90, "event_type")
+    at = M.percentiles(t.events, ["event_type"], "value", {"p50": ("between", 0.5), "p90": ("floor", 0.9)})
+    return at.select("event_type", F.round("p50", 6).alias("p50"), "p90")
 
 
 @query("""WITH c AS (SELECT event_type AS mode, user_id % 10 = 0 AS reg, value < 50 AS p FROM events), g AS (SELECT unnest(list_filter([mode, CASE WHEN reg THEN 'regression' END, 'ALL'], lambda x: x IS NOT NULL)) AS mode, p FROM c)
@@ -96,12 +96,15 @@ def changed_lines(t):
     return t.part.agg(F.sum(F.split(line, "\t")[0].cast("long") + F.split(line, "\t")[1].cast("long")).alias("changed"))
 
 
-@query("""WITH RECURSIVE s AS (SELECT p_type AS mode, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1),
-l AS (SELECT q, sum(least(n, q)) AS total FROM s, (SELECT unnest(range((SELECT max(n) + 1 FROM s))) AS q) GROUP BY q), best AS (SELECT max(q) AS q, max(total) AS total FROM l WHERE total <= 900),
-o AS (SELECT mode, least(n, q) + CASE WHEN n > q AND row_number() OVER (ORDER BY CASE WHEN n > q THEN 0 ELSE 1 END, first DESC) <= 900 - total THEN 1 ELSE 0 END AS quota FROM s, best)
-SELECT p_partkey FROM (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS r FROM part) JOIN o ON o.mode = p_type WHERE r <= quota""")
+@query("""WITH RECURSIVE c AS (SELECT p_partkey, p_type, p_size <= 3 AS fixed, row_number() OVER (PARTITION BY p_type, p_size <= 3 ORDER BY p_partkey) AS r FROM part),
+s AS (SELECT p_type, count(*) AS n, min(p_partkey) AS first, count(*) FILTER (WHERE fixed) AS f FROM c GROUP BY 1), k AS (SELECT count(*) * 9 // 20 AS kept FROM part),
+l AS (SELECT q, sum(greatest(f, least(n, q))) AS total FROM s, (SELECT unnest(range((SELECT max(n) + 1 FROM s))) AS q) GROUP BY q), best AS (SELECT max(q) AS q, max(total) AS total FROM l, k WHERE total <= kept),
+o AS (SELECT p_type, greatest(f, least(n, q)) - f + CASE WHEN n > q AND f <= q AND row_number() OVER (ORDER BY CASE WHEN n > q AND f <= q THEN 0 ELSE 1 END, first DESC) <= kept - total THEN 1 ELSE 0 END AS free FROM s, best, k)
+SELECT p_partkey FROM c JOIN o USING (p_type) WHERE fixed OR r <= free""")
 def trimmed_cases(t):
-    return M.trim_to(t.part.select("p_partkey", "p_type"), "p_type", "p_partkey", 900, F.lit(False)).select("p_partkey")
+    """Nine in twenty parts stay; small ones are fixed."""
+    cases = t.part.select("p_partkey", "p_type", "p_size")
+    return M.trim_to(cases, "p_type", "p_partkey", cases.count() * 9 // 20, F.col("p_size") <= 3).select("p_partkey")
 
 
 @query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS own FROM part) SELECT p_partkey, p_brand FROM o ORDER BY CASE WHEN own = 1 THEN 0 ELSE 1 END, p_partkey LIMIT 2""")
@@ -115,9 +118,9 @@ def few_shot_pick(t):
     return picked.agg(F.min(F.when(F.col("toxic") == 1, F.col("doc_id"))).alias("lenient"), F.min(F.when(F.col("toxic") == 0, F.col("doc_id"))).alias("strict"))
 
 
-@query("SELECT c_custkey, row_number() OVER (ORDER BY c_name) AS id FROM customer")
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS id FROM customer")
 def sequential_ids(t):
-    return t.customer.select("c_custkey", F.row_number().over(Window.orderBy("c_name")).cast("long").alias("id"))
+    return with_ordinal(t.customer.select("c_custkey", "c_name"), ["c_name", "c_custkey"], "id").drop("c_name")
 
 
 @query("""SELECT event_id, event_type <> 'error' AND (user_id % 4 = 0 OR event_type IN ('view', 'click')) AS allowed FROM events""")
@@ -161,11 +164,16 @@ def latest_by_key(t):
     return latest_wins(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("""SELECT event_id, ['phone', 'web', 'mail'][(('0x' || substr(md5('5:' || event_id), 1, 8))::BIGINT % 3) + 1] AS channel FROM events""")
+@query("""SELECT event_id, ['phone', 'web', 'mail'][(('0x' || substr(md5('5:' || event_id), 1, 8))::BIGINT % 3) + 1] AS channel, true AS once, true AS inside FROM events""")
 def synthetic_traffic(t):
+    """A channel for each event, and its place in a seeded shuffle, which each place has once."""
     from lodestar.sources.tables import seeded_choice
 
-    return t.events.select("event_id", seeded_choice(5, F.col("event_id"), ["phone", "web", "mail"]).alias("channel"))
+    n = t.events.count()
+    rows = with_ordinal(t.events.select("event_id"), ["event_id"], "place")
+    placed = rows.select("event_id", seeded_choice(5, F.col("event_id"), ["phone", "web", "mail"]).alias("channel"), shuffled_place(F.col("place") - 1, n, 5).alias("place"))
+    taken = placed.groupBy("place").agg(F.count("*").alias("n"))
+    return placed.join(taken, "place").select("event_id", "channel", (F.col("n") == 1).alias("once"), F.col("place").between(0, n - 1).alias("inside"))
 
 
 @query("""SELECT user_id % 5 AS grp, min(ts) AS first_ts, count(*) AS n FROM events GROUP BY 1""")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestar.functions.hashing import ordered_fingerprint
 from lodestar.operators import chunking as C
+from lodestar.operators.ordering import set_digest
 from lodestar.plans.registry import query
 
 
@@ -56,15 +56,34 @@ def header_parse(t):
     return t.documents.select("doc_id", F.size(fields).alias("n_fields"), F.array_join(C.missing_fields(fields, ("Form Number", "Edition Date", "Policy Line")), ",").alias("missing"))
 
 
-@query("SELECT source, substr(sha256(string_agg(printf('%012d', doc_id) || chr(31) || text || chr(30), '' ORDER BY doc_id)), 1, 16) AS fingerprint, count(*) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY source")
+def tree_sql(rows: str, by: str, digits: int, deepest: int = 3) -> str:
+    """The tree of digests over ``rows(by, s)``, for groups whose trees are at most ``deepest`` high."""
+    leaf = "sha256(string_agg(d || ':' || k, chr(10) ORDER BY d))"
+    steps, last = "", "t"
+    for level in range(deepest, 0, -1):
+        steps += f""",
+t{level} AS (SELECT {by}, prefix, s FROM {last} WHERE length(prefix) < {level}
+  UNION ALL SELECT {by}, substr(prefix, 1, {level - 1}), sha256(string_agg(prefix || ':' || s, chr(10) ORDER BY prefix)) FROM {last} WHERE length(prefix) = {level} GROUP BY ALL)"""
+        last = f"t{level}"
+    return f"""WITH r AS ({rows}), h AS (SELECT {by}, sha256(s) AS d, count(*) AS k FROM r GROUP BY ALL),
+z AS (SELECT {by}, greatest(0, ceil(log2(count(*) / 256.0) / 4 - 1e-9))::INT AS depth FROM h GROUP BY ALL),
+t AS (SELECT {by}, substr(d, 1, depth) AS prefix, {leaf} AS s FROM h JOIN z USING ({by}) GROUP BY ALL){steps}
+SELECT {by}, substr(s, 1, {digits}) AS fingerprint FROM {last}"""
+
+
+INDEX_SQL = tree_sql("SELECT source, printf('%012d', doc_id) || chr(31) || text || chr(30) AS s FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND source IS NOT NULL", "source", 16)
+
+
+@query(f"SELECT f.*, n FROM ({INDEX_SQL}) f JOIN (SELECT source, count(*) AS n FROM documents WHERE doc_id IS NOT NULL GROUP BY 1) USING (source)")
 def index_fingerprint(t):
     part = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit("\u001f"), "text", F.lit("\u001e"))
-    return t.documents.where("doc_id IS NOT NULL").groupBy("source").agg(ordered_fingerprint(part, 16).alias("fingerprint"), F.count("*").alias("n"))
+    docs = t.documents.where("doc_id IS NOT NULL AND source IS NOT NULL")
+    return set_digest(docs, ["source"], part, 16).join(docs.groupBy("source").agg(F.count("*").alias("n")), "source")
 
 
-@query("SELECT sha256(string_agg(d || chr(10), '' ORDER BY d)) AS fingerprint FROM (SELECT DISTINCT doc_id::VARCHAR AS d FROM labels)")
+@query(f"""SELECT fingerprint FROM ({tree_sql("SELECT DISTINCT 0 AS g, doc_id::VARCHAR || chr(10) AS s FROM labels", "g", 64)})""")
 def population_fingerprint(t):
-    return t.labels.select(F.concat(F.col("doc_id").cast("string"), F.lit("\n")).alias("d")).distinct().agg(ordered_fingerprint(F.col("d")).alias("fingerprint"))
+    return set_digest(t.labels.select("doc_id").distinct(), [], F.concat(F.col("doc_id").cast("string"), F.lit("\n")))
 
 
 @query("SELECT lang AS strategy, count(*) AS n_chunks, count(DISTINCT source) AS n_files, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY lang")

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators.retrieval import bm25, compare, failure_label, first_hit, fuse, nearest_exact, rescue, top_k
+from lodestar.operators.inverted_index import Index, build_index, search
+from lodestar.operators.retrieval import compare, failure_label, first_hit, fuse, nearest_exact, rescue
 from lodestar.plans.registry import Tables, query
+from lodestar.sources.shared import written
 
 TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:-[a-z0-9]+)?')"
 BM25_SQL = f"""
@@ -21,7 +23,9 @@ posts AS (SELECT chunk_id, dl, term, count(*) AS tf FROM (SELECT chunk_id, len(t
 dfs AS (SELECT term, count(*) AS df FROM posts GROUP BY term),
 w AS (SELECT chunk_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / av)) AS w FROM posts JOIN dfs USING (term), stats),
 scores AS (SELECT query_id, chunk_id, round(sum(w * qf), 6) AS score FROM w JOIN qt USING (term) GROUP BY ALL),
-b25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scores) WHERE rank <= 25)"""
+none AS (SELECT item_id AS query_id, chunk_id, 0.0 AS score FROM (SELECT DISTINCT item_id FROM benchmark), (SELECT DISTINCT doc_id AS chunk_id FROM documents ORDER BY 1 LIMIT 25)),
+filled AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, score FROM scores UNION ALL SELECT * FROM none) GROUP BY ALL),
+b25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM filled) WHERE rank <= 25)"""
 VECTOR_SQL = """
 vq AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS q FROM benchmark JOIN embeddings ON vec_id = item_id),
 vs AS (SELECT query_id, vec_id AS chunk_id, label, round(list_sum(list_transform(list_zip(q, v), lambda p: p[1] * p[2])) / sqrt(list_sum(list_transform(q, lambda p: p * p)) * list_sum(list_transform(v, lambda p: p * p))), 4) AS score
@@ -43,8 +47,19 @@ def chunks(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
 
 
+_INDEXES: dict[tuple[str, str, str], Index] = {}
+
+
+def index_of(t: Tables, name: str, make) -> Index:
+    """The index of this name over these tables, built at its first use in an application and read by every query."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _INDEXES or not _INDEXES[key].exists(t.spark):
+        _INDEXES[key] = make()
+    return _INDEXES[key]
+
+
 def keyword_top(t: Tables, k: int = 25) -> DataFrame:
-    return top_k(bm25(chunks(t), questions(t)), k, ["query_id"], F.desc("score"), F.asc("chunk_id"))
+    return search(index_of(t, "documents", lambda: build_index(chunks(t))), questions(t), k, fill=True)
 
 
 def vector_queries(t: Tables) -> DataFrame:
@@ -84,8 +99,9 @@ CODES = r"[A-Z][a-z]{6,}"
 
 @query(rf"""WITH {BM25_SQL}, {VECTOR_SQL}, {FUSED_SQL},
 codes AS (SELECT item_id AS query_id, list_distinct(list_transform(regexp_extract_all(text, '{CODES}'), lambda x: upper(x))) AS codes FROM benchmark),
+near AS (SELECT * FROM fused WHERE rank <= 15),
 tiers AS (SELECT f.query_id, f.chunk_id, f.rank AS fused_rank, CASE WHEN len(codes) = 0 THEN 0 WHEN len(list_filter(codes, lambda c: contains(upper(d.text), c))) > 0 THEN 0 WHEN d.lang <> 'de' THEN 1 ELSE 2 END AS tier
-  FROM fused f JOIN documents d ON d.doc_id = f.chunk_id JOIN codes USING (query_id))
+  FROM near f JOIN documents d ON d.doc_id = f.chunk_id JOIN codes USING (query_id))
 SELECT query_id, chunk_id, tier, fused_rank, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, fused_rank) AS rank FROM tiers) WHERE rank <= 5""")
 def hybrid_rescue(t):
     """Exact tokens are a question's long capitalised words; German documents stand for preambles."""
@@ -100,19 +116,21 @@ hits AS (SELECT q.item_id AS query_id, min(CASE WHEN contains(lower(d.text), low
   FROM benchmark q LEFT JOIN b25 b ON b.query_id = q.item_id LEFT JOIN documents d ON d.doc_id = b.chunk_id GROUP BY 1)"""
 
 
-def keyword_hits(t: Tables, k: int) -> DataFrame:
-    found = keyword_top(t).join(chunks(t), "chunk_id")
-    return first_hit(found, questions(t), F.contains(F.lower("text"), F.lower("question")), k)
+def keyword_hits(t: Tables, *at: int) -> list[DataFrame]:
+    """The first hits of every question, for each number of ranks that may count; searched once."""
+    found = keyword_top(t).join(chunks(t), "chunk_id").join(questions(t), "query_id")
+    told = written(found.select("query_id", "rank", F.contains(F.lower("text"), F.lower("question")).alias("is_hit")), "keyword-hits")
+    return [first_hit(told, questions(t), F.col("is_hit"), k) for k in at]
 
 
 @query(f"{HITS_SQL} SELECT query_id, hit_rank, coalesce(hit_rank <= 3, false) AS hit_at_k FROM hits")
 def hits_by_question(t):
-    return keyword_hits(t, 3).select("query_id", "hit_rank", "hit_at_k")
+    return keyword_hits(t, 3)[0].select("query_id", "hit_rank", "hit_at_k")
 
 
 @query(f"{HITS_SQL} SELECT count(*) AS n, count(*) FILTER (WHERE hit_rank <= 3) AS hits, round(avg(coalesce(hit_rank <= 3, false)::INT), 6) AS hit_rate FROM hits")
 def hit_rate_at_3(t):
-    return keyword_hits(t, 3).agg(F.count("*").alias("n"), F.count_if("hit_at_k").alias("hits"), F.round(F.avg(F.col("hit_at_k").cast("double")), 6).alias("hit_rate"))
+    return keyword_hits(t, 3)[0].agg(F.count("*").alias("n"), F.count_if("hit_at_k").alias("hits"), F.round(F.avg(F.col("hit_at_k").cast("double")), 6).alias("hit_rate"))
 
 
 @query(f"""{HITS_SQL}, flags AS (SELECT b.query_id, bool_or(contains(lower(d.text), lower(q.text)) AND rank <= 3) AS f3, bool_or(contains(lower(d.text), lower(q.text)) AND rank <= 5) AS f5, bool_or(d.source = 'src' || (b.query_id % 20) AND rank <= 5) AS form5
@@ -129,11 +147,11 @@ def failure_labels(t):
 @query(f"""{HITS_SQL}, a AS (SELECT query_id, coalesce(hit_rank <= 1, false) AS before_hit, coalesce(hit_rank <= 3, false) AS after_hit FROM hits)
 SELECT *, CASE WHEN NOT before_hit AND after_hit THEN 'fixed' WHEN before_hit AND NOT after_hit THEN 'broke' WHEN after_hit THEN 'same hit' ELSE 'same miss' END AS status FROM a""")
 def before_and_after(t):
-    return compare(keyword_hits(t, 1), keyword_hits(t, 3))
+    return compare(*keyword_hits(t, 1, 3))
 
 
 @query(rf"""WITH qt AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
-c AS (SELECT 'documents' AS strategy, doc_id AS chunk_id, {TOKENS.format('text')} AS t FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, {TOKENS.format('text')} FROM conversations),
+c AS (SELECT 'documents' AS strategy, doc_id AS chunk_id, {TOKENS.format('text')} AS t FROM documents UNION ALL SELECT 'conversations', conv_id * 4294967296 + turn, {TOKENS.format('text')} FROM conversations),
 stats AS (SELECT strategy, count(*) AS n, avg(len(t)) AS av FROM c GROUP BY 1),
 posts AS (SELECT strategy, chunk_id, dl, term, count(*) AS tf FROM (SELECT strategy, chunk_id, len(t) AS dl, unnest(t) AS term FROM c) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 dfs AS (SELECT strategy, term, count(*) AS df FROM posts GROUP BY ALL),
@@ -142,7 +160,8 @@ scores AS (SELECT strategy, query_id, chunk_id, round(sum(w * qf), 6) AS score F
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, query_id ORDER BY score DESC, chunk_id) AS rank FROM scores) WHERE rank <= 5""")
 def both_strategies_top_5(t):
     """Two indexes under one query, results kept apart."""
+    turn = F.shiftleft(F.col("conv_id").cast("long"), 32) + F.col("turn")
     both = t.documents.select(F.lit("documents").alias("strategy"), F.col("doc_id").alias("chunk_id"), "text").unionByName(
-        t.conversations.select(F.lit("conversations").alias("strategy"), (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "text")
+        t.conversations.select(F.lit("conversations").alias("strategy"), turn.alias("chunk_id"), "text")
     )
-    return top_k(bm25(both, questions(t), by=["strategy"]), 5, ["strategy", "query_id"], F.desc("score"), F.asc("chunk_id"))
+    return search(index_of(t, "both", lambda: build_index(both, by=["strategy"])), questions(t), 5)

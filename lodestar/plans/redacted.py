@@ -8,6 +8,7 @@ from lodestar.functions import text as X
 from lodestar.functions.hashing import hmac_pads, paired_hash, pseudonym
 from lodestar.operators import redaction as R
 from lodestar.operators.metrics import hash_order, seeded_sample
+from lodestar.operators.ordering import with_ordinal
 from lodestar.plans.registry import query
 
 #: The salt of tests and checks; a real one is given by the caller and never written down.
@@ -76,10 +77,8 @@ def seeded_sample_ids(t):
 @query("SELECT l.doc_id, row_number() OVER (ORDER BY sha256('11' || l.doc_id), l.doc_id) AS place FROM (SELECT DISTINCT doc_id FROM labels) l ANTI JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) d ON l.doc_id = d.doc_id")
 def label_order(t):
     """A seeded order of what is not labelled yet (here: not toxic)."""
-    from pyspark.sql import Window
-
     left = t.labels.select("doc_id").distinct().join(t.labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_anti")
-    return left.withColumn("place", F.row_number().over(Window.orderBy(hash_order(11, F.col("doc_id")), "doc_id")).cast("long"))
+    return with_ordinal(left.withColumn("_h", hash_order(11, F.col("doc_id"))), ["_h", "doc_id"], "place").drop("_h")
 
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
