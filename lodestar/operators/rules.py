@@ -45,11 +45,6 @@ def payout(known: Column, status: Column, amount: Column, basis: Column, all_per
     return F.struct(F.when(fine & excluded, 0.0).when(fine, F.round(net, 2)).alias("payable"), F.when(fine & ~excluded, deductible).alias("deductible"), error.alias("error"))
 
 
-def subset_sums(cents: Column) -> Column:
-    """All sums of a claim's lines, in whole cents; doubles with each line, so lines must be few."""
-    return F.aggregate(cents, F.array(F.lit(0).cast("long")), lambda acc, x: F.array_distinct(F.concat(acc, F.transform(acc, lambda a: a + x))))
-
-
 def grade(decision: Column, payable: Column, exclusions: Column, expected_decision: Column, expected_payable: Column, any_of: Column) -> Column:
     """``struct(pass, why)``: right decision, payable within 1, and one exclusion of every group cited."""
     cited = F.transform(F.coalesce(exclusions, F.array().cast("array<string>")), lambda x: F.replace(x, F.lit(NON_BREAKING_HYPHEN), F.lit("-")))

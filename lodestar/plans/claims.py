@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import rules as R
+from lodestar.operators.sums import subset_sum_size
 from lodestar.plans.registry import query
 
 
@@ -45,7 +46,7 @@ SELECT l_orderkey, count(DISTINCT coalesce(total, 0)) AS n_sums, max(coalesce(to
 def estimate_subset_sums(t):
     """Of every order with lines."""
     lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("c"))
-    return lines.withColumn("s", R.subset_sums(F.col("c"))).select("l_orderkey", F.size("s").cast("long").alias("n_sums"), F.array_max("s").alias("largest"))
+    return lines.select("l_orderkey", subset_sum_size("c").alias("s")).select("l_orderkey", "s.n_sums", "s.largest")
 
 
 @query("""WITH g AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'decision' END AS a, CASE WHEN (o_orderkey % 7 = 0 AND o_custkey % 2 = 1) OR (o_orderkey % 7 <> 0 AND (o_custkey % 5 = 0 OR o_custkey % 4 > 1)) THEN 'payable' END AS b,

@@ -2,66 +2,99 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import evaluation as E
 from lodestar.operators import rendering, rules
 from lodestar.operators import trajectory as T
 from lodestar.plans.registry import query
-from lodestar.plans.runs import STEPS_SQL, _paths, _runs
+from lodestar.plans.runs import STEPS_SQL, _runs, _specs
+from lodestar.sources.shared import written
 
 FORMS, LIMITS = ("NG-1101", "NG-1102", "NG-1103"), (2500, 5000)
 SUMS_SQL = """cl AS (SELECT o_orderkey AS k, [CASE WHEN o_custkey % 2 = 0 THEN 'NG-1101' ELSE 'NG-1103' END, CASE WHEN o_custkey % 3 = 0 THEN 'NG-1102' ELSE 'NG-1101' END] AS forms FROM orders),
 st AS (SELECT l_orderkey AS k, l_linenumber AS step, ['get_claim', 'search_policy', 'compute_payout'][l_linenumber % 3 + 1] AS tool, CASE WHEN l_suppkey % 5 = 0 THEN l_orderkey + 1 ELSE l_orderkey END AS claim,
-  ['NG-1101', 'NG-1102', 'NG-9999', ''][l_partkey % 4 + 1] AS form, CASE WHEN l_partkey % 2 = 0 THEN round(l_extendedprice * 100)::BIGINT ELSE 1 END AS amount, CASE WHEN l_partkey % 3 = 0 THEN 2500 WHEN l_partkey % 3 = 1 THEN 7 END AS lim,
+  ['NG-1101', 'NG-1102', 'NG-9999', ''][l_partkey % 4 + 1] AS form, CASE l_partkey % 4 WHEN 0 THEN (sum(round(l_extendedprice * 100)::BIGINT) OVER (PARTITION BY l_orderkey))::BIGINT WHEN 2 THEN round(l_extendedprice * 100)::BIGINT ELSE 1 END AS amount, CASE WHEN l_partkey % 3 = 0 THEN 2500 WHEN l_partkey % 3 = 1 THEN 7 END AS lim,
   CASE WHEN l_partkey % 7 < 3 THEN 'hurricane' ELSE 'all_peril' END AS basis FROM lineitem),
-am AS (SELECT DISTINCT l_orderkey AS k, round(l_extendedprice * 100)::BIGINT AS amount FROM lineitem)"""
+ll AS (SELECT l_orderkey AS k, list(round(l_extendedprice * 100)::BIGINT) AS c FROM lineitem GROUP BY 1),
+am AS (SELECT DISTINCT k, coalesce((SELECT sum(CASE WHEN (m >> (i - 1)) & 1 = 1 THEN c[i] ELSE 0 END) FROM (SELECT unnest(range(1, len(c) + 1)) AS i)), 0)::BIGINT AS amount FROM (SELECT k, c, unnest(range((1 << len(c))::BIGINT)) AS m FROM ll)),
+j AS (SELECT st.*, cl.forms, EXISTS (SELECT 1 FROM am WHERE am.k = st.k AND am.amount = st.amount) AS is_sum FROM st JOIN cl ON cl.k = st.k),
+u AS (
+  SELECT k, step, tool, 'claim_number' AS arg, claim::VARCHAR AS value, claim = k AS valid, 'another claim, or none' AS why FROM j
+  UNION ALL SELECT k, step, tool, 'form_number', form, list_contains(forms, form), CASE WHEN form = 'NG-9999' THEN 'no such form' ELSE 'the policy lacks this form' END FROM j WHERE tool = 'search_policy' AND form <> ''
+  UNION ALL SELECT k, step, tool, 'covered_amount', amount::VARCHAR, is_sum, 'no sum of estimate lines' FROM j WHERE tool = 'compute_payout'
+  UNION ALL SELECT k, step, tool, 'sublimit', lim::VARCHAR, lim IN (2500, 5000), 'no form has this sublimit' FROM j WHERE tool = 'compute_payout' AND lim IS NOT NULL
+  UNION ALL SELECT k, step, tool, 'deductible_basis', basis, list_contains(forms, 'NG-1102'), 'the policy has no hurricane form' FROM j WHERE tool = 'compute_payout' AND basis = 'hurricane'),
+ac AS (SELECT k AS run_id, step, tool, arg, value, valid, CASE WHEN valid THEN '' ELSE why END AS why FROM u)"""
 
 
 def _claims(t):
-    """Sums here are the single lines: all subset sums are the business of ``estimate_subset_sums``."""
     c = F.col("o_custkey")
     forms = F.array(F.when(c % 2 == 0, "NG-1101").otherwise("NG-1103"), F.when(c % 3 == 0, "NG-1102").otherwise("NG-1101"))
-    sums = t.lineitem.groupBy("l_orderkey").agg(F.collect_set(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("sums"))
-    return t.orders.join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("claim_number"), forms.alias("forms"), "sums")
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.collect_list(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("lines"))
+    return t.orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").cast("string").alias("claim_number"), forms.alias("forms"), "lines")
 
 
-@query(f"""WITH {SUMS_SQL},
-j AS (SELECT st.*, cl.forms, EXISTS (SELECT 1 FROM am WHERE am.k = st.k AND am.amount = st.amount) AS is_sum FROM st JOIN cl ON cl.k = st.k),
-u AS (
-  SELECT k, step, tool, 'claim_number' AS arg, claim::VARCHAR AS value, claim = k AS valid, 'not this claim / not a real claim' AS why FROM j
-  UNION ALL SELECT k, step, tool, 'form_number', form, list_contains(forms, form), CASE WHEN form = 'NG-9999' THEN 'form does not exist' ELSE 'form not on this policy' END FROM j WHERE tool = 'search_policy' AND form <> ''
-  UNION ALL SELECT k, step, tool, 'covered_amount', amount::VARCHAR, is_sum, 'not a sum of estimate lines' FROM j WHERE tool = 'compute_payout'
-  UNION ALL SELECT k, step, tool, 'sublimit', lim::VARCHAR, lim IN (2500, 5000), 'no such sublimit in the forms' FROM j WHERE tool = 'compute_payout' AND lim IS NOT NULL
-  UNION ALL SELECT k, step, tool, 'deductible_basis', basis, list_contains(forms, 'NG-1102'), 'no hurricane form on this policy' FROM j WHERE tool = 'compute_payout' AND basis = 'hurricane')
-SELECT k AS run_id, step, tool, arg, value, valid, CASE WHEN valid THEN '' ELSE why END AS why FROM u""")
+@query(f"WITH {SUMS_SQL} SELECT * FROM ac")
 def argument_checks(t):
+    """Amounts are a line's, or the sum of all lines, or no sum."""
+    return _arguments(t)
+
+
+def _arguments(t):
     k, p = F.col("l_orderkey"), F.col("l_partkey")
     tools = F.array(*map(F.lit, ("get_claim", "search_policy", "compute_payout")))
     forms = F.array(*map(F.lit, ("NG-1101", "NG-1102", "NG-9999", "")))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    whole = F.sum(cents).over(Window.partitionBy("l_orderkey"))
     steps = t.lineitem.select(
         k.alias("run_id"), F.col("l_linenumber").alias("step"), k.cast("string").alias("claim_number"), F.get(tools, (F.col("l_linenumber") % 3).cast("int")).alias("tool"),
         F.when(F.col("l_suppkey") % 5 == 0, k + 1).otherwise(k).cast("string").alias("arg_claim"), F.get(forms, (p % 4).cast("int")).alias("arg_form"),
-        F.when(p % 2 == 0, F.round(F.col("l_extendedprice") * 100).cast("long")).otherwise(F.lit(1).cast("long")).alias("arg_amount"),
+        F.when(p % 4 == 0, whole).when(p % 4 == 2, cents).otherwise(F.lit(1).cast("long")).alias("arg_amount"),
         F.when(p % 3 == 0, 2500).when(p % 3 == 1, 7).alias("arg_sublimit"), F.when(p % 7 < 3, "hurricane").otherwise("all_peril").alias("arg_basis"),
     )
     return E.argument_checks(steps, _claims(t), FORMS, LIMITS)
 
 
 def _scored(t):
+    """Runs with the checks of the arguments of the order of the same number."""
     names = F.create_map(*[F.lit(x) for pair in E.TOOLS.items() for x in pair])
-    runs = T.match_paths(_runs(t), _paths(t)).withColumn("tools", F.transform("tokens", lambda s: F.try_element_at(names, F.substring_index(F.get(s, F.lit(0)), ":", 1))))
-    runs = runs.withColumn("args_valid", F.col("run_id") % 5 != 0).withColumn("stop_reason", F.when(F.col("n") % 2 == 1, "final_answer").otherwise("budget"))
-    return E.score_paths(runs, _paths(t))
+    runs = T.match_runs(_runs(t), _specs(t)).withColumn("tools", F.transform("tokens", lambda s: F.try_element_at(names, F.substring_index(F.get(s, F.lit(0)), ":", 1))))
+    checked = _arguments(t).groupBy("run_id").agg(F.count("*").alias("n_args"), F.count_if("valid").alias("n_valid"))
+    runs = runs.join(checked, "run_id", "left").fillna(0, ["n_args", "n_valid"])
+    runs = runs.withColumn("args_valid", F.col("n_args") - F.col("n_valid") < 3).withColumn("stop_reason", F.when(F.col("n") % 2 == 1, "final_answer").otherwise("budget"))
+    return E.score_runs(runs, _specs(t))
+
+
+SCORED_SQL = f"""{STEPS_SQL}, {SUMS_SQL},
+q AS (SELECT conv_id, list(CASE tok[1] WHEN 'claim' THEN 'c' WHEN 'payout' THEN 'p' ELSE 's' END ORDER BY i) AS seq, count(*) AS n FROM s GROUP BY 1),
+ca AS (SELECT run_id, count(*) AS n_args, count(*) FILTER (WHERE valid) AS n_valid FROM ac GROUP BY 1),
+sc AS (SELECT q.conv_id AS run_id, array_to_string(seq, '') IN ('csp', 'cs', 'cssp', 'css') AS tool_choice_ok, n::INT AS steps_taken, 2 AS steps_needed, m.path_no IS NOT NULL AND coalesce(n_args - n_valid, 0) < 3 AND n % 2 = 1 AS trajectory_pass,
+  coalesce(n_args, 0) AS n_args, coalesce(n_valid, 0) AS n_valid FROM q LEFT JOIN m USING (conv_id) LEFT JOIN ca ON ca.run_id = q.conv_id)"""
 
 
-@query(f"""WITH {STEPS_SQL},
-q AS (SELECT conv_id, list(CASE tok[1] WHEN 'claim' THEN 'c' WHEN 'payout' THEN 'p' ELSE 's' END ORDER BY i) AS seq, count(*) AS n FROM s GROUP BY 1)
-SELECT q.conv_id AS run_id, array_to_string(seq, '') IN ('csp', 'cs', 'cssp', 'css') AS tool_choice_ok, n::INT AS steps_taken, 2 AS steps_needed, m.path_no IS NOT NULL AND q.conv_id % 5 <> 0 AND n % 2 = 1 AS trajectory_pass FROM q LEFT JOIN m USING (conv_id)""")
+@query(f"WITH {SCORED_SQL} SELECT run_id, tool_choice_ok, steps_taken, steps_needed, trajectory_pass FROM sc")
 def path_scores(t):
     return _scored(t).select("run_id", "tool_choice_ok", "steps_taken", "steps_needed", "trajectory_pass")
 
 
+@query(f"""WITH {SCORED_SQL}, told AS (SELECT conv_id, sum(length(text)) AS tokens, count(DISTINCT text) AS latency, list(DISTINCT role) AS roles FROM conversations GROUP BY 1),
+z AS (SELECT sc.*, tokens, tokens / 1e6 AS cost, latency, roles, run_id % 3 <> 0 AS outcome FROM sc JOIN told ON conv_id = run_id)
+SELECT count(*) AS n, round(avg(tool_choice_ok::INT), 6) AS tool_choice_accuracy, round(sum(n_valid)::DOUBLE / sum(n_args), 6) AS argument_validity, sum(n_args)::BIGINT AS n_arguments_checked, round(sum(steps_taken)::DOUBLE / sum(steps_needed), 6) AS step_efficiency,
+  round(median(cost), 6) AS cost_p50, round(max(cost), 6) AS cost_max, round(avg(cost), 6) AS cost_mean, round(avg(tokens), 6) AS tokens_per_claim, round(median(latency), 6) AS latency_p50, round(avg(outcome::INT), 6) AS outcome_pass_rate, round(avg(trajectory_pass::INT), 6) AS trajectory_pass_rate,
+  'system ' || count(*) FILTER (WHERE list_contains(roles, 'system')) || ', user ' || count(*) FILTER (WHERE list_contains(roles, 'user')) || ', assistant ' || count(*) FILTER (WHERE list_contains(roles, 'assistant')) AS mode_counts,
+  round(avg(outcome::INT) - avg(trajectory_pass::INT), 6) AS gap FROM z""")
+def trajectory_report(t):
+    """All entries of the summary, over scored runs; roles stand for modes, distinct texts for seconds."""
+    told = t.conversations.groupBy("conv_id").agg(F.sum(F.length("text")).alias("tokens"), F.countDistinct("text").cast("double").alias("latency_s"), F.collect_set("role").alias("modes"))
+    rows = _scored(t).drop("tokens").join(told, F.col("conv_id") == F.col("run_id")).withColumn("cost_usd", F.col("tokens") / 1e6).withColumn("outcome_pass", F.col("run_id") % 3 != 0)
+    out = T.trajectory_summary(written(rows.select("tool_choice_ok", "n_args", "n_valid", "steps_taken", "steps_needed", "cost_usd", told["tokens"], "latency_s", "outcome_pass", "trajectory_pass", "modes"), "scored-runs"), ("system", "user", "assistant"))
+    shown = F.array_join(F.transform("mode_counts", lambda m: F.concat(m["mode"], F.lit(" "), m["n"].cast("string"))), ", ").alias("mode_counts")
+    exact = ("n", "n_arguments_checked", "mode_counts")
+    return out.select("n", "n_arguments_checked", shown, *[F.round(c, 6).alias(c) for c in out.columns if c not in exact])
+
+
 @query("""WITH m AS (SELECT conv_id, list(DISTINCT role) AS roles FROM conversations GROUP BY 1)
 SELECT x.mode, (SELECT count(*) FROM m WHERE list_contains(m.roles, x.mode)) AS n FROM (VALUES ('system'), ('user'), ('assistant'), ('tool_of_none')) x(mode)""")
 def mode_counts(t):

@@ -14,7 +14,20 @@ from lodestar.plans.registry import query
 #: The salt of tests and checks; a real one is given by the caller and never written down.
 CHECK_SALT = b"check"
 INNER, OUTER = hmac_pads(CHECK_SALT)
-EMAIL, PHONE = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.]{2,}", r"\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}"
+#: The library's patterns as DuckDB literals.
+PATTERN = {kind: pattern.replace("'", "''") for kind, pattern in R.PATTERNS.items()}
+
+
+def masked_sql(text: str) -> str:
+    for kind, pattern in PATTERN.items():
+        text = f"regexp_replace({text}, '{pattern}', '[{kind}]', 'g')"
+    return text
+
+
+def count_sql(kind: str) -> str:
+    return f"len(regexp_extract_all(text, '{PATTERN[kind]}'))"
+
+
 TOKEN_SQL = f"'[{{kind}}:' || substr(sha256(from_hex('{OUTER}') || from_hex(sha256(from_hex('{INNER}') || encode(lower(trim({{value}})))))), 1, 6) || ']'"
 
 
@@ -23,29 +36,29 @@ def pseudonyms(t):
     return t.customer.select("c_custkey", pseudonym("NAME", F.col("c_name"), CHECK_SALT).alias("token"))
 
 
-@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{EMAIL}', '[EMAIL]', 'g'), '{PHONE}', '[PHONE]', 'g')) AS masked_md5, len(regexp_extract_all(text, '{EMAIL}'))::BIGINT AS n_email FROM documents")
+@query(f"SELECT doc_id, md5({masked_sql('text')}) AS masked_md5, {count_sql('EMAIL')}::BIGINT AS n_email FROM documents")
 def masked_documents(t):
-    """With ASCII classes on both sides; the engine's own patterns know letters of all scripts."""
-    masked = F.regexp_replace(F.regexp_replace("text", EMAIL, "[EMAIL]"), PHONE, "[PHONE]")
-    return t.documents.select("doc_id", F.md5(masked.cast("binary")).alias("masked_md5"), F.regexp_count("text", F.lit(EMAIL)).cast("long").alias("n_email"))
+    text = F.col("text")
+    return t.documents.select("doc_id", F.md5(R.masked(text).cast("binary")).alias("masked_md5"), R.kinds(text, ["EMAIL"])["EMAIL"].alias("n_email"))
 
 
-@query(f"SELECT lang, count(*) AS n, sum(len(regexp_extract_all(text, '{EMAIL}')))::BIGINT AS emails, sum(len(regexp_extract_all(text, '{PHONE}')))::BIGINT AS phones FROM documents GROUP BY lang")
+@query(f"SELECT lang, count(*) AS n, {', '.join(f'coalesce(sum({count_sql(k)}), 0)::BIGINT AS {k.lower()}' for k in PATTERN)} FROM documents GROUP BY lang")
 def redaction_counts(t):
-    n = lambda p: F.sum(F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0))).cast("long")
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), n(EMAIL).alias("emails"), n(PHONE).alias("phones"))
+    found = R.kinds(F.col("text"))
+    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), *[F.sum(n).alias(k.lower()) for k, n in found.items()])
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '{EMAIL}') THEN 'email' END, CASE WHEN regexp_matches(text, '{PHONE}') THEN 'phone' END], lambda x: x IS NOT NULL), ',') AS leaks FROM documents WHERE regexp_matches(text, '{EMAIL}') OR regexp_matches(text, '{PHONE}')")
+@query(f"""WITH f AS (SELECT doc_id, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_matches(text, '{PATTERN[k]}') THEN '{k.lower()}' END" for k in R.LEAKS)}], lambda x: x IS NOT NULL), ',') AS leaks FROM documents) SELECT * FROM f WHERE leaks <> ''""")
 def leak_check(t):
-    found = X.ordered_flags([("email", F.col("text").rlike(EMAIL)), ("phone", F.col("text").rlike(PHONE))])
-    return t.documents.select("doc_id", found.alias("_l")).where(F.size("_l") > 0).select("doc_id", F.array_join("_l", ",").alias("leaks"))
+    found = t.documents.select("doc_id", R.leaks(F.col("text")).alias("_l"))
+    return found.where(F.size("_l") > 0).select("doc_id", F.array_join("_l", ",").alias("leaks"))
 
 
 @query()
 def redacted_documents(t):
-    """Pseudonyms for identifiers and cued names; what is written passes the leak check, or the query fails."""
-    run = R.redactor(CHECK_SALT)(F.col("text"), F.array().cast("array<string>"))
+    """Pseudonyms for identifiers, the customers' names and cued names; what is written passes the leak check, or the
+    query fails."""
+    run = R.roster_redactor(t.customer.select("c_name"), CHECK_SALT)(F.col("text"))
     out = t.documents.select("doc_id", run.alias("r")).select("doc_id", "r.text", F.aggregate(F.map_values("r.counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_redacted"))
     return R.refuse_leaks(out, "text")
 
@@ -53,7 +66,7 @@ def redacted_documents(t):
 @query("""SELECT page_id, array_to_string(list_filter(list_distinct(list_transform(regexp_extract_all(html, '<a href="/([^"]*)"', 1), lambda x: trim(string_split(x, '?')[1]))), lambda x: x <> '').list_sort(), ',') AS cited FROM pages""")
 def citations(t):
     """What a page cites: link targets up to a question mark, each once."""
-    found = F.filter(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1)), lambda x: F.trim(F.split(x, r"\?")[0]))), lambda x: x != "")
+    found = X.citations(F.col("html"), opening='<a href="/', stop='"', bar=r"\?")
     return t.pages.select("page_id", F.array_join(F.array_sort(found), ",").alias("cited"))
 
 
@@ -135,6 +148,11 @@ def normal_references(t):
     return t.part.select("p_partkey", X.normal_reference(raw).alias("reference"))
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '^[A-Z][a-z]+ [a-z]+') AND contains(lower(text), 'token')")
+@query("SELECT o_orderkey, (o_orderkey % 3 = 0 OR o_orderkey % 3 = 2 AND o_custkey % 10 > 0) AND o_custkey < 100000 AS is_claim, o_custkey % 10000 >= 1000 AND o_orderkey % 2 = 0 AS is_form FROM orders")
 def anchored_filter(t):
-    return t.documents.where(F.col("text").rlike("^[A-Z][a-z]+ [a-z]+") & F.contains(F.lower("text"), F.lit("token"))).select("doc_id")
+    """Claim and form numbers, with something before, behind or missing in some."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    number = F.concat(F.lit("CLM-2026-"), F.lpad(c.cast("string"), 5, "0"))
+    claim = F.when(k % 3 == 0, number).when(k % 3 == 1, F.concat(F.lit("see "), number)).when(c % 10 == 0, F.concat(number, F.lit("0"))).otherwise(number)
+    form = F.concat(F.lit("NG-"), (c % 10000).cast("string"), F.when(k % 2 == 0, "").otherwise(" ed. 2"))
+    return t.orders.select("o_orderkey", (X.is_claim_number(claim) & (c < 100000)).alias("is_claim"), X.is_form_number(form).alias("is_form"))

@@ -35,9 +35,8 @@ def _runs(t) -> DataFrame:
     return runs.select(F.col("conv_id").alias("run_id"), F.lit("C").alias("claim_number"), F.transform("xs", lambda x: x["s"]).alias("tokens"), F.transform("xs", lambda x: x["c"]).alias("calls"), F.size("xs").alias("n"))
 
 
-def _paths(t) -> DataFrame:
-    specs = t.spark.createDataFrame([("C", ["A"], ["B"], "optional")], "claim_number string, required_forms array<string>, optional_forms array<string>, payout string")
-    return T.paths_of(specs)
+def _specs(t) -> DataFrame:
+    return t.spark.createDataFrame([("C", ["A"], ["B"], "optional")], "claim_number string, required_forms array<string>, optional_forms array<string>, payout string")
 
 
 STEPS_SQL = """s AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, CASE role WHEN 'system' THEN ['claim'] WHEN 'user' THEN CASE WHEN length(text) % 3 = 0 THEN ['policy:A', 'policy:B'] ELSE ['policy:A'] END ELSE ['payout'] END AS tok, role || ':' || lower(substr(text, 1, 1)) AS call FROM conversations),
@@ -48,7 +47,7 @@ m AS (SELECT conv_id, min(path_no) AS path_no FROM (SELECT r.conv_id, p.path_no,
 
 @query(f"WITH {STEPS_SQL} SELECT r.conv_id AS run_id, array_to_string(p.path, '>') AS matched FROM r LEFT JOIN m USING (conv_id) LEFT JOIN p USING (path_no)")
 def matched_paths(t):
-    return T.match_paths(_runs(t), _paths(t)).select("run_id", F.array_join("matched", ">").alias("matched"))
+    return T.match_runs(_runs(t), _specs(t)).select("run_id", F.array_join("matched", ">").alias("matched"))
 
 
 @query(f"""WITH {STEPS_SQL},
@@ -62,23 +61,23 @@ z AS (SELECT *, NOT matched AND stopped AND NOT skipped AND NOT early AND NOT ag
 SELECT conv_id AS run_id, array_to_string(list_filter([CASE WHEN NOT stopped THEN 'stopped_without_answer' END, CASE WHEN skipped THEN 'skipped_required_lookup' END, CASE WHEN early THEN 'payout_before_lookup' END, CASE WHEN again THEN 'repeated_identical_call' END,
   CASE WHEN lost AND revisit THEN 'redundant_lookup' END, CASE WHEN lost AND NOT revisit THEN 'unneeded_detour' END, CASE WHEN conv_id % 5 = 0 THEN 'invalid_argument' END, CASE WHEN conv_id % 3 = 0 THEN 'wrong_outcome' END], lambda x: x IS NOT NULL), ',') AS modes FROM z""")
 def failure_modes(t):
-    runs = T.match_paths(_runs(t), _paths(t))
+    runs = T.match_runs(_runs(t), _specs(t))
     modes = T.failure_modes(F.col("tokens"), F.col("calls"), F.array(F.lit("A")), F.lit("optional"), F.col("n") % 2 == 1, F.lit(False), F.col("matched"), F.col("run_id") % 5 != 0, F.col("run_id") % 3 != 0)
     return runs.select("run_id", F.array_join(modes, ",").alias("modes"))
 
 
-@query("SELECT * FROM (VALUES (1, 3::BIGINT), (2, 2), (3, 6), (4, 1), (5, 3), (6, 2), (7, 1), (8, 2), (9, 1), (10, 2)) v(claim_number, n_paths)")
+@query("""WITH o AS (SELECT o_orderkey, o_custkey % 4 AS r, o_orderkey % 5 AS n, CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS ends FROM orders)
+SELECT o_orderkey, (ends * sum(factorial(n::INT) / factorial(j::INT) / factorial((n - j)::INT) * factorial((r + j)::INT)))::BIGINT AS n_paths FROM (SELECT *, unnest(range(n + 1)) AS j FROM o) GROUP BY o_orderkey, ends""")
 def accepted_path_counts(t):
-    """Accepted paths of ten specs: 3, 2, 6, 1, 3, 2, 1, 2, 1, 2."""
-    specs = [(1, ["a"], ["b"], "required"), (2, ["a", "b"], [], "required"), (3, ["a"], ["b"], "optional"), (4, ["a"], [], "required"), (5, ["a"], ["b"], "forbidden"), (6, ["a", "b"], [], "forbidden"), (7, ["a"], [], "forbidden"), (8, ["a"], [], "optional"), (9, ["a"], [], "required"), (10, ["a", "b"], [], "required")]
-    df = t.spark.createDataFrame(specs, "claim_number int, required_forms array<string>, optional_forms array<string>, payout string")
-    return T.paths_of(df).groupBy("claim_number").agg(F.count("*").alias("n_paths"))
+    """How many paths each order's spec accepts: its customer gives the required forms, its number the optional ones."""
+    payout = F.when(F.col("o_orderstatus") == "P", "optional").otherwise("required")
+    return t.orders.select("o_orderkey", T.path_count(F.col("o_custkey") % 4, F.col("o_orderkey") % 5, payout).alias("n_paths"))
 
 
-@query("""SELECT conv_id, min(CASE WHEN role = 'assistant' THEN turn END) AS first_pay, count(*) FILTER (WHERE turn < (SELECT coalesce(min(b.turn), 1000000) FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = 'assistant')) AS steps_before FROM conversations a GROUP BY conv_id""")
+@query("""SELECT conv_id, min(CASE WHEN role = 'assistant' THEN turn END) AS first_pay, count(*) FILTER (WHERE turn < (SELECT min(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = 'assistant') OR NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.role = 'assistant')) AS steps_before FROM conversations a GROUP BY conv_id""")
 def before_first_payout(t):
     first = F.min(F.when(F.col("role") == "assistant", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    return t.conversations.withColumn("first_pay", first).groupBy("conv_id").agg(F.min("first_pay").alias("first_pay"), F.count_if(F.col("turn") < F.coalesce("first_pay", F.lit(1000000))).alias("steps_before"))
+    return t.conversations.withColumn("first_pay", first).groupBy("conv_id").agg(F.min("first_pay").alias("first_pay"), F.count_if(F.col("first_pay").isNull() | (F.col("turn") < F.col("first_pay"))).alias("steps_before"))
 
 
 @query("""WITH s AS (SELECT conv_id, turn, lower(substr(text, 1, 1)) AS w FROM conversations) SELECT conv_id, turn, EXISTS (SELECT 1 FROM s b WHERE b.conv_id = s.conv_id AND b.turn < s.turn AND b.w = s.w) AS revisit FROM s""")
@@ -103,17 +102,6 @@ def hidden_notes(t):
     return notes.select("conv_id", F.size(shown).cast("long").alias("shown"), F.array_join(F.transform(shown, lambda x: x["role"]), " ").alias("roles"))
 
 
-@query("""WITH r AS (SELECT conv_id, count(*) AS taken, sum(length(text)) AS tokens FROM conversations GROUP BY 1)
-SELECT count(*) AS n, round(avg((taken % 2 = 0)::INT), 6) AS tool_choice_accuracy, round(sum(taken - taken % 3)::DOUBLE / sum(taken), 6) AS argument_validity, round(sum(taken)::DOUBLE / sum(CASE WHEN taken > 4 THEN 4 ELSE taken END), 6) AS step_efficiency,
-  round(median(tokens / 1e6), 6) AS cost_p50, round(avg((taken <= 4)::INT) - avg((taken <= 3)::INT), 6) AS gap FROM r""")
-def trajectory_report(t):
-    r = t.conversations.groupBy("conv_id").agg(F.count("*").alias("steps_taken"), F.sum(F.length("text")).alias("tokens"))
-    n = F.col("steps_taken")
-    rows = r.select((n % 2 == 0).alias("tool_choice_ok"), n.alias("n_args"), (n - n % 3).alias("n_valid"), n.alias("steps_taken"), F.least(n, F.lit(4)).alias("steps_needed"), (F.col("tokens") / 1e6).alias("cost_usd"), "tokens", F.lit(1.0).alias("latency_s"), (n <= 4).alias("outcome_pass"), (n <= 3).alias("trajectory_pass"))
-    out = T.trajectory_summary(rows)
-    return out.select("n", *[F.round(c, 6).alias(c) for c in ("tool_choice_accuracy", "argument_validity", "step_efficiency", "cost_p50", "gap")])
-
-
 @query("""WITH c AS (SELECT role, count(*) FILTER (WHERE conv_id % 2 = 0) AS a, count(*) FILTER (WHERE conv_id % 2 = 1) AS b FROM conversations GROUP BY 1)
 SELECT role AS mode, a AS n_before, b AS n_after, CASE WHEN a = 0 AND b > 0 THEN 'NEW' WHEN b > a THEN 'worse' WHEN b < a THEN 'better' ELSE 'same' END AS change FROM c""")
 def mode_changes(t):

@@ -11,7 +11,7 @@ from lodestar.operators import trajectory as T
 
 
 def test_argument_checks(spark):
-    claims = spark.createDataFrame([("c1", ["NG-1102"], [0, 100, 250])], "claim_number string, forms array<string>, sums array<long>")
+    claims = spark.createDataFrame([("c1", ["NG-1102"], [100, 150])], "claim_number string, forms array<string>, lines array<long>")
     columns = "run_id int, step int, claim_number string, tool string, arg_claim string, arg_form string, arg_amount long, arg_sublimit long, arg_basis string"
     made = [
         (1, 1, "c1", "get_claim", "c1", None, None, None, None), (1, 2, "c1", "search_policy", None, "NG-1102", None, None, None), (1, 3, "c1", "search_policy", None, "NG-7", None, None, None),
@@ -24,18 +24,17 @@ def test_argument_checks(spark):
         (1, 5, "deductible_basis", True), (1, 5, "sublimit", False), (1, 6, "covered_amount", False), (1, 6, "sublimit", True), (2, 1, "claim_number", True), (2, 1, "covered_amount", False), (2, 1, "deductible_basis", False),
     ]
     why = {(r["step"], r["arg"]): r["why"] for r in got if r["run_id"] == 1}
-    assert why[3, "form_number"] == "form does not exist" and why[4, "form_number"] == "form not on this policy" and why[1, "claim_number"] == ""
+    assert why[3, "form_number"] == "no such form" and why[4, "form_number"] == "the policy lacks this form" and why[1, "claim_number"] == ""
 
 
 def test_scores_of_paths(spark):
     specs = spark.createDataFrame([("c", ["A"], ["B"], "required")], "claim_number string, required_forms array<string>, optional_forms array<string>, payout string")
-    paths = T.paths_of(specs)
     assert T.accepted_paths(["A"], ["B"], "optional")[:3] == [["claim", "policy:A", "payout"], ["claim", "policy:A"], ["claim", "policy:A", "policy:B", "payout"]]
     runs = spark.createDataFrame(
         [(1, "c", ["get_claim", "search_policy", "compute_payout"], ["x"], True, "final_answer"), (2, "c", ["get_claim", "compute_payout"], None, True, "final_answer"), (3, "d", ["get_claim"], ["x"], None, None)],
         "run_id int, claim_number string, tools array<string>, matched array<string>, args_valid boolean, stop_reason string",
     )
-    got = {r["run_id"]: (r["tool_choice_ok"], r["steps_taken"], r["steps_needed"], r["trajectory_pass"]) for r in E.score_paths(runs, paths).collect()}
+    got = {r["run_id"]: (r["tool_choice_ok"], r["steps_taken"], r["steps_needed"], r["trajectory_pass"]) for r in E.score_runs(runs, specs).collect()}
     assert got == {1: (True, 3, 3, True), 2: (False, 2, 3, False), 3: (False, 1, None, False)}
     modes = spark.createDataFrame([(["redundant_lookup"],), (["redundant_lookup", "wrong_outcome"],), (None,)], "modes array<string>")
     assert [(r["mode"], r["n"]) for r in E.mode_counts(modes, "modes").collect()] == [(m, {"redundant_lookup": 2, "wrong_outcome": 1}.get(m, 0)) for m in T.MODES]
@@ -111,3 +110,55 @@ def test_pages_and_resources(spark):
     assert [(r["place"], r["text"]) for r in E.attached_resources(config, resources).orderBy("place").collect()] == [(0, "two"), (1, "one")]
     forms = spark.createDataFrame([(2, "F", "S"), (1, "F", "PREAMBLE"), (3, "F", None), (4, "G", "S")], "chunk_index int, form_number string, clause_id string")
     assert [r["chunk_index"] for r in E.whole_form(forms, "F").collect()] == [2, 3]
+
+
+def test_many_lines_and_their_sums(spark):
+    import random
+
+    from lodestar.operators import sums as S
+
+    rng = random.Random(1)
+    for n in (0, 1, 5, 13):
+        lines = [rng.randint(-50, 500) for _ in range(n)]
+        every = {0}
+        for x in lines:
+            every |= {s + x for s in every}
+        assert all(S.is_sum(lines, a) == (a in every) for a in range(-700, 7000, 7)) and S.is_sum(lines, max(every))
+        bits, offset = S.bitset(lines)
+        assert {i - offset for i in range(bits.bit_length()) if bits >> i & 1} == every
+    forty = [rng.randint(1, 900_000) * 2 for _ in range(40)]
+    some = sum(rng.sample(forty, 17))
+    assert S.is_sum(forty, some) and not S.is_sum(forty, some + 1)
+    many = [rng.randint(1, 5_000) * 2 for _ in range(200)]
+    assert S.is_sum(many, sum(many[::3])) and not S.is_sum(many, 7)
+    rows = spark.createDataFrame([(forty, some), (forty, some + 1), (None, 1), ([], 0), ([5], None)], "l array<long>, a long")
+    assert [r[0] for r in rows.select(S.is_subset_sum("l", "a")).collect()] == [True, False, None, True, None]
+    assert [tuple(r[0]) for r in rows.where("size(l) < 2").select(S.subset_sum_size("l")).collect()] == [(1, 0), (2, 5)]
+
+
+def test_acceptance_without_expansion(spark):
+    import random
+
+    rng = random.Random(2)
+    letters = "ABCDE"
+    hits = 0
+    for _ in range(4_000):
+        forms = rng.sample(letters, rng.randint(0, 5))
+        cut = rng.randint(0, len(forms))
+        required, optional, payout = forms[:cut], rng.choice([forms[cut:], None]) or None, rng.choice(["required", "optional", "forbidden"])
+        steps = [["claim"]] if rng.random() < 0.95 else [["error"]]
+        steps += [[f"policy:{f}" for f in rng.sample(letters, rng.randint(1, 3))] for _ in range(rng.randint(0, 4))]
+        steps += [["payout"]] * rng.randint(0, 1)
+        want = next((p for p in T.accepted_paths(required, optional, payout) if len(p) == len(steps) and all(x in s for x, s in zip(p, steps))), None)
+        assert T.first_accepted(required, optional, payout, steps) == want
+        hits += want is not None
+    assert hits > 300
+    # Twelve forms have billions of orders.
+    twelve = [f"F{i}" for i in range(12)]
+    steps = [["claim"]] + [[f"policy:F{(i + 1) % 12}", f"policy:F{i}"] for i in range(12)] + [["payout"]]
+    got = T.first_accepted(twelve[:6], twelve[6:], "required", steps)
+    assert sorted(got[1:-1]) == sorted(f"policy:{f}" for f in twelve) and all(x in s for x, s in zip(got, steps))
+    assert T.first_accepted(twelve, None, "required", steps[:-2] + steps[-1:]) is None
+    specs = spark.createDataFrame([("c", twelve, None, "required")], "claim_number string, required_forms array<string>, optional_forms array<string>, payout string")
+    runs = spark.createDataFrame([(1, "c", steps), (2, "d", steps), (3, "c", None)], "run_id int, claim_number string, tokens array<array<string>>")
+    assert {r.run_id: r.matched is not None for r in T.match_runs(runs, specs).collect()} == {1: True, 2: False, 3: False}
