@@ -8,6 +8,9 @@ from lodestar.functions.text import handoff_group, is_refusal
 from lodestar.operators import metrics as M
 from lodestar.operators.ordering import shuffled_place, with_ordinal
 from lodestar.plans.registry import query
+from lodestar.sources.shared import new_folder
+from lodestar.sources.snapshots import append_once, create_snapshot, read_snapshot, upsert_snapshot
+from lodestar.sources.tables import latest_wins, seeded_choice
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg((value < 80)::INT), 6) AS pass_rate, round(median(value), 6) AS p50, sum(user_id)::BIGINT AS tokens, round(avg(value), 6) AS cost_mean, round(quantile_disc(value, 0.99), 6) AS p99 FROM events GROUP BY 1""")
@@ -159,16 +162,12 @@ def argument_references(t):
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_id, event_type FROM l WHERE r = 1""")
 def latest_by_key(t):
     """An upsert's outcome: of each key the latest row."""
-    from lodestar.sources.tables import latest_wins
-
     return latest_wins(t.events, ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
 @query("""SELECT event_id, ['phone', 'web', 'mail'][(('0x' || substr(md5('5:' || event_id), 1, 8))::BIGINT % 3) + 1] AS channel, true AS once, true AS inside FROM events""")
 def synthetic_traffic(t):
     """A channel for each event, and its place in a seeded shuffle, which each place has once."""
-    from lodestar.sources.tables import seeded_choice
-
     n = t.events.count()
     rows = with_ordinal(t.events.select("event_id"), ["event_id"], "place")
     placed = rows.select("event_id", seeded_choice(5, F.col("event_id"), ["phone", "web", "mail"]).alias("channel"), shuffled_place(F.col("place") - 1, n, 5).alias("place"))
@@ -178,4 +177,21 @@ def synthetic_traffic(t):
 
 @query("""SELECT user_id % 5 AS grp, min(ts) AS first_ts, count(*) AS n FROM events GROUP BY 1""")
 def append_log_report(t):
-    return t.events.groupBy((F.col("user_id") % 5).alias("grp")).agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
+    """A log of three batches, one of which is sent twice, and what it holds then."""
+    folder = new_folder(t.spark, "log")
+    rows = t.events.select("event_id", (F.col("user_id") % 5).alias("grp"), "ts", "props")
+    for k in (0, 1, 1, 2):
+        append_once(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k), folder, f"part {k}", ["props"])
+    return read_snapshot(t.spark, folder).groupBy("grp").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
+
+
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type <> 'error'),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE event_type = 'error')
+SELECT coalesce(e.user_id, l.user_id) AS user_id, coalesce(e.event_id, l.event_id) AS event_id FROM (SELECT * FROM l WHERE r = 1) l FULL JOIN (SELECT * FROM e WHERE r = 1) e ON l.user_id = e.user_id""")
+def snapshot_upserts(t):
+    """A table of each user's last event, into which the last errors are then put by key."""
+    folder, order = new_folder(t.spark, "last-events"), [F.desc("ts"), F.desc("event_id")]
+    rows = t.events.select("user_id", "event_id", "ts", "event_type")
+    create_snapshot(latest_wins(rows.where("event_type <> 'error'"), ["user_id"], order), folder, ["user_id"])
+    upsert_snapshot(rows.where("event_type = 'error'"), folder, order)
+    return read_snapshot(t.spark, folder).select("user_id", "event_id")
