@@ -162,8 +162,8 @@ def nearest(
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``top`` nearest of each row whose id is divisible by ``every``.
 
-    Null, zero and non-finite vectors, vectors with a null component, vectors without an id and vectors of another
-    length than the first fitted one take no part. Ties go to the smaller id. Rows repeated under one id count once,
+    Null, zero and non-finite vectors, vectors with a null component and vectors without an id take no part. Vectors are
+    searched among those of their own length, one length after another. Ties go to the smaller id. Rows repeated under one id count once,
     by their first vector in order. Too few candidates give fewer rows; an empty table gives none; other columns are
     not read.
 
@@ -176,19 +176,25 @@ def nearest(
     spark = embeddings.sparkSession
     rows = embeddings.select(embeddings[id_col].cast("long").alias("vec_id"), embeddings[vector_col].cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     rows = cut(rows.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    count = rows.count()
-    result = "query_id long, rank int, vec_id long, score double"
-    if not count:
-        return spark.createDataFrame([], result)
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sizes = rows.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).orderBy("length").collect()
+    for length, count in sizes:
+        own = _nearest_alike(rows.where(F.size("v") == length), length, count, every, top, shortlist, fit_rows, codebooks, block_rows, query_rows)
+        found = own if len(sizes) == 1 else found.unionByName(own)
+    drop_cut(rows)
+    return found
+
+
+def _nearest_alike(rows: DataFrame, length: int, count: int, every: int, top: int, shortlist: int, fit_rows: int, codebooks: int, block_rows: int, query_rows: int) -> DataFrame:
+    """:func:`nearest` over ``count`` rows ``(vec_id, v)`` whose vectors have one length."""
+    spark = rows.sparkSession
     per = 1_000_000
     share = min(per, -(-per * fit_rows * 5 // (4 * count)))
     sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(per)) < share).orderBy(F.xxhash64(F.lit(4), "vec_id"), "v").limit(fit_rows).select("v").toPandas()
     sample = sample if len(sample) else rows.limit(1).select("v").toPandas()
-    length = len(sample.v.iloc[0])
-    x = np.array([v for v in sample.v if len(v) == length])
+    x = np.array(sample.v.tolist())
     del sample
     books = fit_codebooks(x, codebooks, min(WORDS, len(x)))
-    usable_rows, rows = rows, rows.where(F.size("v") == length)
 
     # Distinct vectors with the ids that can matter, dealt into blocks.
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
@@ -264,7 +270,7 @@ def nearest(
 
     with arrow_rows(spark, 2):
         found = cut(asked.join(packed.select("block", "vectors", "ids", "ends").hint("merge"), "block").mapInArrow(score, "query_id long, vec_id long, score double"), "vector-scores")
-    for done in (usable_rows, packed, queries, asked):
+    for done in (packed, queries, asked):
         drop_cut(done)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
