@@ -63,11 +63,13 @@ def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Derived from all pages, written as WARC files, and read back from them."""
+    """Derived from all pages, written as WARC files, and read back from them; a record that cannot be read is an error."""
     folder = fresh_path(spark, "warc")
     written = write_warc(derive(responses_of_pages(table(spark, sf_dir, "pages"))), folder)
     delete_at_exit(spark, folder)
-    return read_derived(written).drop("path", "error").withColumn("block", F.col("block").cast("string")).withColumnRenamed("source_id", "page_id")
+    fails = F.raise_error(F.concat(F.lit("unreadable record in "), "path", F.lit(": "), "error")).cast("string")
+    block = F.when(F.col("error").isNotNull(), fails).otherwise(F.col("block").cast("string"))
+    return read_derived(written).withColumn("block", block).drop("path", "error").withColumnRenamed("source_id", "page_id")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ from lodestar.llm.common import cut, map_rows, open_shared, write_shared
 RESPONSE = "source_id long, record_id string, target_uri string, date string, http_header string, payload binary"
 #: A block that is larger is passed over by the reader, as an error.
 MOST_BYTES = 1 << 28
+#: The most that a value of a table can have.
+MOST_CELL = (1 << 31) - 1
 RECORD = "source_id long, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, block_digest string, payload_digest string, content_length long, block binary"
 #: Elements that start a new line of the text, and elements whose content is no text.
 BREAKS = frozenset("address article aside blockquote body br caption dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
@@ -52,6 +54,11 @@ def named_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
+def one_word(uri: str) -> str:
+    """A uri with white space and control characters in percent encoding: no header line could hold it as it is."""
+    return re.sub(r"[\s\x00-\x1f\x7f]", lambda found: "".join(f"%{b:02X}" for b in found.group().encode()), uri)
+
+
 def visible_text(page: str) -> str:
     """The page's text: one line for each block, markup, scripts and comments left out, entities resolved."""
 
@@ -131,6 +138,7 @@ def decoded(fields: list[tuple[str, str]], body: bytes) -> bytes | None:
 def derive_one(record_id: str | None, uri: str | None, date: str | None, header: str | None, payload: bytes | None) -> list[tuple]:
     """The records of one response as tuples of ``RECORD`` without ``source_id``."""
     payload = bytes(payload or b"")
+    uri = None if uri is None else one_word(uri)
     status, fields = header_fields(header)
     content_type = next((v for k, v in fields if k.lower() == "content-type"), "")
     kind = content_type.split(";")[0].strip().lower()
@@ -174,7 +182,7 @@ def derive(responses: DataFrame) -> DataFrame:
     ``refers_to`` is the response's id; ``payload_digest`` is the digest of the response's payload, ``block_digest`` of
     the record's own block. A response without an id is named after its uri, date and payload. A null or empty payload
     gives an empty text; without a content type it is taken for HTML; other than text, and text in an unknown or broken
-    content encoding, gives metadata only. Null uris and dates stay null. Rows alike in all columns are one response
+    content encoding, gives metadata only. Null uris and dates stay null; white space in a uri becomes percent encoded. Rows alike in all columns are one response
     given twice: their records are alike, ids included. An empty table gives an empty result; other columns are
     not read. One pass, no shuffle.
     """
@@ -400,8 +408,9 @@ def read_warc(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("respons
     return _read(spark.read.format("binaryFile").load(path).select("path"), RESPONSE, row_of, most_bytes)
 
 
-def read_derived(manifest: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Rows of ``RECORD`` with ``path`` and ``error`` from the files of a manifest of :func:`write_warc`."""
+def read_derived(manifest: DataFrame, most_bytes: int = MOST_CELL) -> DataFrame:
+    """Rows of ``RECORD`` with ``path`` and ``error`` from the files of a manifest of :func:`write_warc`. A block came out
+    of a cell of a table, so by default none is too large to be read."""
     columns = {c: k.lower() for k, c in FIELDS.items()}
 
     def row_of(headers: dict[str, str], block: bytes) -> tuple:
