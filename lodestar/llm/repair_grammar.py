@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from lodestar.llm.common import arrow_rows, cut, delete_at_exit, fresh_path, read_range, read_shared, release_memory, write_shared
 from lodestar.llm.encoding import SLICE, encoder
@@ -60,11 +61,50 @@ def slots(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
 
 
+def _matches(keys: np.ndarray, pairs: np.ndarray, kind: type, empty: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(pairs, places, number of the pair at each place, places of each pair)``.
+
+    One pair for each slot of a table is looked for, the most frequent; the others have their turn later. Of matches
+    that overlap, every second counts, from the left.
+    """
+    rule_of = np.zeros(SLOTS, np.int64)
+    slot = slots(pairs).astype(np.int64)
+    rule_of[slot[::-1]] = np.arange(len(pairs))[::-1]
+    own = rule_of[slot] == np.arange(len(pairs))
+    pairs, slot = pairs[own], slot[own]
+    table = np.full(SLOTS, empty, kind)
+    table[slot], rule_of[slot] = pairs, np.arange(len(pairs))
+    found = np.zeros(len(keys), bool)
+    for at in range(0, len(keys), BLOCK):
+        some = keys[at : at + BLOCK]
+        np.equal(table.take(slots(some)), some, out=found[at : at + BLOCK])
+    hit = np.flatnonzero(found)
+    head = np.r_[True, hit[1:] != hit[:-1] + 1]
+    run = np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
+    hit = hit[((np.arange(len(hit)) - run) & 1) == 0]
+    rule = rule_of[slots(keys[hit])]
+    return pairs, hit, rule, np.bincount(rule, minlength=len(pairs))
+
+
+def _apart(pairs: np.ndarray, shift: int) -> np.ndarray:
+    """Pairs of two symbols, the most frequent first, such that no symbol is left in one and right in another."""
+    lefts, rights, chosen = set(), set(), []
+    mask = (1 << shift) - 1
+    for k, pair in enumerate(pairs.tolist()):
+        left, right = pair >> shift, pair & mask
+        if left != right and left not in rights and right not in lefts:
+            lefts.add(left)
+            rights.add(right)
+            chosen.append(k)
+    return pairs[chosen]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, round_share: float = ROUND_SHARE) -> Grammar:
     """Re-Pair in rounds: pairs about as frequent as the most frequent one are replaced together, left to right.
 
     A rule stays if at least ``least`` of its pairs were there to replace after those of the others in its round. The
-    rounds go on until no rule does; there is no limit on rounds, rules, or the length that a rule expands to.
+    rounds go on until no pair has so many left to replace, alone or beside others; there is no limit on rounds, rules,
+    or the length that a rule expands to.
     ``ends``: the number of ids up to each document's end.
     """
     symbols = ids.astype(np.int64)
@@ -93,31 +133,26 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, r
             break
         often = often[np.argsort(-counts[often], kind="stable")]
         pairs = ordered[starts[often]]
-        # One pair for each slot of a table, the most frequent; the others have their turn in a later round.
-        rule_of = np.zeros(SLOTS, np.int64)
-        slot = slots(pairs).astype(np.int64)
-        rule_of[slot[::-1]] = np.arange(len(pairs))[::-1]
-        own = rule_of[slot] == np.arange(len(pairs))
-        pairs, slot = pairs[own], slot[own]
-        table = np.full(SLOTS, empty, kind)
-        table[slot], rule_of[slot] = pairs, np.arange(len(pairs))
-        found = np.zeros(len(keys), bool)
-        for at in range(0, len(keys), BLOCK):
-            some = keys[at : at + BLOCK]
-            np.equal(table.take(slots(some)), some, out=found[at : at + BLOCK])
-        hit = np.flatnonzero(found)
-        # Of matches that overlap, every second counts, from the left.
-        head = np.r_[True, hit[1:] != hit[:-1] + 1]
-        run = np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
-        hit = hit[((np.arange(len(hit)) - run) & 1) == 0]
-        rule = rule_of[slots(keys[hit])]
-        times = np.bincount(rule, minlength=len(pairs))
+        pairs, hit, rule, times = _matches(keys, pairs, kind, empty)
         pays = times >= least
-        if not pays.any():
-            if floor == least:
-                break
+        if not pays.any() and floor > least:
             share = 0.0  # what is left is too entangled to be taken by frequency
             continue
+        if 2 * pays.sum() < len(pairs):
+            # Too entangled with each other: take those of which no symbol is a left one here and a right one there.
+            # They keep all their occurrences. A pair of one symbol has fewer in a run of it, so such pairs come last,
+            # and those that do not pay make room for others of their slot.
+            rest = ordered[starts[often]]
+            alone = _apart(rest, shift)
+            if len(alone):
+                pairs, hit, rule, times = _matches(keys, alone, kind, empty)
+                pays = times >= least
+            while not pays.any() and len(rest):
+                pairs, hit, rule, times = _matches(keys, rest, kind, empty)
+                pays = times >= least
+                rest = rest[~np.isin(rest, pairs)]
+        if not pays.any():
+            break
         hit, rule = hit[pays[rule]], (np.cumsum(pays) - 1)[rule[pays[rule]]]
         pairs, times = pairs[pays], times[pays]
         left, right = used[(pairs >> kind(shift)).astype(np.int64)], used[(pairs & kind((1 << shift) - 1)).astype(np.int64)]
@@ -265,13 +300,23 @@ class Shard:
 MANIFEST = "task long, shard long, path string, n_docs long, n_ids long, n_symbols long, n_rules long, n_bytes long"
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, base: int = 49_408, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def id_bound(tokenizer: str, end_id: int) -> int:
+    """The number above every id of a vocabulary, and above the end id: symbols from there on are rules."""
+    return max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) + 1
+
+
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, base: int | None = None, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all texts, in ascending order of id, into shard files below ``folder``; return their written manifest.
 
     The rows are dealt by ranges of the id and sorted within, so the files in order of (task, shard) are in order of
     id. A file has a name of its own for each attempt of a task; only files of the manifest count, so a lost executor
-    leaves at most files that nothing reads. A task holds one shard.
+    leaves at most files that nothing reads. A task holds one shard. ``base``: the first number of a rule, by default
+    that above the vocabulary's ids; one that an id reaches is an error.
     """
+    least = id_bound(tokenizer, end_id)
+    base = least if base is None else base
+    if base < least:
+        raise ValueError(f"{tokenizer} has ids up to {least - 1}: rules cannot begin at {base}")
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
