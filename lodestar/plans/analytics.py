@@ -8,6 +8,7 @@ from lodestar.functions.text import handoff_group, is_refusal
 from lodestar.operators import metrics as M
 from lodestar.operators.ordering import shuffled_place, with_ordinal
 from lodestar.plans.registry import query
+from lodestar.sources.paged import read_catalogue
 from lodestar.sources.shared import new_folder
 from lodestar.sources.snapshots import append_once, create_snapshot, read_snapshot, upsert_snapshot
 from lodestar.sources.tables import latest_wins, seeded_choice
@@ -195,3 +196,19 @@ def snapshot_upserts(t):
     create_snapshot(latest_wins(rows.where("event_type <> 'error'"), ["user_id"], order), folder, ["user_id"])
     upsert_snapshot(rows.where("event_type = 'error'"), folder, order)
     return read_snapshot(t.spark, folder).select("user_id", "event_id")
+
+
+@query("""SELECT p_brand AS server, p_name AS tool, p_brand || '__' || p_name AS name, (p_partkey % 7)::INT AS page FROM part""")
+def paged_tools(t):
+    """A brand's parts as a server's tools, recorded in seven pages and listed again by cursor."""
+    folder, page = new_folder(t.spark, "catalogue"), F.col("p_partkey") % 7
+    tool = F.struct(F.col("p_name").alias("name"), F.lit("").alias("about"))
+    found = t.part.select(F.col("p_brand").alias("server"), page.cast("int").alias("page"), tool.alias("tool"))
+    brands = [r[0] for r in found.select("server").distinct().orderBy("server").collect()]  # a partition for each
+    pages = found.groupBy("server", "page").agg(F.collect_list("tool").alias("tools"))
+    every = found.select("server").distinct().select("server", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("page"))
+    pages = every.join(pages, ["server", "page"], "left").withColumn("tools", F.coalesce("tools", F.array().cast("array<struct<name: string, about: string>>")))
+    cursor = F.when(F.col("page") == 0, "start").otherwise(F.concat(F.lit("c"), F.col("page").cast("string")))
+    following = F.when(F.col("page") < 6, F.concat(F.lit("c"), (F.col("page") + 1).cast("string")))
+    pages.select("server", cursor.alias("cursor"), "tools", following.alias("next")).write.partitionBy("server", "cursor").json(folder)
+    return read_catalogue(t.spark, brands, folder).select("server", "tool", "name", "page")
