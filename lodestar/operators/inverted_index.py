@@ -32,7 +32,7 @@ MARGIN = 1e-5
 
 @dataclass(frozen=True)
 class Index:
-    """Where an index lies: ``blocks`` and ``terms`` by bucket, ``stats`` and ``chunks`` below ``folder``."""
+    """Where an index lies: ``blocks`` and ``terms`` by bucket, ``stats``, and ``chunks`` with their terms below ``folder``."""
 
     folder: str
     by: tuple[str, ...]
@@ -68,10 +68,12 @@ def build_index(chunks: DataFrame, folder: str | None = None, by: Sequence[str]
     folder = folder or new_folder(spark, "index")
     cells = max(1, -(-chunks.count() // CELL))
     buckets = min(max(BUCKETS[0], cells // 128), BUCKETS[1])
-    tokened = chunks.select(*by, "chunk_id", tokens(F.col("text")).alias("_t")).withColumn("len", F.size("_t"))
     cell = F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int")
-    counted = tokened.select(*by, "chunk_id", "len", F.explode("_t").alias("term")).groupBy(*by, "chunk_id", "len", "term").agg(F.count("*").alias("tf"))
-    counted = written(counted, "term-counts")
+    # A text's tokens are counted where it is read: sorted, equal ones stand together, and a term counts up to the next.
+    starts = "filter(sequence(1, size(t)), i -> i = 1 OR t[i - 1] <> t[i - 2])"
+    counted = f"""IF(size(t) = 0, array(), transform(array({starts}), s -> transform(s, (i, k) -> named_struct('term', t[i - 1], 'tf', coalesce(get(s, k + 1), size(t) + 1) - i)))[0])"""
+    tokened = chunks.select(*by, "chunk_id", F.array_sort(tokens(F.col("text"))).alias("t"))
+    tokened = tokened.select(*by, "chunk_id", F.size("t").alias("len"), F.expr(counted).cast("array<struct<term: string, tf: int>>").alias("terms"))
     schemas: dict[str, str] = {}
 
     def put(part: str, df: DataFrame) -> DataFrame:
@@ -80,14 +82,15 @@ def build_index(chunks: DataFrame, folder: str | None = None, by: Sequence[str]
         schemas[part] = df.schema.json()
         return spark.read.schema(df.schema).parquet(f"{folder}/{part}")
 
-    sizes = put("chunks", tokened.select(*by, "chunk_id", "len"))
-    stats = put("stats", sizes.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("average")))
-    joined = counted.join(stats, by) if by else counted.crossJoin(F.broadcast(stats))  # one row of totals
+    read = put("chunks", tokened)
+    stats = put("stats", read.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("average")))
+    posts = read.select(*by, "chunk_id", "len", cell.alias("cell"), F.explode("terms").alias("_t")).select(*by, "chunk_id", "len", "cell", "_t.term", "_t.tf")
+    # Dealt once, as the files will lie; the groups below are parts of what is dealt together.
+    posts = posts.select("*", _bucket(buckets).alias("bucket"), F.floor(F.col("cell") / CELLS_A_FILE).alias("part")).repartition("bucket", "part")
+    posts = posts.join(F.broadcast(stats), by) if by else posts.crossJoin(F.broadcast(stats))  # a row for each index
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("average")))
-    posts = joined.select(*by, "term", "chunk_id", cell.alias("cell"), weight.alias("w"))
-    blocks = posts.groupBy(*by, "term", "cell").agg(F.max("w").alias("most"), F.count("*").alias("df"), F.collect_list(F.struct("chunk_id", "w")).alias("posts"))
-    dealt = blocks.withColumn("bucket", _bucket(buckets)).repartition("bucket", F.floor(F.col("cell") / CELLS_A_FILE))
-    blocks = put("blocks", dealt.sortWithinPartitions("bucket", *by, "term", "cell"))
+    blocks = posts.withColumn("w", weight).groupBy("bucket", "part", *by, "term", "cell").agg(F.max("w").alias("most"), F.count("*").alias("df"), F.collect_list(F.struct("chunk_id", "w")).alias("posts"))
+    blocks = put("blocks", blocks.drop("part").sortWithinPartitions("bucket", *by, "term", "cell"))
     terms = blocks.groupBy("bucket", *by, "term").agg(F.sum("df").alias("df"))
     put("terms", terms.repartition("bucket").sortWithinPartitions("bucket", "term"))
     about = json.dumps({"by": by, "buckets": buckets, "schemas": schemas})
