@@ -86,6 +86,25 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
 
 
+#: Parts that the rows of one key are dealt to where the key may hold a third of all rows; one bit of a long for each.
+PARTS = 32
+
+
+def part_of(*columns: str | Column) -> Column:
+    """The part, from 0, of a row among the rows of its key; the columns tell rows of a key apart."""
+    return F.pmod(F.xxhash64(*columns), F.lit(PARTS)).cast("int")
+
+
+def parts_seen(part: str | Column) -> Column:
+    """An aggregate: the parts of a key that have rows, as bits. It combines before the shuffle."""
+    return F.bit_or(F.expr(f"shiftleft(1L, {part})") if isinstance(part, str) else F.call_function("shiftleft", F.lit(1).cast("long"), part))
+
+
+def each_part(seen: str) -> Column:
+    """A row for each part that :func:`parts_seen` found."""
+    return F.explode(F.expr(f"filter(sequence(0, {PARTS - 1}), i -> (shiftright({seen}, i) & 1L) = 1L)"))
+
+
 _OWNER: list = [None, None]
 
 

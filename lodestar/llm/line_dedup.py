@@ -1,4 +1,4 @@
-"""Removal of globally repeated passages: content-defined chunks of lines, compared by SHA-256 of their bytes.
+"""Removal of globally repeated passages: content-defined chunks of lines, compared byte by byte.
 
 Only DataFrame functions run here. A rolling hash runs over the hashes of three lines; where it is 0 modulo ``divisor``,
 and was not at the line before, a chunk ends. The boundaries depend on the lines around them alone, so a passage that
@@ -6,7 +6,8 @@ moves keeps its inner boundaries. Chunks of several lines that repeat go.
 
 With ``runs``, passages are also looked for at every line, wherever chunks end: the shortest runs of lines that reach
 ``long_words`` words, forwards from each line and backwards from each. Of a common run of so many words every line is in
-one that lies inside the run, so the run is found whole.
+one that lies inside the run, so the run is found whole. Runs overlap, so they are compared by SHA-256 instead of being
+shuffled as texts.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import WORD, cut, drop_cut
+from lodestar.llm.common import WORD, cut, drop_cut, each_part, part_of, parts_seen
 
 
 @dataclass(frozen=True)
@@ -37,8 +38,6 @@ class Chunking:
 #: Chunks and whole runs of lines.
 WHOLE = Chunking(runs=True)
 ROW = ["_k1", "_k2"]
-#: Parts that the occurrences of a passage are dealt to.
-SALTS = 32
 
 
 def _chunks(text: str, rule: Chunking) -> str:
@@ -63,7 +62,7 @@ def _hashed(text: str) -> str:
 
 
 def _runs(text: str, rule: Chunking) -> str:
-    """``array<struct<s, e, d>>``: first line, last line and digest of the shortest runs of ``rule.long_words`` words.
+    """``array<struct<s, e, d, c>>``: first line, last line, digest and "is a chunk" (no) of the shortest runs of ``rule.long_words`` words.
 
     They begin and end at lines with words, so a run has at most ``long_words`` of these, and each line is in a bounded
     number of runs. A run that is the shortest in both directions is given once.
@@ -74,7 +73,7 @@ def _runs(text: str, rule: Chunking) -> str:
     back = reach.format(f"reverse(slice(ps, greatest(k + 2 - {most}, 1), least({most}, k + 1)))")
     ahead = f"filter(transform(ps, (p, k) -> transform(array({ahead}), r -> named_struct('s', p, 'e', get(ps, k + r.k), 'ok', r.w >= {most}))[0]), r -> r.ok)"
     back = f"filter(transform(ps, (p, k) -> transform(array({back}), r -> named_struct('s', get(ps, k - r.k), 'e', p, 'ok', r.w - get(ls, p).n >= {most}))[0]), r -> r.ok)"
-    runs = f"transform(concat({ahead}, {back}), r -> named_struct('s', r.s, 'e', r.e, 'd', xxhash64(transform(slice(ls, r.s + 1, r.e - r.s + 1), x -> x.h))))"
+    runs = f"transform(concat({ahead}, {back}), r -> named_struct('s', r.s, 'e', r.e, 'd', xxhash64(transform(slice(ls, r.s + 1, r.e - r.s + 1), x -> x.h)), 'c', false))"
     return f"transform(array({_hashed(text)}), ls -> transform(array(filter(sequence(0, size(ls) - 1), i -> get(ls, i).n > 0)), ps -> {runs})[0])[0]"
 
 
@@ -93,16 +92,17 @@ def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc
     A chunk counts if it has several lines and ``rule.min_words`` words; with ``rule.runs`` the runs of lines count
     beside the chunks, single lines of ``rule.long_words`` words among them. Of the occurrences of such a passage in the whole table the
     first stays, by smallest id, then place; the others go, in the same text too, but for lines that they share with
-    the first. Each line that goes stands at an earlier place, so none is lost altogether. Passages are taken for equal
-    if SHA-256 of their bytes is: runs overlap, and as texts they would be several times what repeats. Null texts stay
+    the first. Each line that goes stands at an earlier place, so none is lost altogether. Chunks are taken for
+    equal if their bytes are, runs if SHA-256 of theirs is: these overlap, and as texts they would be several times what
+    repeats. Null texts stay
     null and count no lines; an empty text is one line without words. Rows alike in id and text are one document and
     are rewritten alike; null ids come first. An empty table gives an empty result; columns named like a result are
     replaced.
 
-    Scale: short hashes of passages are counted first, so that only those whose hash repeats are compared; both
-    counts combine before their shuffles, and a passage's occurrences are joined in ``SALTS`` parts, so a passage in a
-    third of all texts is no hot group. The texts are shuffled
-    twice, by row, never by passage; the joins merge at every size, so that a small run costs its share of a large one.
+    Scale: short hashes of passages are counted first, so that only those whose hash repeats are compared. Both counts
+    combine before their shuffles and name the parts of a hash or passage that have occurrences; these are joined part
+    by part, so a passage in a third of all texts is no hot group in either join. The texts are shuffled twice, by row,
+    never by passage; the joins merge at every size, so that a small run costs its share of a large one.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")]
     rows = docs.select(
@@ -116,23 +116,24 @@ def dedup_lines(docs: DataFrame, rule: Chunking = Chunking(), id_col: str = "doc
     eligible = f"c.words >= {rule.min_words} AND c.size > 1"
 
     # explode_outer: a filter inferred from explode() would work out every text's passages a second time.
-    spans = f"transform(filter({_chunks('_text', rule)}, c -> {eligible}), c -> named_struct('s', c.first, 'e', c.first + c.size - 1, 'd', c.digest))"
+    spans = f"transform(filter({_chunks('_text', rule)}, c -> {eligible}), c -> named_struct('s', c.first, 'e', c.first + c.size - 1, 'd', c.digest, 'c', true))"
     spans = f"concat({spans}, {_runs('_text', rule)})" if rule.runs else spans
     found = plain.select(*ROW, F.explode_outer(F.expr(spans)).alias("_c"))
-    found = cut(found.where("_c IS NOT NULL").select(*ROW, F.struct("_c.s", "_c.e").alias("at"), F.col("_c.d").alias("digest")), "line-chunks")
-    repeated = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    candidates = cut(found.join(repeated.hint("merge"), "digest").groupBy(*ROW).agg(F.collect_set("at").alias("_at")), "line-candidates")
+    found = cut(found.where("_c IS NOT NULL").select(*ROW, F.struct("_c.s", "_c.e", "_c.c").alias("at"), F.col("_c.d").alias("digest")), "line-chunks")
+    dealt = found.withColumn("_part", part_of(*ROW))
+    repeated = dealt.groupBy("digest").agg(F.count("*").alias("n"), parts_seen("_part").alias("_parts")).where("n > 1").select("digest", each_part("_parts").alias("_part"))
+    candidates = cut(dealt.join(repeated.hint("merge"), ["digest", "_part"]).groupBy(*ROW).agg(F.collect_set("at").alias("_at")), "line-candidates")
 
-    pieces = F.expr(f"transform(array({LINES}), ls -> transform(_at, r -> named_struct('at', r, 'passage', unhex(sha2(CAST(array_join(slice(ls, r.s + 1, r.e - r.s + 1), '\\n') AS BINARY), 256)))))[0]")
+    passage = "transform(array(CAST(array_join(slice(ls, r.s + 1, r.e - r.s + 1), '\\n') AS BINARY)), b -> IF(r.c, b, unhex(sha2(b, 256))))[0]"
+    pieces = F.expr(f"transform(array({LINES}), ls -> transform(_at, r -> named_struct('at', r, 'passage', {passage})))[0]")
     texts = plain.join(candidates.hint("merge"), ROW).select(*ROW, "_id", F.explode_outer(pieces).alias("_p"))
-    texts = cut(texts.select("_p.passage", F.struct("_id", *ROW, "_p.at.s", "_p.at.e").alias("at")).distinct(), "line-passages")
+    texts = cut(texts.select("_p.passage", F.struct("_id", *ROW, "_p.at.s", "_p.at.e").alias("at")), "line-passages")
     # The first place of each passage goes to the passage's few parts, and its occurrences are joined part by part.
-    salted = texts.withColumn("_salt", F.pmod("at._k2", F.lit(SALTS)))
-    parts = salted.groupBy("passage", "_salt").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    first = parts.groupBy("passage").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    first = parts.select("passage", "_salt").join(first.hint("merge"), "passage")
+    dealt = texts.withColumn("_part", part_of("at._k1", "at._k2"))
+    first = dealt.groupBy("passage").agg(F.min("at").alias("first"), F.max("at").alias("last"), parts_seen("_part").alias("_parts")).where("first <> last")
+    first = first.select("passage", "first", each_part("_parts").alias("_part"))
     start = F.expr("IF(at._k1 = first._k1 AND at._k2 = first._k2, greatest(at.s, first.e + 1), at.s)")
-    gone = salted.join(first.hint("merge"), ["passage", "_salt"]).where("at <> first").select("at._k1", "at._k2", F.struct(start.alias("s"), F.col("at.e").alias("e")).alias("_r"))
+    gone = dealt.join(first.hint("merge"), ["passage", "_part"]).where("at <> first").select("at._k1", "at._k2", F.struct(start.alias("s"), F.col("at.e").alias("e")).alias("_r"))
     gone = cut(gone.groupBy(*ROW).agg(F.collect_set("_r").alias("_gone")), "line-removals")
     for done in (found, candidates, texts):
         drop_cut(done)
