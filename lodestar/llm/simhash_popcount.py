@@ -6,6 +6,10 @@ Hamming distance. The join is a range join on a grid of unit cells over each hal
 within ``radius`` = 4, one half is within 2, and there some cell is within 1 of both. So each point is dealt, in each half,
 to its own cell and to the neighbours one step away (50 cells on average, 66 at most), whatever the number of points;
 the points that meet in a cell are held against the bound and then compared exactly.
+
+A crowded cell is cut further along the other half. Two points within ``radius`` are within it there too, so one of that
+half's two quarters has them within 2, and again some cell of that quarter is within 1 of both. Only inner cells that
+are still crowded are dealt out as pairs of slices.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import cut, drop_cut, map_rows
+from lodestar.llm.common import cut, drop_cut, each_part, map_rows, part_of, parts_seen
 from lodestar.llm.components import Forest, components
 
 RADIUS = 4
 EVEN = 0x5555555555555555
-#: Points of a cell that one task holds; larger cells are dealt out as pairs of slices.
+#: Points of a cell that one task holds; larger cells are cut along the other half, then dealt out as pairs of slices.
 CELL_LIMIT = 16_384
 BLOCK = 1 << 16
 
@@ -133,39 +137,71 @@ def _link_cells(batches):
         yield emit(links)
 
 
-def grid_cells(fp: Column) -> Column:
-    """The cells of both halves that a fingerprint is dealt to: its own, and those one step from it along one segment."""
+def _segment_counts(fp: Column) -> Column:
+    """Every segment's number of set bits, 0 to 2, in the segment's own two bits."""
     even = F.lit(EVEN).cast("long")
     high = F.shiftrightunsigned(fp, 1)
     one, two = fp.bitwiseXOR(high).bitwiseAND(even), fp.bitwiseAND(high).bitwiseAND(even)
-    counts = one.bitwiseOR(F.shiftleft(two, 1))  # every segment's count, 0 to 2, in its own two bits
-    cells = []
-    for half in range(2):
-        own = F.shiftrightunsigned(counts, 32 * half).bitwiseAND(F.lit((1 << 32) - 1)) + F.lit(half << 32)
-        cells.append(own)
-        for j in range(16):
-            count, step = F.shiftrightunsigned(counts, 32 * half + 2 * j).bitwiseAND(F.lit(3)), F.lit(1 << 2 * j).cast("long")
-            cells += [F.when(count > 0, own - step), F.when(count < 2, own + step)]
-    return F.array_compact(F.array(*cells))
+    return one.bitwiseOR(F.shiftleft(two, 1))
+
+
+def _around(counts: Column, first: int, size: int, name: int) -> list[Column]:
+    """The cells of ``size`` segments from ``first`` on: a point's own, and those one step from it along one segment."""
+    own = F.shiftrightunsigned(counts, 2 * first).bitwiseAND(F.lit((1 << 2 * size) - 1)) + F.lit(name << 32)
+    cells = [own]
+    for j in range(size):
+        count, step = F.shiftrightunsigned(counts, 2 * (first + j)).bitwiseAND(F.lit(3)), F.lit(1 << 2 * j).cast("long")
+        cells += [F.when(count > 0, own - step), F.when(count < 2, own + step)]
+    return cells
+
+
+def grid_cells(fp: Column) -> Column:
+    """The cells of both halves that a fingerprint is dealt to; bit 32 names the half."""
+    counts = _segment_counts(fp)
+    return F.array_compact(F.array(*_around(counts, 0, 16, 0), *_around(counts, 16, 16, 1)))
+
+
+def inner_cells(fp: Column, cell: Column) -> Column:
+    """The cells of both quarters of the half that ``cell`` does not lie in, each within ``cell``."""
+    counts = _segment_counts(fp)
+    halves = [F.array_compact(F.array(*_around(counts, at, 8, 2), *_around(counts, at + 8, 8, 3))) for at in (0, 16)]
+    other = F.when(F.shiftrightunsigned(cell, 32) == 0, halves[1]).otherwise(halves[0])
+    return F.transform(other, lambda inner: F.xxhash64(cell, inner))
+
+
+def _crowded(dealt: DataFrame, count: int, cell_limit: int) -> DataFrame:
+    """``(cell, n)`` of the cells with more than ``cell_limit`` points, none of others.
+
+    Cells are counted in buckets first, so that only those in crowded buckets are counted one by one.
+    """
+    bucket = F.pmod(F.xxhash64("cell"), F.lit(max(1 << 16, 64 * count // 1024)))
+    crowded = dealt.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("n")).where(F.col("n") > cell_limit).select("_bucket")
+    counted = dealt.withColumn("_bucket", bucket).join(crowded, "_bucket", "left_semi").groupBy("cell").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") > cell_limit)
 
 
 def links_of(points: DataFrame, count: int, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """``points(fp)`` without repeats → links ``(u, v)`` that connect all that lie within ``RADIUS``.
 
-    Cells are counted in buckets first, so that only those in crowded buckets are counted one by one.
+    Points of cells with more than ``cell_limit`` go to the cells' inner cells instead, and those of inner cells that
+    have more than so many, too, to pairs of slices; nothing is left out. Two inner cells whose hashes are alike are
+    one cell, which costs comparisons and no links.
     """
     dealt = points.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
-    buckets = max(1 << 16, 64 * count // 1024)
-    bucket = F.pmod(F.xxhash64("cell"), F.lit(buckets))
-    crowded = dealt.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("n")).where(F.col("n") > cell_limit).select("_bucket")
-    large = dealt.withColumn("_bucket", bucket).join(crowded, "_bucket", "left_semi").groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_limit)
-    slices = F.ceil(F.col("n") / cell_limit).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), slices)
-    # Slices of a large cell meet two by two, under the name of the pair.
-    pairs = F.transform(F.sequence(F.lit(0), slices - 1), lambda j: F.xxhash64("cell", F.least(j, mine), F.greatest(j, mine)))
-    spread = dealt.join(large, "cell", "left").select("fp", F.explode(F.when(F.col("n").isNull(), F.array("cell")).otherwise(pairs)).alias("cell"))
-    parts = spread.select("cell", "fp").repartition("cell").sortWithinPartitions("cell")
-    return parts.mapInArrow(_link_cells, "u long, v long")
+    large = cut(_crowded(dealt, count, cell_limit), "crowded-cells")
+    if large.isEmpty():
+        parts = dealt
+    else:
+        marked = dealt.join(large, "cell", "left")
+        inside = dealt.join(large.select("cell"), "cell", "left_semi").select("fp", F.explode(inner_cells(F.col("fp"), F.col("cell"))).alias("cell"))
+        slices = F.ceil(F.col("n") / cell_limit).cast("int")
+        mine = F.pmod(F.xxhash64("fp"), slices)
+        # Slices of a crowded inner cell meet two by two, under the name of the pair.
+        pairs = F.transform(F.sequence(F.lit(0), slices - 1), lambda j: F.xxhash64("cell", F.least(j, mine), F.greatest(j, mine)))
+        inside = inside.join(_crowded(inside, count, cell_limit), "cell", "left")
+        inside = inside.select("fp", F.explode(F.when(F.col("n").isNull(), F.array("cell")).otherwise(pairs)).alias("cell"))
+        parts = marked.where("n IS NULL").select("fp", "cell").unionByName(inside)
+    return parts.select("cell", "fp").repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_cells, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,13 +213,17 @@ def near_duplicates(docs: DataFrame, cell_limit: int = CELL_LIMIT, id_col: str =
     repeated rows keep their number; an empty table gives an empty result; other columns are not read.
     """
     marked = cut(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "points")
+    # A point's rows, and a component's points, are joined part by part: one of them may hold a third of all.
+    marked = marked.withColumn("_part", part_of("doc_id"))
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), parts_seen("_part").alias("_parts")), "points")
     joined = components(links_of(classes.select("fp"), classes.count(), cell_limit))
-    named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = cut(named.join(least, "component").select("fp", "component_id"), "named-points")
+    named = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")).withColumn("_part", part_of("fp"))
+    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"), parts_seen("_part").alias("_seen"))
+    least = least.select("component", "component_id", each_part("_seen").alias("_part"))
+    named = cut(named.join(least, ["component", "_part"]).select("fp", "component_id", "_parts"), "named-points")
     drop_cut(classes)
-    return marked.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = named.select("fp", "component_id", each_part("_parts").alias("_part"))
+    return marked.join(named, ["fp", "_part"]).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
