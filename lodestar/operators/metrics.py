@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.operators.ordering import select_ranks
+from lodestar.operators.retrieval import checked_queries
 
 
 def percentiles(df: DataFrame, by: Sequence[str], column: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
@@ -66,7 +67,7 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: str | int) -> DataFrame
 
 def cost_usd(calls: DataFrame, prices: DataFrame, default: tuple[float, float]) -> DataFrame:
     """``calls(model, prompt, completion)`` with ``cost``; an unknown model has the default price per million."""
-    joined = calls.join(F.broadcast(prices), "model", "left")
+    joined = calls.join(checked_queries(prices), "model", "left")
     spent = F.col("prompt") * F.coalesce("price_in", F.lit(default[0])) + F.col("completion") * F.coalesce("price_out", F.lit(default[1]))
     return joined.withColumn("cost", spent / 1e6).drop("price_in", "price_out")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.text import handoff_group, is_refusal
 from lodestar.operators import metrics as M
 from lodestar.operators.ordering import shuffled_place, with_ordinal
+from lodestar.operators.retrieval import checked_queries
 from lodestar.plans.registry import query
 from lodestar.sources.paged import read_catalogue
 from lodestar.sources.shared import new_folder
@@ -137,7 +138,7 @@ def allowed_calls(t):
 def caller_scopes(t):
     scopes = t.spark.createDataFrame([("u1", "admin"), ("u2", "reader")], "token string, scope string").select(F.sha2("token", 256).alias("h"), "scope")
     calls = t.events.select(F.sha2(F.concat(F.lit("u"), F.col("user_id").cast("string")), 256).alias("h"))
-    return calls.join(F.broadcast(scopes), "h", "left").groupBy(F.coalesce("scope", F.lit("default")).alias("scope")).agg(F.count("*").alias("n"))
+    return calls.join(checked_queries(scopes), "h", "left").groupBy(F.coalesce("scope", F.lit("default")).alias("scope")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT n_name, count(*) AS n_orders, count(*) FILTER (WHERE o_totalprice > 250000) AS n_large, round(avg((o_totalprice > 250000)::INT), 6) AS rate FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1""")
