@@ -1,9 +1,13 @@
 """An inverted index on storage: texts are tokenised once, and searches read what can still be among the best.
 
-Chunks are dealt to cells of about ``CELL``. A block holds what a term weighs in the chunks of one cell, and the most it
-weighs there. For a query the blocks' maxima of a cell add up to a bound that no chunk of the cell exceeds. The cells
-with the highest bounds are scored first; their k-th best score is a threshold, and only cells whose bound reaches it are
-read at all.
+Chunks are dealt to cells of about ``CELL``. Postings lie sorted by term and cell; a block is a term's postings of one
+cell, and its first posting carries the largest frequency and the smallest length among them, which bound what the term
+weighs there. For a query these bounds of a cell add up to one that no chunk of the cell exceeds. The cells with the
+highest bounds are scored first; their k-th best score is a threshold, and only cells whose bound reaches it are scored
+at all.
+
+Postings of the query's terms are dealt by cell once, before they meet the queries: a cell's scores are then added up
+where its postings lie, and only the best of each query travel further.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,19 +24,19 @@ from lodestar.functions.text import tokens
 from lodestar.operators.retrieval import checked_queries, top_k
 from lodestar.sources.shared import hadoop, new_folder, written
 
-#: Chunks of a cell on average, cells that are scored for the threshold, and directories that terms are dealt to, by
-#: the number of cells. Long questions need small cells: the maxima of many terms in a cell are seldom in one chunk.
-CELL, FIRST = 32, 16
+#: Chunks of a cell on average, cells that are scored for the threshold, and the fewest and most directories that terms
+#: are dealt to. Smaller cells have closer bounds, but nearly as many blocks as postings.
+CELL, FIRST = 512, 2
 BUCKETS = (8, 256)
-#: Cells that share the files of a bucket.
-CELLS_A_FILE = 4_096
+#: Chunks that share the files of a bucket, and chunks for each directory.
+CHUNKS_A_FILE, CHUNKS_A_BUCKET = 131_072, 4_096
 #: Scores are rounded to 6 places; a bound must be below the threshold by more than that to be passed over.
 MARGIN = 1e-5
 
 
 @dataclass(frozen=True)
 class Index:
-    """Where an index lies: ``blocks`` and ``terms`` by bucket, ``stats``, and ``chunks`` with their terms below ``folder``."""
+    """Where an index lies: ``posts`` and ``terms`` by bucket, ``stats`` and the ids of ``chunks`` below ``folder``."""
 
     folder: str
     by: tuple[str, ...]
@@ -57,23 +61,20 @@ def _bucket(buckets: int):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
 
-def build_index(chunks: DataFrame, folder: str | None = None, by: Sequence[str] = (), k1: float = 1.5, b: float = 0.75) -> Index:
+def _weight(tf, length, average, k1: float, b: float):
+    """Okapi BM25's weight of a term without its idf; it grows with ``tf`` and falls with ``length``."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+
+
+def build_index(chunks: DataFrame, folder: str | None = None, by: Sequence[str] = ()) -> Index:
     """Index ``chunks(by, chunk_id, text)`` for :func:`search`, below ``folder`` or a new one of the shared folder.
 
-    The weight of a term in a chunk is Okapi BM25's without the idf, which needs the number of chunks only at search.
-    Null texts have no terms but count as chunks. Each value of ``by`` (a chunking strategy) is an index of its own.
-    A (term, cell) is the largest group, so a term of all chunks is dealt over all cells.
+    Postings hold frequencies and lengths; what a term weighs is worked out at search, where the number of chunks and
+    their average length are known. Null texts have no terms but count as chunks. Each value of ``by`` (a chunking
+    strategy) is an index of its own. A (term, cell) is the largest group, so a term of all chunks is dealt over all cells.
     """
     spark, by = chunks.sparkSession, list(by)
     folder = folder or new_folder(spark, "index")
-    cells = max(1, -(-chunks.count() // CELL))
-    buckets = min(max(BUCKETS[0], cells // 128), BUCKETS[1])
-    cell = F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int")
-    # A text's tokens are counted where it is read: sorted, equal ones stand together, and a term counts up to the next.
-    starts = "filter(sequence(1, size(t)), i -> i = 1 OR t[i - 1] <> t[i - 2])"
-    counted = f"""IF(size(t) = 0, array(), transform(array({starts}), s -> transform(s, (i, k) -> named_struct('term', t[i - 1], 'tf', coalesce(get(s, k + 1), size(t) + 1) - i)))[0])"""
-    tokened = chunks.select(*by, "chunk_id", F.array_sort(tokens(F.col("text"))).alias("t"))
-    tokened = tokened.select(*by, "chunk_id", F.size("t").alias("len"), F.expr(counted).cast("array<struct<term: string, tf: int>>").alias("terms"))
     schemas: dict[str, str] = {}
 
     def put(part: str, df: DataFrame) -> DataFrame:
@@ -82,49 +83,69 @@ def build_index(chunks: DataFrame, folder: str | None = None, by: Sequence[str]
         schemas[part] = df.schema.json()
         return spark.read.schema(df.schema).parquet(f"{folder}/{part}")
 
-    read = put("chunks", tokened)
-    stats = put("stats", read.groupBy(*by).agg(F.count("*").alias("n"), F.avg("len").alias("average")))
-    posts = read.select(*by, "chunk_id", "len", cell.alias("cell"), F.explode("terms").alias("_t")).select(*by, "chunk_id", "len", "cell", "_t.term", "_t.tf")
-    # Dealt once, as the files will lie; the groups below are parts of what is dealt together.
-    posts = posts.select("*", _bucket(buckets).alias("bucket"), F.floor(F.col("cell") / CELLS_A_FILE).alias("part")).repartition("bucket", "part")
-    posts = posts.join(F.broadcast(stats), by) if by else posts.crossJoin(F.broadcast(stats))  # a row for each index
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("average")))
-    blocks = posts.withColumn("w", weight).groupBy("bucket", "part", *by, "term", "cell").agg(F.max("w").alias("most"), F.count("*").alias("df"), F.collect_list(F.struct("chunk_id", "w")).alias("posts"))
-    blocks = put("blocks", blocks.drop("part").sortWithinPartitions("bucket", *by, "term", "cell"))
-    terms = blocks.groupBy("bucket", *by, "term").agg(F.sum("df").alias("df"))
-    put("terms", terms.repartition("bucket").sortWithinPartitions("bucket", "term"))
+    ids = put("chunks", chunks.select(*by, "chunk_id"))
+    n = ids.count()
+    cells, buckets = max(1, -(-n // CELL)), min(max(BUCKETS[0], n // CHUNKS_A_BUCKET), BUCKETS[1])
+    cell = F.pmod(F.xxhash64("chunk_id"), F.lit(cells)).cast("int")
+    bucket, part = _bucket(buckets), F.floor(cell / max(1, CHUNKS_A_FILE // CELL)).cast("int")
+    # A text's tokens are counted where it is read: sorted, equal ones stand together, and a term counts up to the next.
+    starts = "filter(sequence(1, size(t)), i -> i = 1 OR t[i - 1] <> t[i - 2])"
+    counted = f"""IF(size(t) = 0, array(), transform(array({starts}), s -> transform(s, (i, k) -> named_struct('term', t[i - 1], 'tf', coalesce(get(s, k + 1), size(t) + 1) - i)))[0])"""
+    tokened = chunks.select(*by, "chunk_id", F.sort_array(tokens(F.col("text"))).alias("t"))
+    posts = tokened.select(*by, "chunk_id", F.size("t").alias("len"), F.explode(F.expr(counted).cast("array<struct<term: string, tf: int>>")).alias("_t"))
+    # Dealt once, as the files will lie; what follows from the columns is not sent along.
+    posts = posts.select(*by, "chunk_id", "len", "_t.term", "_t.tf").repartition(bucket, part)
+    posts = posts.select(bucket.alias("bucket"), part.alias("part"), *by, "term", cell.alias("cell"), "chunk_id", "tf", "len")
+    block = Window.partitionBy("bucket", "part", *by, "term", "cell").orderBy("chunk_id")
+    whole, first = block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), F.row_number().over(block) == 1
+    posts = posts.withColumns({"most_tf": F.when(first, F.max("tf").over(whole)), "least_len": F.when(first, F.min("len").over(whole))})
+    posts = put("posts", posts.drop("part"))
+    terms = posts.groupBy("bucket", *by, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    terms = put("terms", terms.repartition("bucket").sortWithinPartitions("bucket", "term"))
+    counts, totals = ids.groupBy(*by).agg(F.count("*").alias("n")), terms.groupBy(*by).agg(F.sum("total").alias("total"))
+    stats = counts.join(totals, by, "left") if by else counts.crossJoin(F.broadcast(totals))  # a row each
+    put("stats", stats.select(*by, "n", F.try_divide(F.coalesce("total", F.lit(0)), "n").alias("average")))
     about = json.dumps({"by": by, "buckets": buckets, "schemas": schemas})
     spark.createDataFrame([(about,)], "value string").coalesce(1).write.text(f"{folder}/about")
     return Index(folder, tuple(by), buckets, schemas)
 
 
-def search(index: Index, queries: DataFrame, k: int, fill: bool = False) -> DataFrame:
-    """``queries(query_id, question)`` → ``(by, query_id, chunk_id, score, rank)``, the ``k`` best by score, then chunk.
-
-    Exact: no chunk that could be among the best is passed over. A query's repeated terms count each time; scores are
-    rounded to 6 places, so that ranks do not hang on the order of a sum. ``fill``: a query that matches fewer than ``k``
-    chunks gets those with the smallest ids after them, with score 0.
-    """
+def _asked(index: Index, queries: DataFrame, k1: float, b: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the queries' terms weigh in the index, the postings of their buckets, and the bounds of the cells by query."""
     spark, by = queries.sparkSession, list(index.by)
     wanted = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
     wanted = written(wanted.withColumn("bucket", _bucket(index.buckets)), "query-terms")
     # A number for each bucket, so that other directories are not listed in a plan.
     used = [r[0] for r in wanted.select("bucket").distinct().collect()]
-    terms, blocks = (index.read(spark, part).where(F.col("bucket").isin(used)) for part in ("terms", "blocks"))
+    terms, posts = (index.read(spark, part).where(F.col("bucket").isin(used)) for part in ("terms", "posts"))
     stats = index.read(spark, "stats")
     known = terms.join(checked_queries(wanted), ["bucket", "term"])
     known = known.join(stats, by) if by else known.crossJoin(F.broadcast(stats))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = written(known.select("bucket", *by, "query_id", "term", (idf * F.col("qf")).alias("qw")), "query-weights")
+    known = written(known.select("bucket", *by, "query_id", "term", "average", (idf * F.col("qf")).alias("qw")), "query-weights")
+    bounds = posts.where("most_tf IS NOT NULL").select("bucket", *by, "term", "cell", "most_tf", "least_len").join(checked_queries(known), ["bucket", *by, "term"])
+    most = F.col("qw") * _weight(F.col("most_tf"), F.col("least_len"), F.col("average"), k1, b)
+    return known, posts, written(bounds.groupBy(*by, "query_id", "cell").agg(F.sum(most).alias("bound")), "cell-bounds")
 
-    bounds = blocks.select("bucket", *by, "term", "cell", "most").join(checked_queries(known), ["bucket", *by, "term"])
-    bounds = written(bounds.groupBy(*by, "query_id", "cell").agg(F.sum(F.col("qw") * F.col("most")).alias("bound")), "cell-bounds")
+
+def search(index: Index, queries: DataFrame, k: int, fill: bool = False, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``queries(query_id, question)`` → ``(by, query_id, chunk_id, score, rank)``, the ``k`` best by score, then chunk.
+
+    Exact: no chunk that could be among the best is passed over. A query's repeated terms count each time; scores are
+    rounded to 6 places, so that ranks do not hang on the order of a sum. ``fill``: a query that matches fewer than ``k``
+    chunks gets those with the smallest ids after them, with score 0.
+    """
+    by = list(index.by)
+    known, posts, bounds = _asked(index, queries, k1, b)
+    # Dealt by cell alone, once for both rounds: neither the joins nor the sums below deal them again.
+    asked_terms = known.select("bucket", *by, "term").distinct()
+    posts = posts.join(checked_queries(asked_terms), ["bucket", *by, "term"], "left_semi").select(*by, "term", "cell", "chunk_id", "tf", "len").repartition(*by, "cell")
 
     def scored(cells: DataFrame) -> DataFrame:
-        asked = cells.join(known, [*by, "query_id"]).select("bucket", *by, "query_id", "term", "cell", "qw")
-        hit = blocks.select("bucket", *by, "term", "cell", "posts").join(asked, ["bucket", *by, "term", "cell"])
-        posts = hit.select(*by, "query_id", "qw", F.explode("posts").alias("_p"))
-        return posts.groupBy(*by, "query_id", F.col("_p.chunk_id").alias("chunk_id")).agg(F.round(F.sum(F.col("qw") * F.col("_p.w")), 6).alias("score"))
+        asked = cells.groupBy(*by, "cell").agg(F.collect_set("query_id").alias("_asked"))
+        hit = posts.join(asked, [*by, "cell"]).join(checked_queries(known.drop("bucket")), [*by, "term"]).where(F.array_contains("_asked", F.col("query_id")))
+        weight = F.col("qw") * _weight(F.col("tf"), F.col("len"), F.col("average"), k1, b)
+        return hit.groupBy(*by, "query_id", "cell", "chunk_id").agg(F.round(F.sum(weight), 6).alias("score")).drop("cell")
 
     groups, best = [*by, "query_id"], (F.desc("score"), F.asc("chunk_id"))
     first = top_k(bounds, FIRST, groups, F.desc("bound"), F.asc("cell")).select(*groups, "cell")
@@ -136,16 +157,10 @@ def search(index: Index, queries: DataFrame, k: int, fill: bool = False) -> Data
 
 def cells_read(index: Index, queries: DataFrame, k: int) -> tuple[int, int]:
     """``(cells whose bound reaches the threshold, all that hold a term of the query)``, over all queries."""
-    spark, by = queries.sparkSession, list(index.by)
+    by = list(index.by)
     ranked = search(index, queries, k)
     least = ranked.where(F.col("rank") == k).select(*by, "query_id", F.col("score").alias("least"))
-    wanted = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    stats = index.read(spark, "stats")
-    known = index.read(spark, "terms").join(wanted, "term")
-    known = known.join(stats, by) if by else known.crossJoin(F.broadcast(stats))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qf")
-    bounds = index.read(spark, "blocks").select(*by, "term", "cell", "most").join(known.select(*by, "query_id", "term", weight.alias("qw")), [*by, "term"])
-    bounds = bounds.groupBy(*by, "query_id", "cell").agg(F.sum(F.col("qw") * F.col("most")).alias("bound")).join(least, [*by, "query_id"], "left")
+    bounds = _asked(index, queries, 1.5, 0.75)[2].join(least, [*by, "query_id"], "left")
     found = bounds.agg(F.count_if(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - MARGIN).alias("a"), F.count("*").alias("b")).first()
     return found.a, found.b
 
