@@ -185,6 +185,15 @@ def test_fusion_and_rescue(spark):
     assert [r["chunk_id"] for r in Q.rescue(fused, chunks, codes, F.col("clause") == "PREAMBLE", 3).orderBy("rank").collect()] == ["c", "b", "a"]
 
 
+def test_rescue_looks_at_the_whole_fused_list(spark):
+    """A chunk with the code is first, however far behind it was fused."""
+    fused = spark.createDataFrame([(1, i, i) for i in range(1, 41)], "query_id int, chunk_id int, rank int")
+    chunks = spark.createDataFrame([(i, "see E-4" if i == 40 else "x", "S") for i in range(1, 41)], "chunk_id int, text string, clause string")
+    codes = spark.createDataFrame([(1, ["E-4"])], "query_id int, codes array<string>")
+    got = Q.rescue(fused, chunks, codes, F.col("clause") == "PREAMBLE", 3).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["fused_rank"]) for r in got] == [(40, 40), (1, 1), (2, 2)]
+
+
 def test_exact_vectors_in_blocks(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "chunk_id long, v array<double>")
     queries = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(25)] + [(None, [1.0, 1.0, 1.0])], "query_id long, q array<double>")
