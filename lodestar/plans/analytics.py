@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.text import handoff_group, is_refusal
 from lodestar.operators import metrics as M
+from lodestar.operators.joins import spread_join
 from lodestar.operators.ordering import shuffled_place, with_ordinal
 from lodestar.operators.retrieval import checked_queries
 from lodestar.plans.registry import query
@@ -157,8 +158,10 @@ def optional_verdicts(t):
 
 @query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON p_size = s_suppkey % 50 + 1 AND p_retailprice > 950")
 def argument_references(t):
-    """Values against a reference set, by key."""
-    return t.supplier.join(t.part, (F.col("p_size") == F.col("s_suppkey") % 50 + 1) & (F.col("p_retailprice") > 950)).select("s_suppkey", "p_partkey")
+    """Values against a reference set, by one of 50 keys."""
+    asked = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 50 + 1).alias("size"))
+    real = t.part.where("p_retailprice > 950").select("p_partkey", F.col("p_size").cast("long").alias("size"))
+    return spread_join(asked, real, "size").select("s_suppkey", "p_partkey")
 
 
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, event_id, event_type FROM l WHERE r = 1""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as X
 from lodestar.functions.hashing import hmac_sha256
 from lodestar.operators import chunking as C
+from lodestar.operators import joins as J
 from lodestar.operators import metrics as M
 from lodestar.operators import redaction as R
 from lodestar.operators import retrieval as Q
@@ -194,6 +195,17 @@ def test_rescue_looks_at_the_whole_fused_list(spark):
     assert [(r["chunk_id"], r["fused_rank"]) for r in got] == [(40, 40), (1, 1), (2, 2)]
 
 
+def test_pairs_of_one_key_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(J, "ROWS", 50)
+    left = spark.range(300).select(F.col("id").alias("a"), F.when(F.col("id") < 290, 1).otherwise(F.col("id")).cast("long").alias("k"))
+    right = spark.range(400).select(F.col("id").alias("b"), F.when(F.col("id") < 390, 1).when(F.col("id") > 395, 295).cast("long").alias("k"))
+    got = J.spread_join(left, right, "k")
+    assert sorted(map(tuple, got.select("a", "b").collect())) == sorted(map(tuple, left.join(right, "k").select("a", "b").collect()))
+    tasks = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) > 10 and max(tasks) < 290 * 390 / 4
+    assert J.spread_join(left, right.limit(0), "k").count() == 0
+
+
 def test_exact_vectors_in_blocks(spark, monkeypatch):
     vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "chunk_id long, v array<double>")
     queries = spark.createDataFrame([(i, [float(i), 1.0, 2.0]) for i in range(25)] + [(None, [1.0, 1.0, 1.0])], "query_id long, q array<double>")
