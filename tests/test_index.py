@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.operators import inverted_index as I
+from lodestar.operators import keyword_scan as K
 from lodestar.operators.retrieval import bm25, top_k
 
 
@@ -48,6 +49,24 @@ def test_same_hits_as_without_index(spark, corpus, monkeypatch, cell):
         assert [tuple(r) for r in filled.where("query_id = 51 AND strategy = 1").orderBy("rank").collect()] == [(1, 51, c, 0.0, c + 1) for c in range(3)]
 
 
+@pytest.mark.parametrize("block", [K.BLOCK, 900])
+def test_scan_gives_the_hits_of_the_index(spark, corpus, monkeypatch, block):
+    monkeypatch.setattr(K, "BLOCK", block)
+    chunks, queries = corpus
+    one = chunks.where("strategy = 0").drop("strategy")
+    monkeypatch.setattr(K, "build_index", lambda *a, **b: pytest.fail("no index is built for few questions"))
+    assert rows(K.keyword_scan(one, queries, 7)) == rows(plain(one, queries, 7))
+    if block == 900:
+        assert rows(K.keyword_scan(chunks, queries, 3, ["strategy"])) == rows(plain(chunks, queries, 3, ["strategy"]))
+        full = K.keyword_scan(chunks, queries, 3, ["strategy"], fill=True)
+        assert full.count() == 2 * 3 * queries.count()
+        assert [tuple(r) for r in full.where("query_id = 51 AND strategy = 1").orderBy("rank").collect()] == [(1, 51, c, 0.0, c + 1) for c in range(3)]
+        assert K.keyword_scan(one.limit(0), queries, 5).count() == 0 and K.keyword_scan(one.limit(20), queries.limit(0), 5).count() == 0
+        monkeypatch.undo()
+        monkeypatch.setattr(K, "MOST_CELLS", 1)
+        assert rows(K.keyword_scan(one, queries, 7)) == rows(plain(one, queries, 7))
+
+
 def test_empty_table(spark, corpus):
     chunks, queries = corpus
     index = I.build_index(chunks.limit(0).drop("strategy"))
