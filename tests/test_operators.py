@@ -1,5 +1,6 @@
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from lodestar.operators import redaction as R
 from lodestar.operators import retrieval as Q
 from lodestar.operators import rules
 from lodestar.operators import trajectory as T
+from lodestar.operators.vector_scan import candidates
 
 SALT = b"a test's own salt"
 FORM = """HOMEOWNERS ENDORSEMENT
@@ -215,6 +217,20 @@ def test_exact_vectors_in_blocks(spark, monkeypatch):
     assert len(whole) == 26 * 3 and rows() == whole
 
 
+def test_far_pairs_get_no_exact_score(spark):
+    rng = random.Random(3)
+    vectors = [(i, [float(rng.randint(-9, 9)) for _ in range(4)], i % 3) for i in range(600)] + [(1000 + i, [1.0, 2.0, 3.0, 4.0], i % 2) for i in range(900)]
+    vectors = [(i, v if any(v) else [1.0, 0.0, 0.0, 0.0], n) for i, v, n in vectors] + [(3000, None, 0), (3001, [1.0, 2.0], 1), (3002, [1.0, None, 2.0, 3.0], 2), (3003, [1.0, 2.0, 3.0, 5.0], None)]
+    queries = [(i, [float(rng.randint(-9, 9)) + 0.5 for _ in range(4)], i % 3) for i in range(20)] + [(50, [1.0, 2.0, 3.0, 4.0], 0), (51, [2.0, 4.0, 6.0, 8.0], None), (52, None, 1), (53, [1.0], 2)]
+    v = spark.createDataFrame(vectors, "chunk_id long, v array<float>, label int").repartition(3)
+    q = spark.createDataFrame(queries, "query_id long, q array<float>, q_label int")
+    rows = lambda **how: sorted(map(str, Q.nearest_exact(v, q, 5, **how).collect()))
+    assert rows() == rows(where=F.lit(True))
+    assert rows(equal=("label", "q_label")) == rows(where=F.col("label") == F.col("q_label"))
+    regular = q.where("query_id < 52").collect()
+    assert candidates(v.where("chunk_id < 3000"), regular, 5).count() < 1500 * len(regular) / 20
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(1, 11)], "id int, v double")
     at = M.percentiles(df.withColumn("g", F.lit(1)), ["g"], "v", {"a": ("nearest", 0.99), "b": ("floor", 0.9), "c": ("between", 0.5)}).first()
