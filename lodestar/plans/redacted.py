@@ -9,6 +9,7 @@ from lodestar.functions.hashing import hmac_pads, paired_hash, pseudonym
 from lodestar.operators import redaction as R
 from lodestar.operators.metrics import hash_order, seeded_sample
 from lodestar.operators.ordering import with_ordinal
+from lodestar.operators.roster import redact_by_roster
 from lodestar.plans.registry import query
 
 #: The salt of tests and checks; a real one is given by the caller and never written down.
@@ -58,8 +59,8 @@ def leak_check(t):
 def redacted_documents(t):
     """Pseudonyms for identifiers, the customers' names and cued names; what is written passes the leak check, or the
     query fails."""
-    run = R.roster_redactor(t.customer.select("c_name"), CHECK_SALT)(F.col("text"))
-    out = t.documents.select("doc_id", run.alias("r")).select("doc_id", "r.text", F.aggregate(F.map_values("r.counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_redacted"))
+    done = redact_by_roster(t.documents.select("doc_id", "text"), "text", t.customer.select("c_name"), CHECK_SALT, "r")
+    out = done.select("doc_id", "r.text", F.aggregate(F.map_values("r.counts"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_redacted"))
     return R.refuse_leaks(out, "text")
 
 

@@ -12,7 +12,7 @@ from lodestar.operators import joins as J
 from lodestar.operators import metrics as M
 from lodestar.operators import redaction as R
 from lodestar.operators import retrieval as Q
-from lodestar.operators import rules
+from lodestar.operators import roster, rules
 from lodestar.operators import trajectory as T
 from lodestar.operators.vector_scan import candidates
 
@@ -81,6 +81,25 @@ def test_roster_of_any_size(spark):
     assert not R.names_policy("Rot\nEarth") and R.names_policy("Wet Rot") and R.names_policy("storm")
 
 
+def test_a_roster_is_joined_and_held_by_no_task(spark, monkeypatch):
+    """However many names there are: a list of them all was refused above ``MOST_NAMES``."""
+    monkeypatch.setattr(R, "MOST_NAMES", 10)
+    monkeypatch.setattr(roster, "BYTES", 300)
+    rng = random.Random(2)
+    syllables = ["an", "bo", "de", "ka", "ſe", "İr", "ıs", "Ük", "ß"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))).capitalize()
+    names = [f"{word()} {word()}" for _ in range(200)] + ["Cher", "Ann Lee", "Lee", "  ", None, "de la Cruz", "Customer#000000012", "Customer#000000013"]
+    texts = [" ".join(rng.choice([word(), word().upper(), rng.choice(names) or "x", "insured"]) for _ in range(30)) for _ in range(40)]
+    texts += [None, "", "CHER'S ann LEE; Annlee, LEEs, crUZ. jane@example.com", "of cUSTOMER#000000012 and Customer#0000000131", texts[0]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = roster.redact_by_roster(rows, "text", spark.createDataFrame([(n,) for n in names], "n string"), SALT).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert (r.redacted.text, r.redacted.counts) == R.redact(texts[r.id], names, SALT)
+    few = roster.redact_by_roster(rows, "text", spark.createDataFrame([(None,)], "n string"), SALT).where("id = 42").first()
+    assert few.redacted.text == R.redact(texts[42], [], SALT)[0]
+
+
 def test_redacted_documents_match_plain_version(spark, sf_dir):
     from lodestar.plans.redacted import CHECK_SALT
     from lodestar.plans.registry import QUERIES
