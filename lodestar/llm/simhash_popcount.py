@@ -170,14 +170,20 @@ def inner_cells(fp: Column, cell: Column) -> Column:
 
 
 def _crowded(dealt: DataFrame, count: int, cell_limit: int) -> DataFrame:
-    """``(cell, n)`` of the cells with more than ``cell_limit`` points, none of others.
+    """``(cell, n)`` of the cells with more than ``cell_limit`` points, none of others, as a written table.
 
-    Cells are counted in buckets first, so that only those in crowded buckets are counted one by one.
+    Cells are counted in buckets first, so that only those in crowded buckets are counted one by one. The crowded
+    buckets are written before the second count is planned: where there are none, or few, no dealt row is shuffled for it.
     """
     bucket = F.pmod(F.xxhash64("cell"), F.lit(max(1 << 16, 64 * count // 1024)))
-    crowded = dealt.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("n")).where(F.col("n") > cell_limit).select("_bucket")
+    crowded = cut(dealt.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("n")).where(F.col("n") > cell_limit).select("_bucket"), "crowded-buckets")
+    if crowded.isEmpty():
+        drop_cut(crowded)
+        return dealt.sparkSession.range(0).select(F.col("id").alias("cell"), F.col("id").alias("n"))
     counted = dealt.withColumn("_bucket", bucket).join(crowded, "_bucket", "left_semi").groupBy("cell").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") > cell_limit)
+    large = cut(counted.where(F.col("n") > cell_limit), "crowded-cells")
+    drop_cut(crowded)
+    return large
 
 
 def links_of(points: DataFrame, count: int, cell_limit: int = CELL_LIMIT) -> DataFrame:
@@ -188,7 +194,7 @@ def links_of(points: DataFrame, count: int, cell_limit: int = CELL_LIMIT) -> Dat
     one cell, which costs comparisons and no links.
     """
     dealt = points.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
-    large = cut(_crowded(dealt, count, cell_limit), "crowded-cells")
+    large = _crowded(dealt, count, cell_limit)
     if large.isEmpty():
         parts = dealt
     else:

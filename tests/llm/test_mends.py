@@ -83,3 +83,16 @@ def test_stray_vectors_take_nothing_from_others(spark, stray):
             assert got[q] == [i for _, i in near]
     assert got[stray * 20] == [2_000_001]
     assert df.where(F.size("embedding") == 3).count() == 2
+
+
+def test_no_dealt_row_moves_where_no_cell_is_crowded(spark):
+    from lodestar.llm.simhash_popcount import _crowded
+
+    dealt = spark.range(3_000).select((F.col("id") % 1_000 + (F.col("id") < 40).cast("long") * 10_000).alias("cell"), F.col("id").alias("fp"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    none = _crowded(dealt, 60, 3)
+    assert none.collect() == [] and none.columns == ["cell", "n"] and "Exchange" not in plan(none)
+    some = _crowded(dealt.unionByName(dealt.where("fp < 7")), 60, 3)
+    assert some.collect() == [] and "Exchange" not in plan(some)
+    many = _crowded(dealt.unionByName(dealt.where("fp BETWEEN 500 AND 506")), 60, 3)
+    assert {(r.cell, r.n) for r in many.collect()} == {(c, 4) for c in range(500, 507)}
