@@ -7,11 +7,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Lines up to which sums meet in the middle: each half has at most 2²⁰ of them. More lines go by a bitset over amounts.
 HALVED = 40
+#: Lines up to which claims with as many are judged together, all their sums side by side, and so many sums at a time.
+LISTED, SUMS = 16, 1 << 20
+#: Below this total of absolute lines no sum leaves a long.
+SAFE = 2.0**62
 #: Bits of a bitset at most: 128 MB.
 MOST_BITS = 1 << 30
 
@@ -57,14 +62,47 @@ def is_sum(lines: Sequence[int], amount: int) -> bool:
     return bool((high[np.minimum(at, len(high) - 1)] == lacking).any())
 
 
-@F.pandas_udf(T.BooleanType())
-def is_subset_sum(lines: pd.Series, amount: pd.Series) -> pd.Series:
-    """``(array<long>, long)`` → whether the amount is a sum of some lines; null where either is. Null lines are none.
+def _listed(lines: np.ndarray, amounts: np.ndarray) -> np.ndarray:
+    """``lines[line, claim]``, ``amounts[claim]`` → whether an amount is among all sums of its claim's lines."""
+    n, found = len(lines), np.zeros(len(amounts), bool)
+    step = max(1, SUMS >> n)
+    for at in range(0, len(amounts), step):
+        some, amount = lines[:, at : at + step], amounts[at : at + step]
+        sums = np.zeros((1 << n, len(amount)), np.int64)
+        for j in range(n):
+            np.add(sums[: 1 << j], some[j], out=sums[1 << j : 2 << j])
+        found[at : at + step] = (sums == amount).any(axis=0)
+    return found
 
-    Rows of one claim that follow each other share its half sums.
+
+def judged(lines: pa.Array, amounts: pa.Array) -> pa.Array:
+    """:func:`is_sum` of each row of ``lines`` (lists of longs) and ``amounts``; null where either is. Null lines are none.
+
+    Rows with up to ``LISTED`` lines are judged together with those that have as many; the others one by one, and rows
+    of one claim that follow each other share their half sums.
     """
-    out = [None if x is None or pd.isna(a) else is_sum([v for v in x if v is not None], int(a)) for x, a in zip(lines, amount, strict=True)]
-    return pd.Series(out, dtype=object)
+    asked = lines.is_valid().to_numpy(zero_copy_only=False) & amounts.is_valid().to_numpy(zero_copy_only=False)
+    row, values = lines.value_parent_indices().to_numpy(zero_copy_only=False), lines.flatten()
+    given = values.is_valid().to_numpy(zero_copy_only=False)
+    row, values = row[given], values.drop_null().to_numpy(zero_copy_only=False)
+    amount = amounts.fill_null(0).to_numpy(zero_copy_only=False)
+    counts = np.bincount(row, minlength=len(lines))
+    begins = np.cumsum(counts) - counts
+    total = np.bincount(row, weights=np.abs(values.astype(float)), minlength=len(lines))
+    together = asked & (counts <= LISTED) & (total < SAFE)
+    out = np.zeros(len(lines), bool)
+    for n in np.unique(counts[together]).tolist():
+        rows = np.flatnonzero(together & (counts == n))
+        out[rows] = _listed(values[begins[rows] + np.arange(n)[:, None]], amount[rows])
+    for i in np.flatnonzero(asked & ~together).tolist():
+        out[i] = is_sum(values[begins[i] : begins[i] + counts[i]].tolist(), int(amount[i]))
+    return pa.array(out, mask=~asked)
+
+
+@F.arrow_udf(T.BooleanType())
+def is_subset_sum(lines: pa.Array, amount: pa.Array) -> pa.Array:
+    """``(array<long>, long)`` → whether the amount is a sum of some lines; null where either is. Null lines are none."""
+    return judged(lines, amount)
 
 
 @F.pandas_udf(T.StructType([T.StructField("n_sums", T.LongType()), T.StructField("largest", T.LongType())]))

@@ -162,3 +162,39 @@ def test_acceptance_without_expansion(spark):
     specs = spark.createDataFrame([("c", twelve, None, "required")], "claim_number string, required_forms array<string>, optional_forms array<string>, payout string")
     runs = spark.createDataFrame([(1, "c", steps), (2, "d", steps), (3, "c", None)], "run_id int, claim_number string, tokens array<array<string>>")
     assert {r.run_id: r.matched is not None for r in T.match_runs(runs, specs).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_claims_of_few_lines_are_judged_together(spark, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from lodestar.operators import sums as S
+
+    rng = random.Random(3)
+    lines = [None if rng.random() < 0.1 else [rng.choice([None, rng.randint(-9, 40)]) for _ in range(rng.randint(0, 18))] for _ in range(3_000)]
+    amounts = [None if rng.random() < 0.1 else rng.randint(-20, 300) for _ in lines]
+    lines += [[2**62, 2**62, -(2**62)], [7] * 45, [], [], [None]]
+    amounts += [2**62, 7 * 44, 0, 1, 0]
+    want = [None if x is None or a is None else S.is_sum([v for v in x if v is not None], a) for x, a in zip(lines, amounts, strict=True)]
+    one_by_one, seen = S.is_sum, []
+    monkeypatch.setattr(S, "is_sum", lambda x, a: seen.append(len(x)) or one_by_one(x, a))
+    given = pa.array([[9]] * 5 + lines, pa.list_(pa.int64())).slice(5), pa.array([9] * 5 + amounts, pa.int64()).slice(5)  # as batches come: parts of longer ones
+    assert S.is_subset_sum.func(*given).to_pylist() == want and {True, False, None} == set(want)
+    assert len(seen) < 400 and all(n > S.LISTED or n == 3 for n in seen)
+    assert S.judged(*(x.slice(0, 0) for x in given)).to_pylist() == []
+
+
+def test_one_shuffle_brings_steps_and_lines_together(spark, sf_dir):
+    from lodestar.plans.registry import QUERIES
+
+    plan = QUERIES["argument_checks"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("lineitem.parquet") == 1
+
+
+def test_amounts_in_hundredths_and_repeated_claims(spark):
+    claims = spark.createDataFrame([(1, None, [0.1, 0.2]), (2, ["NG-1102"], None), (2, ["NG-1102"], [5.0])], "claim_number long, forms array<string>, lines array<double>")
+    columns = "run_id int, step int, claim_number long, tool string, arg_claim long, arg_form string, arg_amount double, arg_sublimit long, arg_basis string"
+    made = [(1, i, c, "compute_payout", None, None, a, None, None) for i, (c, a) in enumerate([(1, 0.3), (1, 0.31), (1, 0.0), (2, 5.0), (2, 0.0), (3, 0.0), (None, 0.0)])]
+    got = E.argument_checks(spark.createDataFrame(made, columns), claims, [], []).collect()
+    assert sorted((r["step"], r["valid"]) for r in got) == [(0, True), (1, False), (2, True), (3, False), (3, True), (4, True), (4, True), (5, False), (6, False)]
