@@ -212,3 +212,17 @@ def test_only_orders_of_runs_are_checked(spark, sf_dir, monkeypatch, most):
     semi = [line for line in plan.splitlines() if "LeftSemi" in line]
     assert len(semi) >= 2 and all(("Broadcast" in line) for line in semi if most > 3)
     assert rows_of_spark(got) == rows_of_duck(duck(sf_dir), ORACLES["path_scores"])
+
+
+def test_report_checks_only_orders_of_runs(spark, sf_dir, monkeypatch):
+    from lodestar.plans import evaluation as P
+    from lodestar.plans.registry import ORACLES, QUERIES
+    from tests.comparing import duck, rows_of_duck, rows_of_spark
+
+    seen, checked = [], E.checked_steps
+    monkeypatch.setattr(E, "checked_steps", lambda steps, *known: seen.append(steps) or checked(steps, *known))
+    monkeypatch.setattr(P, "MOST_RUNS", 3)
+    got = rows_of_spark(QUERIES["trajectory_report"](spark, sf_dir))
+    runs = {r.conv_id for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct().collect()}
+    assert {r.run_id for r in seen[0].select("run_id").collect()} <= runs
+    assert got == rows_of_duck(duck(sf_dir), ORACLES["trajectory_report"])
