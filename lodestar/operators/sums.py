@@ -79,7 +79,7 @@ def judged(lines: pa.Array, amounts: pa.Array) -> pa.Array:
     """:func:`is_sum` of each row of ``lines`` (lists of longs) and ``amounts``; null where either is. Null lines are none.
 
     Rows with up to ``LISTED`` lines are judged together with those that have as many; the others one by one, and rows
-    of one claim that follow each other share their half sums.
+    of one claim that follow each other share their half sums, and the answer where they ask for one amount.
     """
     asked = lines.is_valid().to_numpy(zero_copy_only=False) & amounts.is_valid().to_numpy(zero_copy_only=False)
     row, values = lines.value_parent_indices().to_numpy(zero_copy_only=False), lines.flatten()
@@ -94,8 +94,14 @@ def judged(lines: pa.Array, amounts: pa.Array) -> pa.Array:
     for n in np.unique(counts[together]).tolist():
         rows = np.flatnonzero(together & (counts == n))
         out[rows] = _listed(values[begins[rows] + np.arange(n)[:, None]], amount[rows])
+    last, known = None, {}
     for i in np.flatnonzero(asked & ~together).tolist():
-        out[i] = is_sum(values[begins[i] : begins[i] + counts[i]].tolist(), int(amount[i]))
+        own, a = values[begins[i] : begins[i] + counts[i]].tolist(), int(amount[i])
+        if own != last:
+            last, known = own, {}
+        if a not in known:
+            known[a] = is_sum(own, a)
+        out[i] = known[a]
     return pa.array(out, mask=~asked)
 
 

@@ -183,6 +183,9 @@ def test_claims_of_few_lines_are_judged_together(spark, monkeypatch):
     assert S.is_subset_sum.func(*given).to_pylist() == want and {True, False, None} == set(want)
     assert len(seen) < 400 and all(n > S.LISTED or n == 3 for n in seen)
     assert S.judged(*(x.slice(0, 0) for x in given)).to_pylist() == []
+    seen.clear()
+    many = [list(range(50)), list(range(50)), list(range(50)), [1] * 50, [1] * 50, list(range(50))]
+    assert S.judged(pa.array(many), pa.array([7, 2_000, 7, 7, 60, 7])).to_pylist() == [True, False, True, True, False, True] and len(seen) == 5
 
 
 def test_one_shuffle_brings_steps_and_lines_together(spark, sf_dir):
